@@ -7,9 +7,14 @@ import uuid
 from pyspark.sql import SparkSession
 
 
+def shared_folder(spark: SparkSession) -> str | None:
+    """The session's ``spark.checkpoint.dir``, or the checkpoint folder set on its context."""
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+
+
 def fresh_folder(spark: SparkSession, label: str) -> str:
-    """A new path under the shared folder that the session names in ``spark.checkpoint.dir``."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
+    """A new path under the shared folder."""
+    shared = shared_folder(spark)
     if not shared:
         raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
     return f"{shared.rstrip('/')}/ledgerloom/{label}-{uuid.uuid4().hex}"
