@@ -136,14 +136,22 @@ def names_in(sql: str) -> tuple[str, ...]:
     return tuple(dict.fromkeys(f for _, f, _, _ in string.Formatter().parse(sql) if f))
 
 
-def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A raw table or a projection as a lazy DataFrame."""
-    if name in RAW_TABLES:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    sql = FIXTURE_SQL[name]
-    return spark.sql(sql, **{n: frame(spark, sf_dir, n) for n in names_in(sql)})
+def frame(
+    spark: SparkSession, sf_dir: str, name: str, built: dict[str, DataFrame] | None = None
+) -> DataFrame:
+    """A raw table or a projection as a lazy DataFrame; ``built`` holds those made so far."""
+    built = {} if built is None else built
+    if name not in built:
+        if name in RAW_TABLES:
+            built[name] = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        else:
+            sql = FIXTURE_SQL[name]
+            inputs = {n: frame(spark, sf_dir, n, built) for n in names_in(sql)}
+            built[name] = spark.sql(sql, **inputs)
+    return built[name]
 
 
 def tables(spark: SparkSession, sf_dir: str, **replaced: str) -> dict[str, DataFrame]:
     """The nine tables; keywords put another projection in a table's place."""
-    return {t: frame(spark, sf_dir, f) for t, f in {**MODEL, **replaced}.items()}
+    built: dict[str, DataFrame] = {}
+    return {t: frame(spark, sf_dir, f, built) for t, f in {**MODEL, **replaced}.items()}

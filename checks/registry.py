@@ -13,7 +13,7 @@ from ledgerloom.operators import (
     report,
 )
 from ledgerloom.operators.lookup import one_row_per_key
-from ledgerloom.plans import analysis, cleaning, exploration
+from ledgerloom.plans import analysis, cleaning
 from ledgerloom.plans.workspace import fresh_folder
 from ledgerloom.sinks import writers
 from ledgerloom.sources import contracts, readers
@@ -55,15 +55,6 @@ def dense(spark: SparkSession, sf_dir: str) -> DataFrame:
         integrated(spark, sf_dir, columns, order_items="f_order_items_dense"))
 
 
-def cleaned(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """The nine tables, with repeated order rows, through the whole cleaning."""
-    return cleaning.clean_tables(fx.tables(spark, sf_dir, orders="f_orders_dup"))
-
-
-def ints(df: DataFrame, *names: str) -> DataFrame:
-    return df.withColumns({n: F.col(n).cast("int") for n in names})
-
-
 # --- sources and sinks -------------------------------------------------------
 
 
@@ -184,47 +175,56 @@ def prf_type_conformance(spark, sf):
 
 @query
 def exp_customers_by_city(spark, sf):
-    return exploration.distributions(fx.tables(spark, sf))["customers_by_city"]
+    counts = explore.customers_by(fx.frame(spark, sf, "f_customers"), "customer_city")
+    return report.ordered(counts, "-count", "customer_city")
 
 
 @query
 def exp_customers_by_state(spark, sf):
-    return exploration.distributions(fx.tables(spark, sf))["customers_by_state"]
+    counts = explore.customers_by(fx.frame(spark, sf, "f_customers"), "customer_state")
+    return report.ordered(counts, "-count", "customer_state")
 
 
 @query
 def exp_customers_by_city_state(spark, sf):
-    return exploration.distributions(fx.tables(spark, sf))["customers_by_city_state"]
+    places = ("customer_city", "customer_state")
+    counts = explore.customers_by(fx.frame(spark, sf, "f_customers"), *places)
+    return report.ordered(counts, "-count", *places)
 
 
 @query
 def exp_orders_by_status(spark, sf):
-    return exploration.distributions(fx.tables(spark, sf))["orders_by_status"]
+    counts = explore.orders_by_status(fx.frame(spark, sf, "f_orders"))
+    return report.ordered(counts, "-count", "order_status")
 
 
 @query
 def exp_delivery_duration(spark, sf):
-    return exploration.distributions(fx.tables(spark, sf))["delivery_durations"]
+    durations = explore.delivery_durations(fx.frame(spark, sf, "f_orders"))
+    return report.ordered(durations, "-delivery_duration", "order_id")
 
 
 @query
 def exp_delivery_status_counts(spark, sf):
-    return exploration.distributions(fx.tables(spark, sf))["delivery_status_counts"]
+    return explore.orders_by_status(explore.delivery_durations(fx.frame(spark, sf, "f_orders")))
 
 
 @query
 def exp_payment_types(spark, sf):
-    return exploration.distributions(fx.tables(spark, sf))["payment_types"]
+    counts = explore.payment_types(fx.frame(spark, sf, "f_payments"))
+    return report.ordered(counts, "-count", "payment_type")
 
 
 @query
 def exp_top_products_by_orders(spark, sf):
-    return exploration.distributions(fx.tables(spark, sf))["products_by_orders"]
+    counts = explore.products_by_orders(fx.frame(spark, sf, "f_order_items"))
+    return report.ordered(counts, "-total_order", "product_id")
 
 
 @query
 def exp_top_products_by_revenue(spark, sf):
-    return exploration.distributions(fx.tables(spark, sf))["products_by_revenue"]
+    revenue = explore.products_by_revenue(fx.frame(spark, sf, "f_order_items"))
+    return report.top_products_by_revenue_report(revenue)
 
 
 # --- cleaning ----------------------------------------------------------------
@@ -546,25 +546,39 @@ def fmt_dense_ranked_products(spark, sf):
 # --- whole jobs --------------------------------------------------------------
 
 
+def raw(spark, sf) -> dict[str, DataFrame]:
+    """The nine tables with repeated order rows."""
+    return fx.tables(spark, sf, orders="f_orders_dup")
+
+
+def cleaned_files(spark, sf) -> str:
+    """The nine tables through the whole cleaning, written as the cleaning job does."""
+    base = fresh_folder(spark, "cleaned")
+    writers.write_parquet_tables(
+        cleaning.clean_tables(raw(spark, sf)), base, contracts.CLEANED_FOLDERS)
+    return base
+
+
 @query
 def job_cleaned_orders(spark, sf):
-    return cleaned(spark, sf)["orders"]
+    return cleaning.clean_table("orders", fx.frame(spark, sf, "f_orders_dup"))
 
 
 @query
 def job_cleaned_items(spark, sf):
-    return cleaned(spark, sf)["order_items"]
+    return cleaning.clean_table("order_items", fx.frame(spark, sf, "f_order_items"))
 
 
 @query
 def job_cleaned_products(spark, sf):
-    return cleaned(spark, sf)["products"]
+    return cleaning.clean_table("products", fx.frame(spark, sf, "f_products"))
 
 
 @query
 def job_complete_orders(spark, sf):
-    orders = joins.integrate(cleaned(spark, sf))
-    return analysis.outputs(orders, statuses=STATUSES)["complete_orders"]
+    analysed = fresh_folder(spark, "analysed")
+    analysis.run_analysis(spark, cleaned_files(spark, sf), analysed, statuses=STATUSES)
+    return spark.read.parquet(f"{analysed}/{contracts.OUTPUT_NAMES['complete_orders']}")
 
 
 @query
@@ -573,5 +587,6 @@ def job_monthly_report(spark, sf):
         "purchase_month_name", "purchase_month", "purchase_year", "price", "payment_value",
         "freight_value", "order_id",
     ]
-    orders = joins.integrate(cleaned(spark, sf), columns)
+    cleaned = readers.load_parquet_tables(spark, cleaned_files(spark, sf))
+    orders = joins.integrate(cleaned, columns)
     return report.monthly_report(aggregate.monthly_stats(orders))

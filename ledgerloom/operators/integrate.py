@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import partial
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.operators.lookup import hot_keys, lookup_join, one_row_per_key
+from ledgerloom.operators.lookup import (
+    hot_keys, lookup_join, one_row_per_key, spark_broadcasts,
+)
 from ledgerloom.sources.contracts import ORDER_GRAIN
 
 # Natural order of the rows that compete for one order or one zip prefix. All
@@ -79,9 +82,11 @@ def integrate(tables: Mapping[str, DataFrame], columns: Sequence[str] | None = N
     them are left out, or only asked whether the key exists; the rows, and the item
     chosen for each order, stay the same.
 
-    Shuffles of the large sides: items by product and by seller (where these are
-    too large to broadcast), then items, orders, reviews and payments once each by
-    order, which the four joins share.
+    Products and sellers that are small enough to broadcast add their attributes
+    after the choice of one item per order, so that choice shuffles item columns
+    only. Larger ones add them while the items are shuffled by their key anyway.
+    Apart from that, items, orders, reviews and payments are shuffled once each by
+    order, which the joins between them share.
     """
     wanted = None if columns is None else set(columns)
 
@@ -99,14 +104,18 @@ def integrate(tables: Mapping[str, DataFrame], columns: Sequence[str] | None = N
 
     if needs(categories, "product_category_name"):
         products = with_categories(products, categories)
-    rows = items
+    rows, attributes = items, []
     for side, key in ((products, "product_id"), (sellers, "seller_id")):
-        hot = hot_keys(items, [key])
-        if needs(side, key):
+        hot = partial(hot_keys, items, [key])
+        if needs(side, key) and not spark_broadcasts(side):
             rows = lookup_join(rows, side, [key], hot=hot)
         else:
             rows = lookup_join(rows, side.select(key), [key], "left_semi", hot=hot)
+            if needs(side, key):
+                attributes.append((one_row_per_key(side, [key]), key))
     rows = one_row_per_key(rows, ["order_id"], item_order)
+    for side, key in attributes:
+        rows = lookup_join(rows, side, [key])
 
     if needs(geolocation):
         customers = with_geolocation(customers, geolocation)

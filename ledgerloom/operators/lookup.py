@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -44,7 +44,7 @@ def lookup_join(
     on: Sequence[str],
     how: str = "inner",
     *,
-    hot: DataFrame | None = None,
+    hot: Callable[[], DataFrame] | None = None,
 ) -> DataFrame:
     """Join ``rows`` with a lookup table whose key is (nearly) unique.
 
@@ -56,9 +56,9 @@ def lookup_join(
     once per group. Rows without a key match nothing; an outer join deals them
     out too. The checks read the optimiser's estimates, so no job runs here.
 
-    ``hot`` gives the hot keys where they are cheaper to find than by counting
-    the keys of ``rows``: the same function over the base table, or weights that
-    an aggregate has already. It decides the layout only, never the result.
+    ``hot`` makes the hot keys where there is a cheaper way than to count the keys
+    of ``rows``: ``hot_keys`` of the base table, or ``hot_among`` counts that an
+    aggregate has already. It decides the layout only, never the result.
     """
     on = list(on)
     if how not in ("inner", "left", "left_semi"):
@@ -67,7 +67,7 @@ def lookup_join(
         return rows.join(lookup, on, how)
 
     partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    hot = F.broadcast(hot_keys(rows, on) if hot is None else hot)
+    hot_rows = F.broadcast(hot_keys(rows, on) if hot is None else hot())
     row_hash = F.xxhash64(*[F.col(c) for c in rows.columns])
     no_key = F.greatest(*[F.col(c).isNull() for c in on], F.lit(False))
     salt = (
@@ -76,10 +76,10 @@ def lookup_join(
         .otherwise(0)
         .cast("int")
     )
-    dealt = rows.join(hot, on, "left").withColumn(_SALT, salt).drop(_COPIES)
+    dealt = rows.join(hot_rows, on, "left").withColumn(_SALT, salt).drop(_COPIES)
     last_copy = F.coalesce(F.col(_COPIES), F.lit(1)) - 1
     copied = (
-        lookup.join(hot, on, "left")
+        lookup.join(hot_rows, on, "left")
         .withColumn(_SALT, F.explode(F.sequence(F.lit(0), last_copy)))
         .drop(_COPIES)
     )
@@ -115,10 +115,9 @@ def one_row_per_key(
     row per key to the shuffle, however many rows one key has, and the optimiser
     knows the result to be unique on ``keys``.
     """
-    keys = list(keys)
-    order = [*order_by, *[c for c in df.columns if c not in keys and c not in order_by]]
+    keys, columns = list(keys), df.columns
+    order = [*order_by, *[c for c in columns if c not in keys and c not in order_by]]
     if not order:
         return df.select(*keys).distinct()
     first = F.min(F.struct(*order)).alias("_first")
-    columns = [c if c in keys else F.col("_first")[c].alias(c) for c in df.columns]
-    return df.groupBy(*keys).agg(first).select(*columns)
+    return df.groupBy(*keys).agg(first).select(*keys, "_first.*").select(*columns)

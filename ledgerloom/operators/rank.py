@@ -50,4 +50,5 @@ def _ranked(rows: DataFrame, measure: str, rank: Column, name: str, k: int) -> D
     )
     # A struct key is never null itself, so rows without a seller or a price are ranked too.
     keyed = rows.withColumn("_key", key)
-    return lookup_join(keyed, top, ["_key"], hot=hot_among(levels, ["_key"])).drop("_key")
+    ranked = lookup_join(keyed, top, ["_key"], hot=lambda: hot_among(levels, ["_key"]))
+    return ranked.drop("_key")

@@ -12,31 +12,39 @@ from ledgerloom.sources import contracts
 from ledgerloom.sources.readers import load_csv_tables
 
 
-def clean_tables(
-    tables: Mapping[str, DataFrame], quantile_accuracy: int | None = None
-) -> dict[str, DataFrame]:
-    """All nine tables cleaned, as lazy frames.
+def clean_table(name: str, df: DataFrame, quantile_accuracy: int | None = None) -> DataFrame:
+    """One table cleaned, as a lazy frame.
 
     The order is part of the result: missing dates and measures are filled, types
     repaired and payment types translated; then full-row duplicates go; then the
     order features are derived, and the price cut-offs and weight bands are taken
     over rows that no longer repeat.
     """
-    repaired = dict(tables)
-    repaired["orders"] = clean.impute_order_dates(tables["orders"])
-    repaired["products"] = clean.impute_mode(tables["products"])
-    repaired["payments"] = clean.standardise_payment_types(tables["payments"])
-    for name, targets in contracts.CORRECTED_TYPES.items():
-        repaired[name] = clean.cast_columns(repaired[name], targets)
-
-    distinct = {name: clean.deduplicate(df) for name, df in repaired.items()}
-    return {
-        **distinct,
-        "orders": features.add_calendar(features.add_durations(distinct["orders"])),
-        "order_items": clean.drop_price_outliers(
-            distinct["order_items"], accuracy=quantile_accuracy),
-        "products": clean.add_weight_band(distinct["products"], accuracy=quantile_accuracy),
-    }
+    if name == "orders":
+        df = clean.impute_order_dates(df)
+    elif name == "products":
+        df = clean.impute_mode(df)
+    elif name == "payments":
+        df = clean.standardise_payment_types(df)
+    if name in contracts.CORRECTED_TYPES:
+        df = clean.cast_columns(df, contracts.CORRECTED_TYPES[name])
+
+    df = clean.deduplicate(df)
+
+    if name == "orders":
+        df = features.add_calendar(features.add_durations(df))
+    elif name == "order_items":
+        df = clean.drop_price_outliers(df, accuracy=quantile_accuracy)
+    elif name == "products":
+        df = clean.add_weight_band(df, accuracy=quantile_accuracy)
+    return df
+
+
+def clean_tables(
+    tables: Mapping[str, DataFrame], quantile_accuracy: int | None = None
+) -> dict[str, DataFrame]:
+    """All tables cleaned, as lazy frames."""
+    return {name: clean_table(name, df, quantile_accuracy) for name, df in tables.items()}
 
 
 def run_cleaning(
