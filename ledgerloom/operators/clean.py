@@ -84,10 +84,11 @@ def impute_mode(df: DataFrame, columns: Sequence[str] = MODE_IMPUTED) -> DataFra
     """
     modes = column_modes(df, columns).select(F.struct(*columns)).scalar()
     types = dict(df.dtypes)
-    return df.select(
+    # One subquery in a column of its own: named per use, it would be planned per use.
+    return df.withColumn("_modes", modes).select(
         *[c for c in df.columns if c not in columns],
         *[
-            F.coalesce(known(F.col(c).cast("double")), modes[c]).cast(types[c]).alias(c)
+            F.coalesce(known(F.col(c).cast("double")), F.col("_modes")[c]).cast(types[c]).alias(c)
             for c in columns
         ],
     )
@@ -138,5 +139,9 @@ def add_weight_band(
 ) -> DataFrame:
     """Add ``product_weight_category`` from quantile bands; a null weight gets the last band."""
     bounds = quantiles(products, column, probabilities, accuracy).scalar()
-    band = banded(F.col(column), [bounds[i] for i in range(len(probabilities))], labels)
-    return products.withColumn("product_weight_category", band)
+    limits = [F.col("_bounds")[i] for i in range(len(probabilities))]
+    return (
+        products.withColumn("_bounds", bounds)
+        .withColumn("product_weight_category", banded(F.col(column), limits, labels))
+        .drop("_bounds")
+    )

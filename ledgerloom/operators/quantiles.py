@@ -8,7 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.columns import known
+from ledgerloom.operators.lookup import input_bytes
 
+# Input below which narrowing costs more than sorting everything in one task.
+TINY_BYTES = 1024 * 1024
 # First narrowing: 512 buckets per natural-log unit, below 1,454 units in all
 # (ln of the largest double is under 710, on either side of zero).
 LOG_BUCKETS = 512
@@ -34,50 +37,62 @@ def quantiles(
 
 
 def _exact(values: DataFrame, probabilities: Sequence[float]) -> DataFrame:
-    """Exact quantiles by counting values and narrowing the range that holds each rank.
-
-    Values are counted by a spread aggregation whose shuffle all three steps
-    reuse. Step one counts log-scale buckets and picks the one holding each rank;
-    step two does the same for equal slices of that bucket; step three ranks the
-    values left in the slice. Bucketing never decreases with the value, so each
-    step is exact. One window partition sees at most about 750,000 buckets, then
-    1,048,577 slices, then the distinct doubles of one slice, which spans at most
-    2e-9 of its value: a few hundred for amounts in cents, 17 million at the very
-    most, whatever the size of the data.
+    """Exact quantiles by counting values and ranking the counts.
+
+    Values are counted by a spread aggregation. If all input together is tiny the
+    counts are ranked directly. Otherwise two steps first narrow down the values
+    that can hold each rank, in parallel, so that little is left to rank.
     """
     counts = values.groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+    if input_bytes(values) <= TINY_BYTES:
+        picked = _holding(_with_ranks(counts, probabilities), "v")
+    else:
+        picked = _holding(_narrowed(counts, probabilities), "v")
+    return picked.agg(
+        F.array(
+            *[F.max(F.when(F.col("i") == k, F.col("v"))) for k in range(len(probabilities))]
+        ).alias("quantiles")
+    )
 
+
+def _narrowed(counts: DataFrame, probabilities: Sequence[float]) -> DataFrame:
+    """The few values around each rank: ``(i, rank, v, n)``.
+
+    Step one counts log-scale buckets and picks the one holding each rank; step
+    two does the same for equal slices of that bucket. Both reuse the shuffle of
+    ``counts``. Bucketing never decreases with the value, so each step is exact.
+    One window partition sees at most about 750,000 buckets, then 1,048,577
+    slices, and the values left are the distinct doubles of one slice, which
+    spans at most 2e-9 of its value: a few hundred for amounts in cents, 17
+    million at the very most, whatever the size of the data.
+    """
     log = F.least(F.log1p(F.abs("v")), F.lit(710.0))
     bucket = F.floor(F.signum("v") * log * LOG_BUCKETS)
-    buckets = (
-        counts.groupBy(bucket.alias("bucket"))
-        .agg(F.sum("n").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
-        .select("*", F.posexplode(F.array(*[F.lit(float(p)) for p in probabilities])).alias("i", "p"))
-    )
-    total = F.sum("n").over(Window.partitionBy("i"))
-    rank = F.greatest(F.ceil(F.col("p") * total), F.lit(1))
-    first = _holding(buckets.withColumn("rank", rank), "bucket")
+    buckets = counts.groupBy(bucket.alias("bucket")).agg(
+        F.sum("n").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+    first = _holding(_with_ranks(buckets, probabilities), "bucket")
 
     # `first` and `second` have one row per probability, so broadcasting them is safe.
     held = F.broadcast(first.select("i", "bucket", "low", "high", "rank"))
     inside = counts.join(held, F.col("bucket") == bucket)
     span = F.col("high") - F.col("low")
     position = F.when(span > 0, F.floor((F.col("v") - F.col("low")) / span * SLICES)).otherwise(0)
-    slices = (
-        inside.groupBy("i", "rank", "bucket", position.alias("slice"))
-        .agg(F.sum("n").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
-    )
+    slices = inside.groupBy("i", "rank", "bucket", position.alias("slice")).agg(
+        F.sum("n").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
     second = _holding(slices, "slice")
 
     held = F.broadcast(second.select("i", "bucket", "low", "high", "rank"))
     in_slice = F.col("v").between(F.col("low"), F.col("high"))
     left = counts.join(held, (F.col("bucket") == bucket) & in_slice)
-    picked = _holding(left.select("i", "rank", "v", "n"), "v")
-    return picked.agg(
-        F.array(
-            *[F.max(F.when(F.col("i") == k, F.col("v"))) for k in range(len(probabilities))]
-        ).alias("quantiles")
-    )
+    return left.select("i", "rank", "v", "n")
+
+
+def _with_ranks(counted: DataFrame, probabilities: Sequence[float]) -> DataFrame:
+    """One copy of the counts per probability, with the rank it asks for."""
+    targets = F.array(*[F.lit(float(p)) for p in probabilities])
+    total = F.sum("n").over(Window.partitionBy("i"))
+    rank = F.greatest(F.ceil(F.col("p") * total), F.lit(1))
+    return counted.select("*", F.posexplode(targets).alias("i", "p")).withColumn("rank", rank)
 
 
 def _holding(counted: DataFrame, order: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ledgerloom.operators import aggregate, enrich, rank, report
 from ledgerloom.operators.integrate import integrate
-from ledgerloom.sinks.writers import save_tables, write_parquet
+from ledgerloom.sinks.writers import save_tables, side_by_side, write_parquet
 from ledgerloom.sources import contracts
 from ledgerloom.sources.readers import load_parquet_tables
 
@@ -75,18 +75,19 @@ def run_analysis(
     """
     base_path = analysed_path.rstrip("/")
 
-    def stored(name: str, df: DataFrame) -> DataFrame:
-        path = f"{base_path}/{name}"
-        write_parquet(df, path)
-        return spark.read.parquet(path)
+    def path(name: str) -> str:
+        return f"{base_path}/{contracts.OUTPUT_NAMES.get(name, name)}"
 
-    def output(name: str, df: DataFrame) -> DataFrame:
-        return stored(contracts.OUTPUT_NAMES[name], report.ordered_output(name, df))
+    def write(frames: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
+        side_by_side(
+            lambda name: write_parquet(report.ordered_output(name, frames[name]), path(name)),
+            frames)
+        return {name: spark.read.parquet(path(name)) for name in frames}
 
-    integrated = stored(INTEGRATED_FOLDER, integrate(load_parquet_tables(spark, cleaned_path)))
-    written = {name: output(name, df) for name, df in base_outputs(integrated).items()}
-    for name, df in outputs(integrated, written, statuses).items():
-        if name not in written:
-            written[name] = output(name, df)
+    tables = load_parquet_tables(spark, cleaned_path)
+    integrated = write({INTEGRATED_FOLDER: integrate(tables)})[INTEGRATED_FOLDER]
+    written = write(base_outputs(integrated))
+    rest = outputs(integrated, written, statuses)
+    written.update(write({name: df for name, df in rest.items() if name not in written}))
     if database is not None:
         save_tables(written, contracts.OUTPUT_NAMES, database=database)

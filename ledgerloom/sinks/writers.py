@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, DataFrameWriter
 
+# Spark jobs that the multi-table sinks submit at the same time.
+CONCURRENT_WRITES = 4
+
 
 def write_parquet(
     df: DataFrame,
@@ -32,8 +36,21 @@ def write_parquet_tables(
     **options,
 ) -> None:
     """Overwrite one folder per table under ``base_path``."""
-    for name, df in tables.items():
-        write_parquet(df, f"{base_path.rstrip('/')}/{folders[name]}", **options)
+
+    def write(name: str) -> None:
+        write_parquet(tables[name], f"{base_path.rstrip('/')}/{folders[name]}", **options)
+
+    side_by_side(write, tables)
+
+
+def side_by_side(action: Callable[[str], None], names: Iterable[str]) -> None:
+    """Run independent writes a few at a time.
+
+    The short jobs of small tables then fill the cores that a large table's last
+    tasks leave idle. The first failure is raised once the running writes end.
+    """
+    with ThreadPoolExecutor(CONCURRENT_WRITES) as pool:
+        list(pool.map(action, names))
 
 
 def save_table(
@@ -59,8 +76,11 @@ def save_tables(
     **options,
 ) -> None:
     """Overwrite one catalogue table per frame."""
-    for name, df in tables.items():
-        save_table(df, names[name], database=database, **options)
+
+    def save(name: str) -> None:
+        save_table(tables[name], names[name], database=database, **options)
+
+    side_by_side(save, tables)
 
 
 @contextmanager

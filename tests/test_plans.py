@@ -111,7 +111,7 @@ def test_product_metrics_take_one_scan(spark, tmp_path):
     assert "Expand" not in plan
 
 
-def test_quantile_values_are_counted_once(spark):
+def test_quantile_values_are_counted_once(spark, always_narrow):
     plan = final_plan(registry.QUERIES["cln_price_cutoffs"](spark, SMALL))
     assert plan.count("FileScan parquet") - plan.count("ReusedExchange") <= 1
 

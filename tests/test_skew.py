@@ -107,6 +107,7 @@ def test_ranks_equal_window_ranks_for_a_hot_seller(spark, request, salted):
         windowed(F.dense_rank, "total_revenue", "dense_rank"))
 
 
+@pytest.mark.usefixtures("always_narrow")
 @settings(max_examples=15, deadline=None, suppress_health_check=list(HealthCheck))
 @given(
     values=st.lists(
@@ -128,7 +129,10 @@ def test_quantiles_are_order_statistics(spark, values, probabilities):
     assert rows(quantiles(df, "v", probabilities))[0][0] == expected
 
 
-def test_quantiles_equal_the_exact_summary(spark):
+@pytest.mark.parametrize("narrowed", [False, True])
+def test_quantiles_equal_the_exact_summary(spark, request, narrowed):
+    if narrowed:
+        request.getfixturevalue("always_narrow")
     items = fx.frame(spark, SMALL, "f_order_items")
     probabilities = [0.0, 0.01, 0.2, 0.5, 0.99, 1.0]
     assert rows(quantiles(items, "price", probabilities))[0][0] == items.approxQuantile(
