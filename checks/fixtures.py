@@ -12,6 +12,7 @@ import string
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 RAW_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
 
@@ -143,7 +144,7 @@ def frame(
     built = {} if built is None else built
     if name not in built:
         if name in RAW_TABLES:
-            built[name] = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+            built[name] = _raw_table(spark, f"{sf_dir}/{name}.parquet")
         else:
             sql = FIXTURE_SQL[name]
             inputs = {n: frame(spark, sf_dir, n, built) for n in names_in(sql)}
@@ -151,6 +152,17 @@ def frame(
     return built[name]
 
 
+_SCHEMAS: dict[str, StructType] = {}
+
+
+def _raw_table(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table; its schema is read from the footers once per process."""
+    reader = spark.read.schema(_SCHEMAS[path]) if path in _SCHEMAS else spark.read
+    df = reader.parquet(path)
+    _SCHEMAS.setdefault(path, df.schema)
+    return df
+
+
 def tables(spark: SparkSession, sf_dir: str, **replaced: str) -> dict[str, DataFrame]:
     """The nine tables; keywords put another projection in a table's place."""
     built: dict[str, DataFrame] = {}

@@ -481,6 +481,22 @@ ORACLE = {
                {TEXT2.format('total_amount_spent')} AS total_amount_spent,
                {TEXT2.format('aov')} AS aov, {TEXT2.format('retention_rate')} AS retention_rate
         FROM {{a_retention}}""",
+    "fmt_customer_orders": f"""
+        SELECT customer_unique_id, {TEXT0.format('count(order_id)')} AS total_order
+        FROM {{x_orders}} GROUP BY 1""",
+    "fmt_seller_review_score": f"""
+        SELECT seller_id, {TEXT0.format('avg(review_score)')} AS avg_review_score
+        FROM {{x_orders}} GROUP BY 1""",
+    "fmt_most_sold_products": f"""
+        SELECT product_id, {TEXT0.format('n')} AS total_order
+        FROM (SELECT product_id, count(order_id) AS n FROM {{x_orders}} GROUP BY 1
+              ORDER BY 2 DESC, 1 LIMIT 10) top""",
+    "fmt_customer_purchase": f"""
+        SELECT customer_id, {TEXT2.format(cents('payment_value'))} AS total_amount_spent
+        FROM {{x_orders}} GROUP BY 1""",
+    "fmt_seller_products": f"""
+        SELECT seller_id, product_id, price, total_orders,
+               {TEXT2.format('total_revenue')} AS total_revenue FROM {{a_products}}""",
     "fmt_customer_spending": f"""
         SELECT customer_unique_id, total_orders, {TEXT2.format('revenue')} AS revenue, "AOV"
         FROM {{a_spending}}""",

@@ -527,6 +527,36 @@ def fmt_retention_report(spark, sf):
     return report.retention_report(retention(spark, sf))
 
 
+@query
+def fmt_customer_orders(spark, sf):
+    orders = integrated(spark, sf, ["customer_unique_id", "order_id"])
+    counts = aggregate.orders_per_customer(orders, one_row_per_order=True)
+    return report.report("customer_orders", counts)
+
+
+@query
+def fmt_seller_review_score(spark, sf):
+    orders = integrated(spark, sf, ["seller_id", "review_score"])
+    return report.report("seller_review_score", aggregate.seller_review_scores(orders))
+
+
+@query
+def fmt_most_sold_products(spark, sf):
+    orders = integrated(spark, sf, ["product_id", "order_id"])
+    return report.report("most_sold_products", aggregate.most_sold_products(orders), 10)
+
+
+@query
+def fmt_customer_purchase(spark, sf):
+    orders = integrated(spark, sf, ["customer_id", "payment_value"])
+    return report.report("customer_purchase", aggregate.customer_purchases(orders))
+
+
+@query
+def fmt_seller_products(spark, sf):
+    return report.report("seller_products", dense(spark, sf))
+
+
 @query
 def fmt_customer_spending(spark, sf):
     return report.report("customer_spending", spending(spark, sf))

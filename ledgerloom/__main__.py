@@ -6,10 +6,11 @@ import argparse
 
 from pyspark.sql import SparkSession
 
+from ledgerloom.operators.enrich import ORDER_STATUSES, observed_statuses
 from ledgerloom.plans.analysis import run_analysis
 from ledgerloom.plans.cleaning import run_cleaning
 from ledgerloom.plans.exploration import distributions, profile_tables
-from ledgerloom.sources.readers import load_csv_tables
+from ledgerloom.sources.readers import load_csv_tables, load_parquet_tables
 
 
 def main(arguments: list[str] | None = None) -> None:
@@ -32,6 +33,9 @@ def main(arguments: list[str] | None = None) -> None:
     analyse.add_argument("analysed_path")
     analyse.add_argument("--database", help="also save every output as a table of this database")
 
+    analyse.add_argument("--observed-statuses", action="store_true",
+                         help="one flag per status that occurs, not per declared status")
+
     args = parser.parse_args(arguments)
     spark = SparkSession.builder.appName(f"ledgerloom {args.command}").getOrCreate()
     if args.command == "explore":
@@ -43,7 +47,11 @@ def main(arguments: list[str] | None = None) -> None:
         run_cleaning(spark, args.raw_path, args.cleaned_path,
                      prefix=args.prefix, single_file=args.single_file)
     else:
-        run_analysis(spark, args.cleaned_path, args.analysed_path, database=args.database)
+        statuses = ORDER_STATUSES
+        if args.observed_statuses:
+            statuses = observed_statuses(load_parquet_tables(spark, args.cleaned_path)["orders"])
+        run_analysis(spark, args.cleaned_path, args.analysed_path,
+                     database=args.database, statuses=statuses)
 
 
 if __name__ == "__main__":

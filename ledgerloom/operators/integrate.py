@@ -22,7 +22,7 @@ REVIEW_ORDER = ("review_creation_date", "review_answer_timestamp")
 
 def orders_with_items(orders: DataFrame, order_items: DataFrame) -> DataFrame:
     """One row per item of an order; orders without items drop out."""
-    return orders.join(order_items, "order_id")
+    return lookup_join(order_items, orders, ["order_id"])
 
 
 def with_products(rows: DataFrame, products: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from checks import fixtures as fx
 from ledgerloom.__main__ import main
+from ledgerloom.operators.enrich import observed_statuses
 from ledgerloom.operators.integrate import grain_check
 from ledgerloom.plans import analysis
 from ledgerloom.plans.workspace import fresh_folder
@@ -46,7 +47,7 @@ def folders(spark, raw_path, tmp_path_factory):
     cleaned, analysed = str(base / "cleaned"), str(base / "analysed")
     spark.sql(f"CREATE DATABASE IF NOT EXISTS shop_out LOCATION '{base}/database'")
     main(["clean", raw_path, cleaned, "--prefix", PREFIX, "--single-file"])
-    main(["analyse", cleaned, analysed, "--database", "shop_out"])
+    main(["analyse", cleaned, analysed, "--database", "shop_out", "--observed-statuses"])
     return cleaned, analysed
 
 
@@ -80,6 +81,8 @@ def test_complete_orders_have_the_order_grain(spark, folders):
     count, distinct, unique = rows(grain_check(complete))[0]
     assert unique and count == distinct > 0
     assert {"is_delivered", "customer_type", "product_category_name_english"} <= set(complete.columns)
+    assert {c for c in complete.columns if c.startswith("is_")} == {
+        "is_canceled", "is_delivered", "is_invoiced"}
     flags = sum(F.col(c).cast("int") for c in complete.columns if c.startswith("is_"))
     assert complete.where(flags != 1).count() == 0
 
@@ -100,7 +103,8 @@ def test_outputs_agree_with_each_other(spark, folders):
 
 def test_stored_outputs_equal_lazy_outputs(spark, folders):
     integrated = spark.read.parquet(f"{folders[1]}/{analysis.INTEGRATED_FOLDER}")
-    for name, df in analysis.outputs(integrated).items():
+    statuses = observed_statuses(integrated)
+    for name, df in analysis.outputs(integrated, statuses=statuses).items():
         assert bag(df) == bag(output(spark, folders, name)), name
 
 
