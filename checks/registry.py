@@ -584,8 +584,7 @@ def raw(spark, sf) -> dict[str, DataFrame]:
 def cleaned_files(spark, sf) -> str:
     """The nine tables through the whole cleaning, written as the cleaning job does."""
     base = fresh_folder(spark, "cleaned")
-    writers.write_parquet_tables(
-        cleaning.clean_tables(raw(spark, sf)), base, contracts.CLEANED_FOLDERS)
+    cleaning.write_cleaned(raw(spark, sf), base)
     return base
 
 

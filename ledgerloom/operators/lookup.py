@@ -54,7 +54,9 @@ def lookup_join(
     limits the join is shuffled and its hot keys are salted: a hot key's rows are
     dealt over several groups by a hash of the row, and its lookup row is copied
     once per group. Rows without a key match nothing; an outer join deals them
-    out too. The checks read the optimiser's estimates, so no job runs here.
+    out too. The hash keeps a row's group the same when a lost task runs again;
+    it also keeps exact copies of a row together, so deduplicate first. The checks
+    read the optimiser's estimates, so no job runs here.
 
     ``hot`` makes the hot keys where there is a cheaper way than to count the keys
     of ``rows``: ``hot_keys`` of the base table, or ``hot_among`` counts that an
@@ -68,7 +70,7 @@ def lookup_join(
 
     partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     hot_rows = F.broadcast(hot_keys(rows, on) if hot is None else hot())
-    row_hash = F.xxhash64(*[F.col(c) for c in rows.columns])
+    row_hash = F.xxhash64(*[F.col(c) for c, t in rows.dtypes if "map<" not in t])
     no_key = F.greatest(*[F.col(c).isNull() for c in on], F.lit(False))
     salt = (
         F.when(no_key, F.pmod(row_hash, F.lit(partitions)))

@@ -12,14 +12,15 @@ from ledgerloom.sources import contracts
 from ledgerloom.sources.readers import load_csv_tables
 
 
-def clean_table(name: str, df: DataFrame, quantile_accuracy: int | None = None) -> DataFrame:
-    """One table cleaned, as a lazy frame.
+# Tables whose last step looks at all repaired rows before it treats each of them.
+TWO_PASS_TABLES = ("order_items", "products")
 
-    The order is part of the result: missing dates and measures are filled, types
-    repaired and payment types translated; then full-row duplicates go; then the
-    order features are derived, and the price cut-offs and weight bands are taken
-    over rows that no longer repeat.
-    """
+# Working tables of the cleaning job, below the cleaned folder.
+REPAIRED_FOLDER = "_repaired"
+
+
+def repair_table(name: str, df: DataFrame) -> DataFrame:
+    """Fill missing dates and measures, repair types, translate payment types, then deduplicate."""
     if name == "orders":
         df = clean.impute_order_dates(df)
     elif name == "products":
@@ -28,18 +29,25 @@ def clean_table(name: str, df: DataFrame, quantile_accuracy: int | None = None)
         df = clean.standardise_payment_types(df)
     if name in contracts.CORRECTED_TYPES:
         df = clean.cast_columns(df, contracts.CORRECTED_TYPES[name])
+    return clean.deduplicate(df)
 
-    df = clean.deduplicate(df)
 
+def finish_table(name: str, df: DataFrame, quantile_accuracy: int | None = None) -> DataFrame:
+    """Derive order features; cut price outliers and band weights over rows that no longer repeat."""
     if name == "orders":
-        df = features.add_calendar(features.add_durations(df))
-    elif name == "order_items":
-        df = clean.drop_price_outliers(df, accuracy=quantile_accuracy)
-    elif name == "products":
-        df = clean.add_weight_band(df, accuracy=quantile_accuracy)
+        return features.add_calendar(features.add_durations(df))
+    if name == "order_items":
+        return clean.drop_price_outliers(df, accuracy=quantile_accuracy)
+    if name == "products":
+        return clean.add_weight_band(df, accuracy=quantile_accuracy)
     return df
 
 
+def clean_table(name: str, df: DataFrame, quantile_accuracy: int | None = None) -> DataFrame:
+    """One table repaired and finished, as a lazy frame."""
+    return finish_table(name, repair_table(name, df), quantile_accuracy)
+
+
 def clean_tables(
     tables: Mapping[str, DataFrame], quantile_accuracy: int | None = None
 ) -> dict[str, DataFrame]:
@@ -47,15 +55,32 @@ def clean_tables(
     return {name: clean_table(name, df, quantile_accuracy) for name, df in tables.items()}
 
 
-def run_cleaning(
-    spark: SparkSession,
-    raw_path: str,
+def write_cleaned(
+    tables: Mapping[str, DataFrame],
     cleaned_path: str,
     *,
-    prefix: str = "",
     quantile_accuracy: int | None = None,
     **write_options,
 ) -> None:
-    """Read the raw CSV tables, clean them and overwrite one Parquet folder per table."""
-    tables = clean_tables(load_csv_tables(spark, raw_path, prefix=prefix), quantile_accuracy)
-    write_parquet_tables(tables, cleaned_path, contracts.CLEANED_FOLDERS, **write_options)
+    """Clean raw tables and overwrite one Parquet folder per table.
+
+    Quantiles need all rows of a table before its first row can be written. The
+    tables concerned are written repaired and read back: the raw input is parsed
+    and shuffled once instead of twice, the quantiles then read one column, and
+    the price filter reaches the scan.
+    """
+    repaired = {name: repair_table(name, df) for name, df in tables.items()}
+    staged = {name: repaired[name] for name in TWO_PASS_TABLES}
+    staged_path = f"{cleaned_path.rstrip('/')}/{REPAIRED_FOLDER}"
+    write_parquet_tables(staged, staged_path, {name: name for name in staged})
+    for name, df in staged.items():
+        repaired[name] = df.sparkSession.read.parquet(f"{staged_path}/{name}")
+    finished = {name: finish_table(name, df, quantile_accuracy) for name, df in repaired.items()}
+    write_parquet_tables(finished, cleaned_path, contracts.CLEANED_FOLDERS, **write_options)
+
+
+def run_cleaning(
+    spark: SparkSession, raw_path: str, cleaned_path: str, *, prefix: str = "", **options
+) -> None:
+    """Read the raw CSV tables and write them cleaned; ``options`` as for ``write_cleaned``."""
+    write_cleaned(load_csv_tables(spark, raw_path, prefix=prefix), cleaned_path, **options)
