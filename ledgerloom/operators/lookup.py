@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,8 +25,8 @@ def hot_keys(df: DataFrame, on: Sequence[str]) -> DataFrame:
     key fills, and sums to less than 2 P. The counts are exact, so every
     evaluation of the plan, also after a lost executor, agrees on them.
     """
-    present = df.where(F.least(*[F.col(c).isNotNull() for c in on], F.lit(True)))
-    return hot_among(present.groupBy(*on).agg(F.count(F.lit(1)).alias("n")), on)
+    counts = df.dropna(subset=list(on)).groupBy(*on).agg(F.count(F.lit(1)).alias("n"))
+    return hot_among(counts, on)
 
 
 def hot_among(counts: DataFrame, on: Sequence[str]) -> DataFrame:
@@ -71,7 +73,7 @@ def lookup_join(
     partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     hot_rows = F.broadcast(hot_keys(rows, on) if hot is None else hot())
     row_hash = F.xxhash64(*[F.col(c) for c, t in rows.dtypes if "map<" not in t])
-    no_key = F.greatest(*[F.col(c).isNull() for c in on], F.lit(False))
+    no_key = reduce(or_, [F.col(c).isNull() for c in on])
     salt = (
         F.when(no_key, F.pmod(row_hash, F.lit(partitions)))
         .when(F.col(_COPIES).isNotNull(), F.pmod(row_hash, F.col(_COPIES)))
