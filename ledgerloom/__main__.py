@@ -33,6 +33,8 @@ def main(arguments: list[str] | None = None) -> None:
     analyse.add_argument("analysed_path")
     analyse.add_argument("--database", help="also save every output as a table of this database")
 
+    analyse.add_argument("--partition-orders-by", nargs="*", default=[], metavar="COLUMN",
+                         help="folder columns of the complete orders, e.g. purchase_year")
     analyse.add_argument("--observed-statuses", action="store_true",
                          help="one flag per status that occurs, not per declared status")
 
@@ -51,7 +53,8 @@ def main(arguments: list[str] | None = None) -> None:
         if args.observed_statuses:
             statuses = observed_statuses(load_parquet_tables(spark, args.cleaned_path)["orders"])
         run_analysis(spark, args.cleaned_path, args.analysed_path,
-                     database=args.database, statuses=statuses)
+                     database=args.database, statuses=statuses,
+                     partition_orders_by=args.partition_orders_by)
 
 
 if __name__ == "__main__":

@@ -64,6 +64,7 @@ def run_analysis(
     *,
     database: str | None = None,
     statuses: Sequence[str] = enrich.ORDER_STATUSES,
+    partition_orders_by: Sequence[str] = (),
 ) -> None:
     """Integrate the cleaned tables and overwrite all outputs, as Parquet and as tables.
 
@@ -71,7 +72,8 @@ def run_analysis(
     later steps prune columns, and a lost executor costs a re-read instead of a
     re-join. Outputs that feed others are written first and read back likewise.
     With ``database`` every output is also saved as a catalogue table, copied from
-    the file just written.
+    the file just written. ``partition_orders_by`` lays the complete orders out in
+    folders, say by ``purchase_year``, so that readers of one year skip the rest.
     """
     base_path = analysed_path.rstrip("/")
 
@@ -79,9 +81,12 @@ def run_analysis(
         return f"{base_path}/{contracts.OUTPUT_NAMES.get(name, name)}"
 
     def write(frames: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
-        side_by_side(
-            lambda name: write_parquet(report.ordered_output(name, frames[name]), path(name)),
-            frames)
+        def write_one(name: str) -> None:
+            folders = partition_orders_by if name == "complete_orders" else ()
+            df = report.ordered_output(name, frames[name])
+            write_parquet(df, path(name), partition_by=folders)
+
+        side_by_side(write_one, frames)
         return {name: spark.read.parquet(path(name)) for name in frames}
 
     tables = load_parquet_tables(spark, cleaned_path)

@@ -15,7 +15,7 @@ from ledgerloom.plans.workspace import fresh_folder
 from ledgerloom.sinks import writers
 from ledgerloom.sources import contracts, readers
 from tests.conftest import SMALL
-from tests.helpers import bag, rows
+from tests.helpers import bag, physical_plan, rows
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SMALL), reason="test data not present")
 
@@ -115,8 +115,14 @@ def test_output_order_is_kept_in_the_files(spark, folders):
 
 def test_a_second_run_overwrites(spark, folders):
     before = bag(output(spark, folders, "seller_performance"))
-    analysis.run_analysis(spark, *folders)
+    orders = bag(output(spark, folders, "complete_orders").select("order_id", "purchase_year"))
+    analysis.run_analysis(spark, *folders, partition_orders_by=["purchase_year"])
     assert bag(output(spark, folders, "seller_performance")) == before
+    again = output(spark, folders, "complete_orders")
+    assert bag(again.select("order_id", "purchase_year")) == orders
+    year = again.first().purchase_year
+    assert "PartitionFilters: [isnotnull(purchase_year" in physical_plan(
+        again.where(F.col("purchase_year") == year))
 
 
 def test_explore_prints_every_result(spark, raw_path, capsys):

@@ -28,6 +28,20 @@ def test_query_equals_oracle(spark, connection, name):
     assert difference(entry.queries()[name](spark, SMALL), connection, ORACLES[name]) is None
 
 
+LARGE_PATHS = [
+    name for name in registry.QUERIES
+    if name.startswith(("jon_", "win_", "cln_price_", "cln_weight_", "enr_orders_"))
+]
+
+
+@pytest.mark.usefixtures("always_salt", "always_narrow")
+@pytest.mark.parametrize("name", LARGE_PATHS)
+def test_paths_for_large_data_equal_the_oracle(spark, connection, name):
+    """The plans that real sizes get: shuffled, salted joins and narrowed quantiles."""
+    df = registry.QUERIES[name](spark, SMALL)
+    assert difference(df, connection, ORACLES[name]) is None
+
+
 def test_comparison_sees_a_difference(spark, connection):
     query = registry.QUERIES["exp_orders_by_status"]
     wrong = ORACLES["exp_orders_by_status"].replace("count(order_id)", "count(order_id) + 1")
