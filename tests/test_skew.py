@@ -76,11 +76,31 @@ def test_small_sides_join_plainly(spark):
     assert "_salt" not in plan
 
 
+def skewed_tables(spark):
+    """The fixture with a third of its rows on one product, seller, customer and zip prefix."""
+    tables = fx.tables(spark, SMALL)
+
+    def hot(df, key, column, value):
+        return df.withColumn(column, F.when(F.col(key) % 3 == 0, value).otherwise(F.col(column)))
+
+    items = hot(tables["order_items"], "order_id", "product_id", 7)
+    tables["order_items"] = hot(items, "price", "seller_id", 5)
+    tables["orders"] = hot(tables["orders"], "order_id", "customer_id", 3)
+    tables["customers"] = hot(
+        tables["customers"], "customer_id", "customer_zip_code_prefix", 1001)
+    return tables
+
+
 def test_integration_is_the_same_when_salted(spark, monkeypatch, conf):
-    plain = bag(integrate(fx.tables(spark, SMALL)))
+    plain = bag(integrate(skewed_tables(spark)))
     monkeypatch.setattr(lookup, "SKEW_BYTES", -1)
     conf(spark__sql__autoBroadcastJoinThreshold="-1")
-    assert bag(integrate(fx.tables(spark, SMALL))) == plain
+    tables = skewed_tables(spark)
+    assert rows(hot_keys(tables["order_items"], ["product_id"]).select("product_id")) == [(7,)]
+    assert rows(hot_keys(tables["orders"], ["customer_id"]).select("customer_id")) == [(3,)]
+    salted = integrate(tables)
+    assert "_salt" in salted._jdf.queryExecution().analyzed().toString()
+    assert bag(salted) == plain
 
 
 @pytest.mark.parametrize("salted", [False, True])
