@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import packing, simhash, suffix_dedup
+from ledgerloom.llm import packing, simhash, suffix_dedup, topk
 from ledgerloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,3 +41,32 @@ def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What stays of every document without strings of 50 bytes of earlier ones."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return suffix_dedup.dedup(docs, digest=True).drop("text")
+
+
+@query
+def op10_exact_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best partners of every fiftieth vector among all vectors."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.top_k(vectors, F.col("vec_id") % 50 == 0)
+
+
+ORACLES["op10_exact_top_k_search"] = """
+WITH valid AS (
+    SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT))
+        AS vector
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+), scored AS (
+    SELECT q.vec_id AS query_id, c.vec_id,
+           CAST(list_sum(list_transform(range(1, len(q.vector) + 1),
+                lambda i: q.vector[i] * c.vector[i])) AS BIGINT) AS score
+    FROM valid q JOIN valid c ON q.vec_id <> c.vec_id AND len(q.vector) = len(c.vector)
+    WHERE q.vec_id % 50 = 0
+), ranked AS (
+    SELECT query_id, CAST(row_number() OVER (
+        PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+    FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
