@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from unicodedata import normalize
 
 import numpy as np
 import pyarrow as pa
@@ -31,38 +32,66 @@ MERGED_BINS = 65536
 MERGED_TASKS = 32
 END_ID = 0
 #: Entries of a worker's word cache, in each of two generations.
-CACHED_WORDS = 300_000
+CACHED_WORDS = 500_000
 LONGEST_CACHED = 64
 
 PIECES = ("doc_id long, piece int, start long, length long, ids_crc32 long, ids binary, "
           "sequence_id long, offset long, loose boolean")
 
 
+#: Bytes that byte-level vocabularies write as the code points from 256 on, in this order.
+SHIFTED = {byte: 256 + i for i, byte in enumerate(
+    [*range(0x21), *range(0x7F, 0xA1), 0xAD])}
+
+
 class WordIds:
     """Token ids of texts as little-endian uint32 bytes.
 
-    The tokenizer never joins characters across white space, so ids are looked up per
-    word; words unseen so far are encoded in one call per batch.
+    The tokenizer never joins characters across white space, nor letters and other signs, so
+    ids are looked up per word; words of letters that are new go to the merges straight away,
+    all other new words through the whole tokenizer.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
+        self._merges = self._tokenizer.model
+        self._four = [x.to_bytes(4, "little") for x in range(self._tokenizer.get_vocab_size())]
         self._young: dict[str, bytes] = {"": b""}
         self._old: dict[str, bytes] = {}
 
+    def _letters(self, lower: str) -> bytes:
+        """Ids of a lower-case word of letters."""
+        if not lower.isascii():
+            lower = lower.encode().decode("latin-1").translate(SHIFTED)
+        return b"".join([self._four[x.id] for x in self._merges.tokenize(lower)])
+
     def _encode(self, words: list[str]) -> list[bytes]:
         found = self._tokenizer.encode_batch_fast(words, add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in found]
+        return [b"".join([self._four[i] for i in x.ids]) for x in found]
 
-    @staticmethod
-    def _parts(word: str) -> tuple[str, str]:
-        """A word without its last stops and commas, which are tokens of their own, and these."""
-        stem = word.rstrip(".,")
-        if stem and stem != word and stem[-1].isalnum():
-            return stem, word[len(stem):]
-        return word, ""
+    def _learn(self, missing: set[str]) -> None:
+        young, others = self._young, {}
+        for word in missing:
+            stem = word.rstrip(".,")
+            if stem.isalpha() and "\u03a3" not in stem:  # whose lower case depends on the place
+                lower = stem.lower()
+                if not lower.isascii():
+                    lower = normalize("NFC", stem).lower()
+                if lower.isalpha():
+                    ids = young.get(lower)
+                    if ids is None:
+                        ids = young[lower] = self._letters(lower)
+                    tail = word[len(stem):]
+                    if tail:
+                        if tail not in young:
+                            young[tail], = self._encode([tail])
+                        ids = ids + young[tail]
+                    young[word] = ids
+                    continue
+            others[word] = None
+        young.update(zip(others, self._encode(list(others))))
 
     def of(self, texts: list[str]) -> list[bytes]:
         split = [x.replace("\n", " ").split(" ") for x in texts]
@@ -70,29 +99,15 @@ class WordIds:
             self._young, self._old = {"": b""}, self._young
         young, old = self._young, self._old
         missing = set().union(*split).difference(young)
-        for word in [x for x in missing if x in old]:
-            young[word] = old[word]
-            missing.discard(word)
-        stems = {}
-        for word in missing:
-            stem, tail = self._parts(word)
-            if stem not in young:
-                stems[stem] = None
-            if tail not in young:
-                stems[tail] = None
-        new = dict(zip(stems, self._encode(list(stems))))
-        once = {x for x in missing if len(x) > LONGEST_CACHED}
-
-        def ids(part: str) -> bytes:
-            return new[part] if part in new else young[part]
-
-        for word in missing:
-            stem, tail = self._parts(word)
-            new[word] = ids(stem) + ids(tail)
-        young.update(new)
+        known = missing.intersection(old)
+        young.update((word, old[word]) for word in known)
+        missing -= known
+        self._learn(missing)
         out = [b"".join(map(young.__getitem__, words)) for words in split]
-        for word in once | {x for x in new if len(x) > LONGEST_CACHED}:
-            young.pop(word, None)
+        for word in missing:
+            if len(word) > LONGEST_CACHED:
+                young.pop(word, None)
+                young.pop(word.rstrip(".,").lower(), None)
         return out
 
 
