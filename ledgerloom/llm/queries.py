@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import packing, simhash, suffix_dedup, topk, toxicity
+from ledgerloom.llm import multiset_hash, packing, simhash, suffix_dedup, topk, toxicity
 from ledgerloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +37,18 @@ def op3_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (toxicity.fold() == 0).alias("held_out"), "score", "predicted")
 
 
+@query
+def op5_multiset_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text, its edited text, and their likeness."""
+    made = multiset_hash.with_edited(table(spark, sf_dir, "documents"))
+    fp, edited = F.col("fp"), F.col("edited_fp")
+    return made.select(
+        "doc_id", "n_chars", "edited_sha256", multiset_hash.as_string(fp).alias("fingerprint"),
+        multiset_hash.as_string(edited).alias("edited_fingerprint"),
+        multiset_hash.likeness(fp, edited).alias("near_edited"),
+        multiset_hash.likeness(fp, F.col("next_fp")).alias("near_next"))
+
+
 @query
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
