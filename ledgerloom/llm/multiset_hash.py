@@ -64,11 +64,15 @@ def fingerprint(text: Column) -> Column:
         paragraphs, IDENTITY_LANES,
         lambda s, p, lane: (s + F.shiftrightunsigned(F.xxhash64(lane, p), 16))
         .bitwiseAND(F.lit(_IDENTITY_MASK)))
+
+    def hashed(number: int) -> Column:
+        return F.transform(pieces, lambda x: F.xxhash64(F.lit(number), x))
+
     lanes = [
-        _summed(F.transform(pieces, lambda x, n=n: F.xxhash64(F.lit(n), x)), WORDS,
+        _summed(hashed(number), WORDS,
                 lambda s, h, lane: (s + _shifted(h, lane).bitwiseAND(F.lit(_ONES)))
                 .bitwiseAND(F.lit(_LANES)))
-        for n in range(HASHES)
+        for number in range(HASHES)
     ]
     return F.struct(identity.alias("identity"), F.size(pieces).cast("long").alias("pieces"),
                     F.concat(*lanes).alias("lanes"))
