@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import multiset_hash, packing, simhash, suffix_dedup, topk, toxicity
+from ledgerloom.llm import multiset_hash, packing, pii, simhash, suffix_dedup, topk, toxicity
 from ledgerloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,6 +57,20 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+@query
+def op7_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of personal data in every document."""
+    found = pii.detect(table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"])
+
+    def count(number: int, kind: str) -> Column:
+        return F.size(F.filter("base", lambda x: x["kind"] == number)).cast("long") \
+            .alias(f"n_{kind}")
+
+    counts = [count(i, kind) for i, kind in enumerate(pii.KINDS)]
+    return found.select("doc_id", *counts, F.sha2(pii.listed(F.col("base")), 256)
+                        .alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
+
+
 @query
 def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What stays of every document without strings of 50 bytes of earlier ones."""
