@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import multiset_hash, packing, pii, simhash, suffix_dedup, topk, toxicity
+from ledgerloom.llm import (
+    multiset_hash, packing, pii, simhash, suffix_dedup, topk, toxicity, url_rules,
+)
 from ledgerloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +39,12 @@ def op3_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (toxicity.fold() == 0).alias("held_out"), "score", "predicted")
 
 
+@query
+def op4_association_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A verdict for every page's url."""
+    return url_rules.judged(table(spark, sf_dir, "pages"))
+
+
 @query
 def op5_multiset_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every text, its edited text, and their likeness."""
