@@ -9,6 +9,11 @@ once; by the triangle inequality a pair whose distances to any reference differ
 the limit is discarded, and only survivors are compared bit by bit. A group gives the edges
 of a spanning forest, not its pairs. Groups above a size are split into pairs of chunks.
 
+``one_of_each`` looks for edited copies too, whose shingle fingerprints are farther apart than
+any table reaches: candidates are pairs with at most four different bits in one of several
+fingerprints of single words, which an edit changes less, and links are those of them whose
+fingerprints of five-word shingles differ in at most twelve bits (about a similarity of 0.8).
+
 Defined cases: a null or empty text has fingerprint zero; fewer words than a shingle are one
 shingle; rows with a null or repeated doc_id are compared like any other, and a component
 without any doc_id has none; an empty table gives no rows; other columns are not read.
@@ -32,10 +37,29 @@ SEED = 42
 MOST_BITS = 4
 PIVOTS = 24
 CHUNK = 4096
+#: Of edited copies: words of a shingle, bits that may differ, fingerprints of single words.
+EDITED_SHINGLE, EDITED_BITS, ROUNDS = 5, 12, 3
 #: Members of a group that are compared with so many followers at once; larger groups walk.
 NEXT = 8
 
 
+def references(count: int = PIVOTS) -> np.ndarray:
+    """Fixed reference fingerprints."""
+    drawn = random.Random(SEED)
+    return np.array([drawn.getrandbits(64) for _ in range(count)], "<u8")
+
+
+def _majority(hashes: np.ndarray) -> int:
+    """The bits that more than half of the hashes have."""
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 8192):
+        bits = np.unpackbits(hashes[at:at + 8192].view(np.uint8).reshape(-1, 8), axis=1,
+                             bitorder="little")
+        counts += bits.sum(axis=0, dtype=np.int64)
+    set_bits = (2 * counts > len(hashes)).astype(np.uint8)
+    return int(np.packbits(set_bits, bitorder="little").view("<u8")[0])
+
+
 def fingerprint(text: str, words: int = SHINGLE) -> int:
     """Unsigned 64-bit fingerprint of a text."""
     from xxhash import xxh64_intdigest
@@ -49,98 +73,129 @@ def fingerprint(text: str, words: int = SHINGLE) -> int:
         cuts = [joined]
     else:
         cuts = [joined[a + 1:b] for a, b in zip(ends, ends[words:])]
-    hashes = np.array([xxh64_intdigest(x, SEED) for x in cuts], "<u8")
-    counts = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), 8192):
-        bits = np.unpackbits(hashes[at:at + 8192].view(np.uint8).reshape(-1, 8), axis=1,
-                             bitorder="little")
-        counts += bits.sum(axis=0, dtype=np.int64)
-    set_bits = (2 * counts > len(hashes)).astype(np.uint8)
-    return int(np.packbits(set_bits, bitorder="little").view("<u8")[0])
+    return _majority(np.array([xxh64_intdigest(x, SEED) for x in cuts], "<u8"))
+
 
+def word_fingerprints(text: str, known: dict[bytes, int], count: int = ROUNDS) -> list[int]:
+    """Fingerprints of the single words, by so many families of hashes."""
+    from xxhash import xxh64_intdigest
 
-def fingerprints(docs: DataFrame, words: int = SHINGLE) -> DataFrame:
-    """``doc_id`` and ``fp``, the fingerprint as a signed long."""
+    found = text.encode().lower().split()
+    if not found:
+        return [0] * count
+    for word in set(found).difference(known):
+        known[word] = xxh64_intdigest(word, SEED)
+    hashes = np.array([known[x] for x in found], "<u8")
+    if len(known) > 500_000:
+        known.clear()
+    out = []
+    for number in range(count):
+        mixed = (hashes ^ np.uint64(references(count)[number])) * np.uint64(0x9E3779B97F4A7C15)
+        out.append(_majority((mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93)))
+    return out
+
+
+def fingerprints(docs: DataFrame, words: int = SHINGLE, rounds: int = 0) -> DataFrame:
+    """``doc_id``, ``fp`` (a signed long) and ``word_fps``, so many of single words."""
     ship(docs.sparkSession)
 
     def made(batches):
+        known: dict[bytes, int] = {}
         for batch in batches:
-            fps = np.array([fingerprint(x, words) for x in batch.column(1).to_pylist()], "<u8")
+            texts = batch.column(1).to_pylist()
+            fps = np.array([fingerprint(x, words) for x in texts], "<u8")
+            of_words = np.array([word_fingerprints(x, known, rounds) for x in texts], "<u8")
+            offsets = np.arange(len(texts) + 1, dtype=np.int32) * rounds
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(fps.view("<i8"))], names=["doc_id", "fp"])
+                [batch.column(0), pa.array(fps.view("<i8")),
+                 pa.ListArray.from_arrays(offsets, pa.array(of_words.ravel().view("<i8")))],
+                names=["doc_id", "fp", "word_fps"])
 
     texts = docs.select(F.col("doc_id").cast("long"), whole_text().alias("text"))
-    return texts.mapInArrow(made, "doc_id long, fp long")
-
-
-def references(count: int = PIVOTS) -> np.ndarray:
-    """Fixed reference fingerprints."""
-    drawn = random.Random(SEED)
-    return np.array([drawn.getrandbits(64) for _ in range(count)], "<u8")
-
-
-def _walk(fps: np.ndarray, table: np.ndarray, most: int) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of one group, as places in it."""
-    left, edges = np.arange(len(fps)), []
-    while len(left):
-        queue, left = [left[0]], left[1:]
-        while queue and len(left):
-            at = queue.pop()
-            near = left
-            for pivot in range(table.shape[1]):
-                if len(near) <= 64:
-                    break
-                near = near[np.abs(table[near, pivot] - table[at, pivot]) <= most]
-            near = near[(np.abs(table[near] - table[at]) <= most).all(axis=1)]
-            near = near[np.bitwise_count(fps[near] ^ fps[at]) <= most]
-            edges += [(at, x) for x in near]
-            queue += list(near)
-            left = np.setdiff1d(left, near, assume_unique=True)
-    return edges
-
-
-def _linked(groups: np.ndarray, fps: np.ndarray, most: int) -> np.ndarray:
-    """Pairs of places that are linked; ``groups`` is sorted and splits them."""
-    table = np.bitwise_count(fps[:, None] ^ references()[None, :]).astype(np.int8)
-    firsts = np.flatnonzero(np.r_[True, groups[1:] != groups[:-1]])
-    sizes = np.diff(np.r_[firsts, len(groups)])
-    small = np.repeat(sizes <= NEXT + 1, sizes)
-    found = []
-    for step in range(1, NEXT + 1):
-        a = np.flatnonzero(small[:-step] & (groups[:-step] == groups[step:])) \
-            if len(fps) > step else np.empty(0, int)
-        a = a[(np.abs(table[a] - table[a + step]) <= most).all(axis=1)]
-        a = a[np.bitwise_count(fps[a] ^ fps[a + step]) <= most]
-        found.append(np.stack([a, a + step], axis=1))
-    for first, size in zip(firsts[sizes > NEXT + 1], sizes[sizes > NEXT + 1]):
-        edges = _walk(fps[first:first + size], table[first:first + size], most)
-        if edges:
-            found.append(np.array(edges) + first)
-    return np.concatenate(found)
-
-
-def _solve(batches, most: int):
-    """Edges of each group; a partition's rows come sorted by group (two columns) and
-    a group, of at most two chunks, is carried over to the next batch until it ends."""
-    rest = np.empty((0, 3), np.int64)
+    return texts.mapInArrow(made, "doc_id long, fp long, word_fps array<long>")
+
+
+class _Links:
+    """Which members of a group are linked: by their fingerprints' pivot distances, then their
+    bits, then (if given) a second fingerprint's bits."""
+
+    def __init__(self, fps: np.ndarray, second: np.ndarray, most: int, second_most: int | None):
+        self.fps, self.second, self.most, self.second_most = fps, second, most, second_most
+        self.table = np.bitwise_count(fps[:, None] ^ references()[None, :]).astype(np.int8)
+
+    def alike(self, a, b: np.ndarray) -> np.ndarray:
+        """Which of the places ``b`` are linked with ``a`` (one place, or one for each)."""
+        kept = np.arange(len(b))
+        first = a if np.isscalar(a) else a[kept]
+        if len(b) > 64:  # most pairs leave by the first few distances
+            near = np.abs(self.table[b, :4] - self.table[first, :4]) <= self.most
+            kept = kept[near.all(axis=1)]
+        first = a if np.isscalar(a) else a[kept]
+        near = (np.abs(self.table[b[kept]] - self.table[first]) <= self.most).all(axis=1)
+        kept = kept[near]
+        first = a if np.isscalar(a) else a[kept]
+        kept = kept[np.bitwise_count(self.fps[b[kept]] ^ self.fps[first]) <= self.most]
+        if self.second_most is not None:
+            first = a if np.isscalar(a) else a[kept]
+            differ = np.bitwise_count(self.second[b[kept]] ^ self.second[first])
+            kept = kept[differ <= self.second_most]
+        return kept
+
+    def walk(self, members: np.ndarray) -> list[tuple[int, int]]:
+        """Edges of a spanning forest of one group."""
+        left, edges = members, []
+        while len(left):
+            queue, left = [int(left[0])], left[1:]
+            while queue and len(left):
+                at = queue.pop()
+                near = self.alike(at, left)
+                found = left[near].tolist()
+                edges += [(at, x) for x in found]
+                queue += found
+                left = np.delete(left, near)
+        return edges
+
+    def edges(self, groups: np.ndarray) -> np.ndarray:
+        """Pairs of linked places; ``groups`` is sorted. Small groups go pair by pair, at
+        once for all of them."""
+        firsts = np.flatnonzero(np.r_[True, groups[1:] != groups[:-1]])
+        sizes = np.diff(np.r_[firsts, len(groups)])
+        small = np.repeat(sizes <= NEXT + 1, sizes)
+        found = [np.empty((0, 2), int)]
+        for step in range(1, min(NEXT + 1, len(groups))):
+            a = np.flatnonzero(small[:-step] & (groups[:-step] == groups[step:]))
+            a = a[self.alike(a, a + step)]
+            found.append(np.stack([a, a + step], axis=1))
+        for first, size in zip(firsts[sizes > NEXT + 1], sizes[sizes > NEXT + 1]):
+            edges = self.walk(np.arange(first, first + size))
+            if edges:
+                found.append(np.array(edges))
+        return np.concatenate(found)
+
+
+def _solve(batches, most: int, second_most: int | None):
+    """Edges of each group; a partition's rows (group in two columns, node, two fingerprints)
+    come sorted by group, and a group, of at most two chunks, is carried over to the next
+    batch until it ends."""
+    rest = np.empty((0, 5), np.int64)
 
     def edges(rows: np.ndarray) -> pa.RecordBatch:
         changes = (rows[1:, :2] != rows[:-1, :2]).any(axis=1)
-        groups = np.r_[0, np.cumsum(changes)] if len(rows) else np.empty(0, int)
-        pairs = _linked(groups, rows[:, 2].view("<u8"), most)
+        links = _Links(rows[:, 3].astype("<u8"), rows[:, 4].astype("<u8"), most, second_most)
+        pairs = links.edges(np.r_[0, np.cumsum(changes)])
         return pa.RecordBatch.from_arrays(
             [pa.array(rows[pairs[:, 0], 2]), pa.array(rows[pairs[:, 1], 2])], names=["a", "b"])
 
     for batch in batches:
-        rows = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)], axis=1)
+        rows = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)], axis=1)
         rows = np.concatenate([rest, rows])
         if not len(rows):
             continue
         last = np.flatnonzero((rows[:, :2] != rows[-1, :2]).any(axis=1))
         cut = last[-1] + 1 if len(last) else 0
-        rest = np.ascontiguousarray(rows[cut:])
+        rest = rows[cut:].copy()
         if cut:
-            yield edges(np.ascontiguousarray(rows[:cut]))
+            yield edges(rows[:cut])
     if len(rest):
         yield edges(rest)
 
@@ -165,39 +220,65 @@ def _table_keys(blocks: int, most: int) -> list[Column]:
     return keys
 
 
-def links(nodes: DataFrame, most: int = MOST_BITS) -> DataFrame:
-    """Edges ``a``, ``b`` between distinct fingerprints ``fp`` that join all linked ones."""
+def links(nodes: DataFrame, most: int = MOST_BITS, second_most: int | None = None) -> DataFrame:
+    """Edges ``a``, ``b`` that join all linked nodes, given ``node``, ``fp`` and ``second``."""
     ship(nodes.sparkSession)
     keys = _table_keys(blocks_for(nodes.count(), most), most)
-    entries = nodes.select(F.explode(F.array(*keys)).alias("key"), "fp")
+    entries = nodes.select(F.explode(F.array(*keys)).alias("key"), "node", "fp", "second")
     sizes = entries.groupBy("key").count().where("count > 1")
     members = (
         entries.join(sizes, "key")
         .withColumn("chunks", F.ceil(F.col("count") / CHUNK))
-        .withColumn("own", F.pmod(F.xxhash64("fp"), "chunks"))
+        .withColumn("own", F.pmod(F.xxhash64("node"), "chunks"))
         # a member meets its own chunk and every other: once per unordered pair of chunks
         .withColumn("other", F.explode(F.expr("sequence(0L, chunks - 1)")))
         .select("key", (F.least("own", "other") * F.col("chunks") + F.greatest("own", "other"))
-                .alias("pair"), "fp")
+                .alias("pair"), "node", "fp", "second")
     )
-    dealt = members.repartition("key", "pair").sortWithinPartitions("key", "pair", "fp")
-    return dealt.mapInArrow(lambda batches: _solve(batches, most), "a long, b long")
+    dealt = members.repartition("key", "pair").sortWithinPartitions("key", "pair", "node")
+    return dealt.mapInArrow(lambda batches: _solve(batches, most, second_most), "a long, b long")
+
+
+def _components(found: DataFrame, edges, key: list[str]) -> DataFrame:
+    """``doc_id``, the key columns and ``component_id``; ``edges`` gives those of the nodes,
+    which are the different keys."""
+    nodes = stored(found.groupBy(*key).agg(F.min("doc_id").alias("least"))
+                   .withColumn("node", F.xxhash64(*key) if len(key) > 1 else F.col(key[0])),
+                   "nodes")
+    roots = components(edges(nodes))
+    nodes = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
+    by_key = nodes.join(least, "root").select(*key, "component_id")
+    return found.join(by_key, key).select("doc_id", *key, "component_id")
 
 
 def near_duplicates(docs: DataFrame, words: int = SHINGLE, most: int = MOST_BITS) -> DataFrame:
     """``doc_id``, ``fp`` and ``component_id``, the least doc_id that links lead to."""
-    found = stored(fingerprints(docs, words), "fingerprints")
-    nodes = stored(found.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    roots = components(links(nodes.select("fp"), most)).withColumnRenamed("node", "fp")
-    nodes = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = nodes.select("fp", "root").join(least, "root").select("fp", "component_id")
-    return found.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    found = stored(fingerprints(docs, words).drop("word_fps"), "fingerprints")
+
+    def edges(nodes: DataFrame) -> DataFrame:
+        return links(nodes.select("node", "fp", F.lit(0).cast("long").alias("second")), most)
+
+    return _components(found, edges, ["fp"])
+
+
+def edited_copies(docs: DataFrame) -> DataFrame:
+    """``doc_id`` and ``component_id`` by links that edited copies have, too."""
+    found = stored(fingerprints(docs, EDITED_SHINGLE, ROUNDS), "fingerprints")
+
+    def edges(nodes: DataFrame) -> DataFrame:
+        made = [links(nodes.select("node", F.col("word_fps")[i].alias("fp"),
+                                   F.col("fp").alias("second")), MOST_BITS, EDITED_BITS)
+                for i in range(ROUNDS)]
+        return made[0].unionByName(made[1]).unionByName(made[2])
+
+    return _components(found, edges, ["fp", "word_fps"]).select("doc_id", "component_id")
 
 
-def one_of_each(docs: DataFrame, words: int = SHINGLE, most: int = MOST_BITS) -> DataFrame:
-    """The documents whose id is their component's least; rows without an id stay."""
-    near = near_duplicates(docs, words, most)
-    kept = near.where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The documents whose id is their component's least; rows without an id stay, and of
+    rows that repeat an id one."""
+    kept = edited_copies(docs).where("doc_id = component_id") \
+        .select(F.col("doc_id").alias("_kept")).distinct()
     firsts = docs.join(kept, F.col("doc_id") == F.col("_kept")).drop("_kept")
     return firsts.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id IS NULL"))
