@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import (
-    multiset_hash, packing, pii, simhash, suffix_dedup, topk, toxicity, url_rules,
+    multiset_hash, packing, pii, simhash, span_dedup, suffix_dedup, topk, toxicity, url_rules,
 )
 from ledgerloom.llm.common import table
 
@@ -30,6 +30,50 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
         table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+@query
+def op2_sentence_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stays of every document without repeated runs of three sentences."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return span_dedup.dedup(docs).select(
+        "doc_id", "n_sentences", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLES["op2_sentence_span_dedup"] = """
+WITH cut AS (
+    SELECT doc_id, list_filter(string_split(regexp_replace(coalesce(text, ''),
+        '([.!?]+ +|\\n+)', '\\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS pieces
+    FROM documents
+), plain AS (
+    SELECT doc_id, pieces, list_transform(pieces, lambda x: lower(trim(x, ' ' || chr(10)))) AS bare
+    FROM cut
+), places AS (
+    SELECT doc_id, unnest(range(0, len(bare) - 2)) AS place, bare FROM plain
+), spans AS (
+    SELECT doc_id, place, array_to_string(bare[place + 1 : place + 3], chr(10)) AS span FROM places
+), repeated AS (
+    SELECT doc_id, place FROM (
+        SELECT doc_id, place,
+               row_number() OVER (PARTITION BY span ORDER BY doc_id, place) AS number FROM spans)
+    WHERE number > 1
+), gone AS (
+    SELECT DISTINCT doc_id, place + step AS place
+    FROM repeated, (SELECT unnest([0, 1, 2]) AS step)
+), numbered AS (
+    SELECT doc_id, unnest(pieces) AS piece, unnest(range(0, len(pieces))) AS place FROM cut
+), rest AS (
+    SELECT n.doc_id, sum(CASE WHEN g.place IS NOT NULL THEN 1 ELSE 0 END) AS n_removed,
+           coalesce(string_agg(CASE WHEN g.place IS NULL THEN n.piece END, '' ORDER BY n.place), '')
+               AS kept
+    FROM numbered n LEFT JOIN gone g ON n.doc_id = g.doc_id AND n.place = g.place
+    GROUP BY n.doc_id
+)
+SELECT c.doc_id, CAST(len(c.pieces) AS BIGINT) AS n_sentences,
+       CAST(coalesce(r.n_removed, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(r.kept, '')) AS kept_sha256
+FROM cut c LEFT JOIN rest r ON c.doc_id = r.doc_id
+"""
+
+
 @query
 def op3_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A toxicity score for every document."""
