@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import (
-    multiset_hash, packing, pii, simhash, span_dedup, suffix_dedup, topk, toxicity, url_rules,
+    multiset_hash, packing, pieces, pii, simhash, span_dedup, suffix_dedup, topk, toxicity, url_rules,
 )
 from ledgerloom.llm.common import table
 
@@ -109,6 +109,18 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+@query
+def op6_suffix_array_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Piece ids of every document, and the text that they decode to."""
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    done = pieces.decode(pieces.encode(docs, model).drop("text"), model)
+    return done.select(
+        "doc_id", F.size("ids").cast("long").alias("n_ids"),
+        F.crc32(F.array_join("ids", " ").cast("binary")).alias("ids_crc32"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 @query
 def op7_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of personal data in every document."""
