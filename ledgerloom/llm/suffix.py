@@ -150,7 +150,7 @@ def suffix_array(data: bytes, depth: int) -> np.ndarray:
     return shard.induce(shard.lms[np.argsort(ranks, kind="stable")])[1:]
 
 
-def words_at(data: bytes) -> np.ndarray:
+def words_at(data: bytes | memoryview) -> np.ndarray:
     """The eight bytes that start at each place, for all places that have them."""
     if len(data) < 8:
         return np.empty(0, "<u8")

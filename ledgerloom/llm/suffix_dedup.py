@@ -41,6 +41,8 @@ BLOCK_BYTES = 8 << 20
 #: Of text, for each shard of keys and for each shard of regions.
 KEYS_BYTES = 24 << 20
 SHARD_BYTES = 2 << 20
+#: Windows whose keys are computed at once.
+CHUNK = 1 << 17
 
 _BLOCK = "_ledgerloom_block"
 _TEXT = "_ledgerloom_text"
@@ -56,6 +58,13 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 def _window_keys(data: bytes, length: int) -> np.ndarray:
     """The key of every window: the least hash of its grams."""
+    view, last = memoryview(data), len(data) - length + 1
+    return np.concatenate([
+        _keys_of(view[at:min(at + CHUNK, last) + length - 1], length)
+        for at in range(0, last, CHUNK)])
+
+
+def _keys_of(data: memoryview, length: int) -> np.ndarray:
     words = words_at(data)
     count = len(data) - GRAM + 1
     hashes = _mixed(words[:count] * _MIX[0] + (words[8:8 + count] ^ _MIX[2]) * _MIX[1]
@@ -90,33 +99,33 @@ class _Block:
     def _regions(self) -> None:
         empty = np.empty(0, np.int64)
         self.key, self.first, self.windows, self.doc = np.empty(0, np.uint64), empty, empty, empty
-        if len(self.data) < self.length:
+        last = len(self.data) - self.length + 1
+        if last <= 0:
             return
         keys = _window_keys(self.data, self.length)
-        doc = np.repeat(np.arange(len(self.ids)), self.ends - self.starts)[:len(keys)]
-        inside = np.arange(len(keys)) + self.length <= self.ends[doc]
-        inside &= self.ids[doc] != _NULL
-        new = np.r_[True, (keys[1:] != keys[:-1]) | (doc[1:] != doc[:-1])
-                    | (inside[1:] != inside[:-1])]
+        new = np.empty(last, bool)
+        new[0] = True
+        np.not_equal(keys[1:], keys[:-1], out=new[1:])
+        # windows within documents that have an id: from their starts to these bounds
+        stops = np.maximum(self.ends - self.length + 1, self.starts)
+        stops[self.ids == _NULL] = self.starts[self.ids == _NULL]
+        for bounds in (self.starts, stops):
+            new[bounds[bounds < last]] = True
         first = np.flatnonzero(new)
-        windows = np.diff(np.r_[first, len(keys)])
-        kept = inside[first]
-        first, windows = first[kept], windows[kept]
-        self.key, self.first, self.windows = _mixed(keys[first]), first, windows
-        self.doc = doc[first]
-
-    def distinct_keys(self) -> np.ndarray:
-        return np.unique(self.key)
-
-    def repeated(self, seen_elsewhere: np.ndarray) -> np.ndarray:
-        """Which regions have a key that another document has, here or elsewhere."""
-        distinct, at = np.unique(self.key, return_inverse=True)
-        several = np.zeros(len(distinct), bool)
-        order = np.lexsort((self.ids[self.doc], at))
-        key, owner = at[order], self.ids[self.doc][order]
-        changes = (key[1:] == key[:-1]) & (owner[1:] != owner[:-1])
-        several[key[1:][changes]] = True
-        return (several | seen_elsewhere)[at]
+        windows = np.diff(np.r_[first, last])
+        doc = np.searchsorted(self.ends, first, "right")
+        kept = first < stops[doc]
+        self.first, self.windows, self.doc = first[kept], windows[kept], doc[kept]
+        self.key = _mixed(keys[self.first])
+
+    def repeated(self, at: np.ndarray, seen_elsewhere: np.ndarray) -> np.ndarray:
+        """Which regions have a key that another document has, here or elsewhere; ``at`` are
+        the places of their keys among the distinct ones."""
+        owner = self.ids[self.doc]  # ascending
+        first, last = np.empty(len(seen_elsewhere), np.int64), np.empty_like(seen_elsewhere, int)
+        first[at[::-1]] = owner[::-1]
+        last[at] = owner
+        return ((first != last) | seen_elsewhere)[at]
 
     def distinct_regions(self, chosen: np.ndarray):
         """Different contents in the order of their first place, the least id of each, the
@@ -156,39 +165,48 @@ def _spark_schema(schema: pa.Schema) -> str:
     return ", ".join(f"{f.name} {names[f.type]}" for f in schema)
 
 
+def _sent_keys(block: _Block, shards: int) -> np.ndarray:
+    """The shard and 32 bits of every region's key. Different keys that fall together can
+    only make more candidates."""
+    return (_shard_of(block.key, shards).astype(np.uint64) << np.uint64(32)) \
+        | (block.key & np.uint64(0xFFFFFFFF))
+
+
+def _by_shard(keys: np.ndarray) -> list[tuple[int, int, int]]:
+    """Shard and bounds in sorted keys."""
+    shard = (keys >> np.uint64(32)).astype(np.int64)
+    firsts = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]]) if len(keys) else []
+    return [(int(shard[a]), int(a), int(b)) for a, b in zip(firsts, np.r_[firsts[1:], len(keys)])]
+
+
 def _ask_keys(table: pa.Table, id_column: str, length: int, shards: int) -> pa.Table:
-    block = _Block(table, id_column, length)
-    keys = block.distinct_keys()
-    bounds = np.searchsorted(_shard_of(keys, shards), np.arange(shards + 1))
-    cut = (keys & np.uint64(0xFFFFFFFF)).astype("<u4")
-    number = table.column(_BLOCK)[0].as_py()
-    return _batch(_KEYS, [(s, number, cut[a:b].tobytes())
-                          for s, (a, b) in enumerate(zip(bounds, bounds[1:])) if b > a])
+    keys = np.unique(_sent_keys(_Block(table, id_column, length), shards))
+    cut, number = keys.astype("<u4"), table.column(_BLOCK)[0].as_py()
+    return _batch(_KEYS, [(shard, number, cut[a:b].tobytes()) for shard, a, b in _by_shard(keys)])
 
 
 def _answer_keys(table: pa.Table) -> pa.Table:
     """For each block's keys, whether another block sent them too."""
     asked = [np.frombuffer(x, "<u4") for x in table.column("keys").to_pylist()]
-    own = [np.unique(x) for x in asked]  # cut keys can fall together
-    every, counts = np.unique(np.concatenate(own), return_counts=True)
-    shared = every[counts > 1]
-    rows = []
-    for number, keys, distinct in zip(table.column(_BLOCK).to_pylist(), asked, own):
-        seen = np.isin(keys, shared)
-        if len(distinct) < len(keys):
-            seen |= np.isin(keys, distinct[np.unique(keys, return_counts=True)[1] > 1])
-        rows.append((number, table.column("shard")[0].as_py(), np.packbits(seen).tobytes()))
+    every = np.sort(np.concatenate(asked))  # each block's keys are distinct
+    shared = np.unique(every[1:][every[1:] == every[:-1]])
+    shard, rows = table.column("shard")[0].as_py(), []
+    for number, keys in zip(table.column(_BLOCK).to_pylist(), asked):
+        at = np.minimum(np.searchsorted(shared, keys), max(0, len(shared) - 1))
+        seen = shared[at] == keys if len(shared) else np.zeros(len(keys), bool)
+        rows.append((number, shard, np.packbits(seen).tobytes()))
     return _batch(_SEEN, rows)
 
 
 def _candidates(block: _Block, seen: pa.Table, shards: int) -> np.ndarray:
-    keys = block.distinct_keys()
-    shard = _shard_of(keys, shards)
+    sent = _sent_keys(block, shards)
+    keys, at = np.unique(sent, return_inverse=True)
     elsewhere = np.zeros(len(keys), bool)
-    for number, bits in zip(seen.column("shard").to_pylist(), seen.column("seen").to_pylist()):
-        a, b = np.searchsorted(shard, [number, number + 1])
-        elsewhere[a:b] = np.unpackbits(np.frombuffer(bits, np.uint8), count=b - a).astype(bool)
-    return np.flatnonzero(block.repeated(elsewhere))
+    answers = dict(zip(seen.column("shard").to_pylist(), seen.column("seen").to_pylist()))
+    for shard, a, b in _by_shard(keys):
+        bits = np.frombuffer(answers[shard], np.uint8)
+        elsewhere[a:b] = np.unpackbits(bits, count=b - a).astype(bool)
+    return np.flatnonzero(block.repeated(at, elsewhere))
 
 
 def _ask_regions(table: pa.Table, seen: pa.Table, id_column: str, length: int, key_shards: int,
@@ -238,21 +256,28 @@ def _least_ids(data: bytes, starts: np.ndarray, owners: np.ndarray, length: int)
 
 
 def _answer_regions(table: pa.Table, length: int) -> pa.Table:
-    sizes = [np.frombuffer(x, "<u4").astype(np.int64) for x in table.column("sizes").to_pylist()]
-    ids = [np.frombuffer(x, "<i8") for x in table.column("ids").to_pylist()]
-    every = np.concatenate(sizes)
-    ends = np.cumsum(every)
-    windows = every - length + 1
-    starts = _expanded(ends - every, windows)
-    least = _least_ids(b"".join(table.column("data").to_pylist()), starts,
-                       np.repeat(np.concatenate(ids), windows), length)
-    rows, at = [], 0
-    for number, size in zip(table.column(_BLOCK).to_pylist(), sizes):
-        mine = least[at:at + (count := int((size - length + 1).sum()))]
-        at += count
+    """The least id of every window of every block's regions; equal regions are sorted once."""
+    place: dict[bytes, int] = {}
+    places, ids = [], []
+    for sizes, owners, data in zip(*(table.column(x).to_pylist()
+                                     for x in ("sizes", "ids", "data"))):
+        ends = np.cumsum(np.frombuffer(sizes, "<u4").astype(np.int64)).tolist()
+        places.append(np.array([place.setdefault(data[a:b], len(place))
+                                for a, b in zip([0, *ends], ends)], np.int64))
+        ids.append(np.frombuffer(owners, "<i8"))
+    own = np.full(len(place), np.iinfo(np.int64).max)
+    for at, owners in zip(places, ids):
+        np.minimum.at(own, at, owners)
+    sizes = np.fromiter(map(len, place), np.int64, len(place))
+    ends, windows = np.cumsum(sizes), sizes - length + 1
+    least = _least_ids(b"".join(place), _expanded(ends - sizes, windows),
+                       np.repeat(own, windows), length)
+    begins = np.cumsum(windows) - windows
+    shard, rows = table.column("shard")[0].as_py(), []
+    for number, at in zip(table.column(_BLOCK).to_pylist(), places):
+        mine = least[_expanded(begins[at], windows[at])]
         firsts = np.flatnonzero(np.r_[True, mine[1:] != mine[:-1]])
-        rows.append((number, table.column("shard")[0].as_py(),
-                     np.diff(np.r_[firsts, len(mine)]).astype("<u4").tobytes(),
+        rows.append((number, shard, np.diff(np.r_[firsts, len(mine)]).astype("<u4").tobytes(),
                      mine[firsts].astype("<i8").tobytes()))
     return _batch(_LEAST, rows)
 
@@ -284,10 +309,10 @@ def _clean(table: pa.Table, seen: pa.Table, least: pa.Table, id_column: str, len
         return out.empty_table()
     block = _Block(table, id_column, length)
     starts = _marked(block, seen, least, key_shards, shards)
-    steps = np.zeros(len(block.data) + length + 1, np.int32)
+    steps = np.zeros(len(block.data) + 1, np.int8)
     steps[starts] += 1
     steps[starts + length] -= 1
-    gone = np.cumsum(steps)[:len(block.data)] > 0
+    gone = np.cumsum(steps, dtype=np.int8)[:-1] > 0  # at most ``length`` at a place
     raw = np.frombuffer(block.data, np.uint8)
     rows: dict[str, list] = {k: [] for k in ("n_bytes", "n_removed", "n_spans", "kept")}
     for a, b, text in zip(block.starts.tolist(), block.ends.tolist(), block.texts):
@@ -317,8 +342,8 @@ def dedup(docs: DataFrame, length: int = LENGTH, digest: bool = False) -> DataFr
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    if length < GRAM + 8:
-        raise ValueError(f"length must be at least {GRAM + 8}")
+    if not GRAM + 8 <= length < 128:
+        raise ValueError(f"length must be from {GRAM + 8} to 127")
     spark = docs.sparkSession
     ship(spark)
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
