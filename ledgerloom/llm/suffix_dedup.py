@@ -314,6 +314,12 @@ def _clean(table: pa.Table, seen: pa.Table, least: pa.Table, id_column: str, len
     steps[starts + length] -= 1
     gone = np.cumsum(steps, dtype=np.int8)[:-1] > 0  # at most ``length`` at a place
     raw = np.frombuffer(block.data, np.uint8)
+    if "kept" not in out.names and "kept_sha256" not in out.names and len(raw):
+        # as text: a character goes if all its bytes do
+        characters = np.flatnonzero((raw & 0xC0) != 0x80)
+        characters = np.union1d(characters, block.starts[block.starts < len(raw)])
+        whole = np.logical_and.reduceat(gone, characters)
+        gone = np.repeat(whole, np.diff(np.r_[characters, len(raw)]))
     rows: dict[str, list] = {k: [] for k in ("n_bytes", "n_removed", "n_spans", "kept")}
     for a, b, text in zip(block.starts.tolist(), block.ends.tolist(), block.texts):
         mine = gone[a:b]
@@ -325,6 +331,11 @@ def _clean(table: pa.Table, seen: pa.Table, least: pa.Table, id_column: str, len
         rows["kept"].append(raw[a:b][~mine].tobytes() if removed else text)
     if "kept_sha256" in out.names:
         rows["kept_sha256"] = [hashlib.sha256(x).hexdigest() for x in rows.pop("kept")]
+    if "kept" not in out.names and "kept" in rows:
+        kept = rows.pop("kept")
+        rows = {"text": [x.decode("utf-8", "replace") for x in kept]}
+        if "n_chars" in out.names:
+            rows["n_chars"] = [len(x) for x in rows["text"]]
     new = {k: pa.array(v, out.field(k).type) for k, v in rows.items()}
     return pa.table([new[f.name] if f.name in new else
                      block.table.column(f.name).cast(f.type) for f in out], schema=out)
@@ -338,8 +349,22 @@ def _split(table: pa.Table) -> tuple[pa.Table, pa.Table]:
 
 def dedup(docs: DataFrame, length: int = LENGTH, digest: bool = False) -> DataFrame:
     """The columns of ``docs`` with n_bytes, n_removed, n_spans and kept (the bytes that stay),
-    or with ``digest`` kept_sha256 in its place. ``length`` is 32 bytes at least.
+    or with ``digest`` kept_sha256 in its place. ``length`` is from 32 to 127 bytes.
     """
+    return _deduped(docs, length, [
+        ("n_bytes", "long"), ("n_removed", "long"), ("n_spans", "long"),
+        ("kept_sha256", "string") if digest else ("kept", "binary")])
+
+
+def cleaned(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """The columns of ``docs`` with what stays of ``text``, and its ``n_chars`` if there is one.
+
+    Characters of which some bytes stay, stay whole.
+    """
+    return _deduped(docs, length, [])
+
+
+def _deduped(docs: DataFrame, length: int, new: list[tuple[str, str]]) -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_schema
 
     if not GRAM + 8 <= length < 128:
@@ -349,8 +374,6 @@ def dedup(docs: DataFrame, length: int = LENGTH, digest: bool = False) -> DataFr
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = total // BLOCK_BYTES + 1
     key_shards, shards = total // KEYS_BYTES + 1, total // SHARD_BYTES + 1
-    new = [("n_bytes", "long"), ("n_removed", "long"), ("n_spans", "long"),
-           ("kept_sha256", "string") if digest else ("kept", "binary")]
     schema = T.StructType([x for x in docs.schema if x.name not in dict(new)])
     for name, kind in new:
         schema = schema.add(name, kind)
