@@ -36,7 +36,9 @@ PATTERNS = {
 }
 NEEDED = {"email": "@", "phone": "+"}
 CANDIDATE = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
-MARK, OTHER = "\u0001", "\u0002"
+MARK, OTHER, HIDDEN = "\u0001", "\u0002", "\u0003"
+#: Pieces whose lengths are summed at once.
+BLOCK = 256
 LEFT = 60
 LONGEST_WORD = 40
 #: Distinct seeds that a pattern needs, its least confidence, an instance's least score.
@@ -47,27 +49,47 @@ BUCKETS = 1 << 16
 _FOUND = "array<struct<start:int,end:int,value:string,left:string>>"
 
 
-def _matches(text: Column, pattern: str) -> Column:
-    """The matches with their places and what stands before them."""
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _cut(text: Column, pattern: str, body, otherwise: Column) -> Column:
+    """``body`` of the pieces between and of the matches, in turn; ``otherwise`` without any."""
     marked = F.regexp_replace(text, pattern, f"{MARK}$0{MARK}")
-    none = F.lit(None).cast(_FOUND)
-    zero = F.struct(
-        F.lit(0).alias("at"), F.lit(False).alias("inside"), F.lit("").alias("before"),
-        F.coalesce(none, F.array().cast(_FOUND)).alias("found"))
-
-    def step(done: Column, part: Column) -> Column:
-        end = done["at"] + F.length(part)
-        match = F.struct(done["at"].alias("start"), end.alias("end"), part.alias("value"),
-                         done["before"].alias("left"))
-        return F.struct(
-            end.alias("at"), (~done["inside"]).alias("inside"),
-            F.right(part, F.lit(LEFT)).alias("before"),
-            F.when(done["inside"], F.concat(done["found"], F.array(match)))
-            .otherwise(done["found"]).alias("found"))
+    return _let(marked, lambda m: F.when(
+        F.contains(m, F.lit(MARK)), _let(F.split(m, MARK), body)).otherwise(otherwise))
+
+
+def _matches(text: Column, pattern: str) -> Column:
+    """The matches with their places and what stands before them.
+
+    A place is the sum of the lengths before it: of whole blocks of pieces, and of the pieces
+    of its own block.
+    """
+    def total(lengths: Column) -> Column:
+        return F.aggregate(lengths, F.lit(0), lambda s, x: s + x)
+
+    def located(parts: Column, lengths: Column, blocks: Column) -> Column:
+        def match(i: Column) -> Column:
+            block = F.floor(i / BLOCK).cast("int")
+            start = (total(F.slice(blocks, 1, block))
+                     + total(F.slice(lengths, block * BLOCK + 1, i % BLOCK)))
+            return F.struct(start.alias("start"), (start + lengths[i]).alias("end"),
+                            parts[i].alias("value"),
+                            F.right(parts[i - 1], F.lit(LEFT)).alias("left"))
+
+        return F.transform(F.sequence(F.lit(1), F.size(parts) - 2, F.lit(2)), match)
 
-    return F.when(F.contains(marked, F.lit(MARK)),
-                  F.aggregate(F.split(marked, MARK), zero, step)["found"]) \
-        .otherwise(F.array().cast(_FOUND))
+    def summed(lengths: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.size(lengths), F.lit(BLOCK))
+        return F.transform(starts, lambda at: total(F.slice(lengths, at, BLOCK)))
+
+    def body(parts: Column) -> Column:
+        return _let(F.transform(parts, F.length), lambda lengths: _let(
+            summed(lengths), lambda blocks: located(parts, lengths, blocks)))
+
+    return _cut(text, pattern, body, F.array().cast(_FOUND))
 
 
 def _digits(value: Column) -> Column:
@@ -98,10 +120,15 @@ def _valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
+def _clear(text: Column) -> Column:
+    """A mark in the text itself is no part of any match, so another sign may stand for it."""
+    own = F.contains(text, F.lit(MARK)) | F.contains(text, F.lit(HIDDEN))
+    return F.when(own, F.translate(text, MARK + HIDDEN, OTHER * 2)).otherwise(text)
+
+
 def base_spans(text: Column) -> Column:
     """The valid matches of all kinds: kind, start, end, value, left; by kind, then start."""
-    # a mark in the text itself is no part of any match, so another sign may stand for it
-    clear = F.when(F.contains(text, F.lit(MARK)), F.translate(text, MARK, OTHER)).otherwise(text)
+    clear = _clear(text)
 
     def of_kind(kind: str) -> Column:
         found = _matches(clear, PATTERNS[kind])
@@ -116,9 +143,24 @@ def base_spans(text: Column) -> Column:
     return F.concat(*map(of_kind, KINDS))
 
 
+def _hidden(text: Column) -> Column:
+    """The text with the valid matches of each kind written over, length for length."""
+    def over(kind: str, text: Column) -> Column:
+        def body(parts: Column) -> Column:
+            return F.array_join(F.transform(parts, lambda x, i: F.when(
+                (i % 2 == 1) & _valid(kind, x), F.repeat(F.lit(HIDDEN), F.length(x)))
+                .otherwise(x)), "")
+
+        return _cut(text, PATTERNS[kind], body, text)
+
+    for kind in KINDS:
+        text = over(kind, text)
+    return text
+
+
 def _candidates(text: Column, spans: Column) -> Column:
     """Tokens with a digit or an at sign, without outer punctuation, beside the spans."""
-    clear = F.when(F.contains(text, F.lit(MARK)), F.translate(text, MARK, OTHER)).otherwise(text)
+    shown = F.when(F.size(spans) > 0, _hidden(_clear(text))).otherwise(_clear(text))
 
     def trimmed(x: Column) -> Column:
         inner = F.regexp_replace(x["value"], r"^[(\[<\"'«]++", "")
@@ -127,12 +169,9 @@ def _candidates(text: Column, spans: Column) -> Column:
         return F.struct(start.alias("start"), (start + F.length(core)).alias("end"),
                         core.alias("value"), x["left"].alias("left"))
 
-    def free(x: Column) -> Column:
-        return ~F.exists(spans, lambda s: (s["start"] < x["end"]) & (x["start"] < s["end"]))
-
-    return F.filter(F.transform(_matches(clear, CANDIDATE), trimmed),
-                    lambda x: free(x) & (F.length(x["value"]) >= 5)
-                    & (F.length(x["value"]) <= 2 * LEFT))
+    return F.filter(F.transform(_matches(shown, CANDIDATE), trimmed),
+                    lambda x: ~F.contains(x["value"], F.lit(HIDDEN))
+                    & (F.length(x["value"]) >= 5) & (F.length(x["value"]) <= 2 * LEFT))
 
 
 def _word_before(left: Column) -> Column:
@@ -200,14 +239,12 @@ def detect(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """The columns of ``docs`` (or those to ``keep``) with ``base`` and ``spans``: arrays of
     (kind number, start, end), sorted."""
     kept = [x for x in (docs.columns if keep is None else keep) if x not in ("base", "spans")]
-    internal = {"_row", "_spans", "_candidates"}
-    renamed = {x: f"_kept_{x}" for x in kept if x in internal}
     text = whole_text()
     found = (
-        docs.withColumn("_base", base_spans(text))
-        .select(*[F.col(x).alias(renamed.get(x, x)) for x in kept],
-                F.col("_base").alias("_spans"),
-                _candidates(text, F.col("_base")).alias("_candidates"))
+        docs.select(*[docs[x].alias(f"_kept_{x}") for x in kept], text.alias("_text"),
+                    base_spans(text).alias("_spans"))
+        .select(*[f"_kept_{x}" for x in kept], "_spans",
+                _candidates(F.col("_text"), F.col("_spans")).alias("_candidates"))
         .withColumn("_row", F.monotonically_increasing_id())
     )
     found = stored(found, "spans")
@@ -222,12 +259,18 @@ def detect(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
         return F.struct(kind.cast("int").alias("kind"), x["start"].alias("start"),
                         x["end"].alias("end"))
 
+    def beside(x: Column) -> Column:
+        return ~F.exists("_spans", lambda s: (s["start"] < x["end"]) & (x["start"] < s["end"]))
+
     base = F.transform("_spans", numbered)
     none = F.array().cast("array<struct<kind:int,start:int,end:int>>")
-    return found.join(more, "_row", "left").select(
-        *[F.col(renamed.get(x, x)).alias(x) for x in kept],
-        F.array_sort(base).alias("base"),
-        F.array_sort(F.concat(base, F.coalesce("_more", none))).alias("spans"))
+    return (
+        found.join(more, "_row", "left")
+        .select(*[f"_kept_{x}" for x in kept], F.array_sort(base).alias("base"),
+                F.array_sort(F.concat(base, F.coalesce(F.filter("_more", beside), none)))
+                .alias("spans"))
+        .select(*[F.col(f"_kept_{x}").alias(x) for x in kept], "base", "spans")
+    )
 
 
 def listed(spans: Column) -> Column:
