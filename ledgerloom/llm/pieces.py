@@ -33,10 +33,12 @@ from ledgerloom.llm.suffix import suffix_array
 
 SPACE = "▁"
 #: Texts of so many characters are encoded together; words that a worker remembers.
-BATCH_CHARS = 8 << 20
-CACHED_WORDS = 1_000_000
-CACHED_PAIRS = 2_000_000
+BATCH_CHARS = 4 << 20
+CACHED_WORDS = 400_000
+CACHED_PAIRS = 600_000
 LONGEST_CACHED = 64
+#: Words that are indexed and matched at once.
+INDEXED_WORDS = 80_000
 _SEPARATOR = b"\xff"
 _RUNS = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
 
@@ -162,16 +164,16 @@ class Vocabulary:
         low, high = self.ranges(data, sa)
         counts = high - low
         ends = np.cumsum(counts)
-        places = np.arange(int(ends[-1])) + np.repeat(low - (ends - counts), counts)
-        start = sa[places].astype(np.int64)
+        start = sa[np.arange(int(ends[-1])) + np.repeat(low - (ends - counts), counts)]
         sizes = np.fromiter(map(len, raw), np.int64, len(raw))
         stops = np.cumsum(sizes + 1) - 1
         begins = stops - sizes
-        offset = start - np.repeat(begins, sizes + 1)[start]
-        order = np.argsort(offset.astype(np.uint16) if sizes.max() < 65536 else offset,
-                           kind="stable")
-        edges = (start[order], (start + np.repeat(self.lengths, counts))[order],
-                 np.repeat(self.usable, counts)[order], offset[order])
+        offset = start - np.repeat(begins.astype(np.int32), sizes + 1)[start]
+        if sizes.max() < 65536:
+            offset = offset.astype(np.uint16)
+        order = np.argsort(offset, kind="stable")
+        edges = (start[order], (start + np.repeat(self.lengths.astype(np.int32), counts))[order],
+                 np.repeat(self.usable.astype(np.int32), counts)[order], offset[order])
         last, source = self._relaxed(len(joined), begins, *edges)
         last, source = last.tolist(), source.tolist()
         out = []
@@ -238,8 +240,9 @@ class Encoder:
         known = self._known
         new = set().union(*split).difference(known)
         plain = [x for x in new if x.strip(SPACE + "\n") and SPACE not in x[1:]]
-        if plain:
-            known.update(zip(plain, self.vocabulary.encoded(plain)))
+        for at in range(0, len(plain), INDEXED_WORDS):
+            words = plain[at:at + INDEXED_WORDS]
+            known.update(zip(words, self.vocabulary.encoded(words)))
         for word in new.difference(plain):
             known[word] = array("I", self.vocabulary.direct(word)).tobytes()
         out = [b"".join(map(known.__getitem__, words)) for words in split]
