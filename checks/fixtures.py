@@ -113,6 +113,18 @@ FIXTURE_SQL = {
         SELECT DISTINCT p_type AS product_category_name,
                lower(p_type) AS product_category_name_english
         FROM {part} WHERE p_type <> 'PROMO'""",
+    # Orders and customers that repeat their keys with another status or city.
+    "f_orders_repeated": """
+        SELECT * FROM {f_orders} UNION ALL
+        SELECT order_id, customer_id, 'returned' AS order_status, order_purchase_timestamp,
+               order_approved_at, order_delivered_carrier_date, order_delivered_customer_date,
+               order_estimated_delivery_date
+        FROM {f_orders} WHERE order_id % 97 = 0""",
+    "f_customers_repeated": """
+        SELECT * FROM {f_customers} UNION ALL
+        SELECT customer_id, customer_unique_id, customer_zip_code_prefix,
+               'ELSEWHERE' AS customer_city, customer_state
+        FROM {f_customers} WHERE customer_id % 10 = 0""",
     # Repeated rows.
     "f_orders_dup": """
         SELECT * FROM {f_orders} UNION ALL SELECT * FROM {f_orders} WHERE order_id % 97 = 0""",

@@ -7,13 +7,15 @@ A text names raw tables, fixture projections and other steps in braces;
 from __future__ import annotations
 
 from checks.fixtures import FIXTURE_SQL, MODEL, RAW_TABLES, names_in
+from checks.registry import SALTED
 
-CENTS = "CAST(sum(CAST({0} AS DECIMAL(18,2))) AS DOUBLE)"
+# Four places more than any amount in the fixtures has.
+MONEY = "CAST(sum(CAST({0} AS DECIMAL(38,10))) AS DOUBLE)"
 R2 = "CAST(round(CAST({0} AS DECIMAL(38,6)), 2) AS DOUBLE)"
 
 
-def cents(column: str) -> str:
-    return CENTS.format(column)
+def money(column: str) -> str:
+    return MONEY.format(column)
 
 
 def r2(expression: str) -> str:
@@ -121,17 +123,25 @@ def integrated(
                    "review_answer_timestamp", "review_score")
     payment = first(f"{{{payments}}}", "order_id", "payment_sequential", "payment_type",
                     "payment_value")
+    # one row per customer, order and purchase: repeated rows differ in status or city
+    placed = f"""(
+        SELECT * EXCLUDE (number) FROM (
+            SELECT o.*, c.* EXCLUDE (customer_id), row_number() OVER (
+                PARTITION BY c.customer_unique_id, o.order_id, o.{PURCHASE}
+                ORDER BY o.customer_id, o.order_status NULLS FIRST, c.customer_city NULLS FIRST)
+                AS number
+            FROM {{{orders}}} o JOIN {{{customers}}} c ON c.customer_id = o.customer_id)
+        WHERE number = 1)"""
     return f"""
-        SELECT o.*, c.* EXCLUDE (customer_id), g.*, i.* EXCLUDE (order_id),
+        SELECT o.*, g.*, i.* EXCLUDE (order_id),
                p.* EXCLUDE (product_id), s.* EXCLUDE (seller_id),
                k.* EXCLUDE (product_category_name), r.* EXCLUDE (order_id),
                y.* EXCLUDE (order_id)
-        FROM {{{orders}}} o
-        JOIN {{{customers}}} c ON c.customer_id = o.customer_id
+        FROM {placed} o
         JOIN ({item}) i ON i.order_id = o.order_id
         JOIN {{{products}}} p ON p.product_id = i.product_id
         JOIN {{{sellers}}} s ON s.seller_id = i.seller_id
-        LEFT JOIN ({point}) g ON g.geolocation_zip_code_prefix = c.customer_zip_code_prefix
+        LEFT JOIN ({point}) g ON g.geolocation_zip_code_prefix = o.customer_zip_code_prefix
         LEFT JOIN {{{categories}}} k ON k.product_category_name = p.product_category_name
         LEFT JOIN ({review}) r ON r.order_id = o.order_id
         LEFT JOIN ({payment}) y ON y.order_id = o.order_id"""
@@ -150,11 +160,11 @@ CLEANED = dict(
 
 MONTHLY = f"""
     SELECT purchase_month_name, purchase_month, purchase_year,
-           {cents('price')} AS seller_revenue, {cents('payment_value')} AS customer_spend,
-           {cents('freight_value')} AS total_freight, count(order_id) AS total_orders,
+           {money('price')} AS seller_revenue, {money('payment_value')} AS customer_spend,
+           {money('freight_value')} AS total_freight, count(order_id) AS total_orders,
            min(price) AS min_order_value, max(price) AS max_order_value,
-           {r2(cents('price') + ' / count(order_id)')} AS aov_seller,
-           {r2(cents('payment_value') + ' / count(order_id)')} AS aov_customer
+           {r2(money('price') + ' / count(order_id)')} AS aov_seller,
+           {r2(money('payment_value') + ' / count(order_id)')} AS aov_customer
     FROM {{SOURCE}} GROUP BY 1, 2, 3"""
 
 
@@ -188,6 +198,9 @@ STEPS = {
     "p_reviews": """SELECT order_id, TRY_CAST(review_score AS INTEGER) AS review_score,
         review_creation_date, review_answer_timestamp FROM {f_reviews}""",
     "x_orders": integrated(**SOURCES),
+    "p_orders_repeated": f"SELECT *, {CALENDAR} FROM {{f_orders_repeated}}",
+    "x_repeated": integrated(**{
+        **SOURCES, "orders": "p_orders_repeated", "customers": "f_customers_repeated"}),
     "x_dense": integrated(**{**SOURCES, "items": "f_order_items_dense"}),
     # Cleaned tables.
     "k_imputed": imputed("f_orders_dup"),
@@ -222,11 +235,11 @@ STEPS = {
         FROM {x_dense} GROUP BY 1, 2, 3""",
     "a_spending": f"""
         SELECT customer_unique_id, count(order_id) AS total_orders,
-               {cents('payment_value')} AS revenue,
-               {r2(cents('payment_value') + ' / count(order_id)')} AS "AOV"
+               {money('payment_value')} AS revenue,
+               {r2(money('payment_value') + ' / count(order_id)')} AS "AOV"
         FROM {{x_orders}} GROUP BY 1""",
     "a_performance": f"""
-        SELECT seller_id, count(order_id) AS total_orders, {cents('price')} AS total_revenue,
+        SELECT seller_id, count(order_id) AS total_orders, {money('price')} AS total_revenue,
                {r2('avg(review_score)')} AS avg_review_score,
                {r2('stddev_samp(price)')} AS price_variability
         FROM {{x_orders}} GROUP BY 1""",
@@ -235,14 +248,14 @@ STEPS = {
     "a_retention": f"""
         SELECT customer_unique_id, min({PURCHASE}) AS first_order_date,
                max({PURCHASE}) AS last_order_date, count(DISTINCT order_id) AS total_orders,
-               {cents('payment_value')} AS total_amount_spent,
-               {r2(cents('payment_value') + ' / count(DISTINCT order_id)')} AS aov,
+               {money('payment_value')} AS total_amount_spent,
+               {r2(money('payment_value') + ' / count(DISTINCT order_id)')} AS aov,
                {r2('CAST(count(DISTINCT order_id) AS DOUBLE) / '
                    '(SELECT count(*) FROM {x_orders}) * 100')} AS retention_rate
         FROM {{x_orders}} GROUP BY 1""",
     "k_spending": f"""
         SELECT customer_unique_id,
-               {r2(cents('payment_value') + ' / count(order_id)')} AS "AOV"
+               {r2(money('payment_value') + ' / count(order_id)')} AS "AOV"
         FROM {{k_full}} GROUP BY 1""",
     "w_revenue": """
         SELECT * FROM (
@@ -362,7 +375,7 @@ ORACLE = {
     "exp_top_products_by_orders": "SELECT product_id, count(order_id) AS total_order "
                                   "FROM {f_order_items} GROUP BY 1",
     "exp_top_products_by_revenue": f"""
-        SELECT product_id, {TEXT2.format(cents('price'))} AS "total_amount_spent ($)"
+        SELECT product_id, {TEXT2.format(money('price'))} AS "total_amount_spent ($)"
         FROM {{f_order_items}} GROUP BY 1""",
     "cln_impute_order_dates": imputed("f_orders"),
     "cln_impute_mode": "SELECT * FROM {imputed_products}",
@@ -411,6 +424,27 @@ ORACLE = {
         ON y.order_id = o.order_id""",
     "jon_full_orders": "SELECT * FROM {x_orders}",
     "jon_full_orders_dense": "SELECT * FROM {x_dense}",
+    "jon_full_orders_repeated_keys": "SELECT * FROM {x_repeated}",
+    "agg_orders_per_customer_repeated_keys": """
+        SELECT customer_unique_id, count(DISTINCT order_id) AS total_order
+        FROM {x_repeated} GROUP BY 1""",
+    "agg_money_subcent": """
+        SELECT l_suppkey AS seller_id, round(CAST(sum(CAST(
+            l_extendedprice * (1 - l_discount) / 1000 AS DECIMAL(38,10))) AS DOUBLE), 5) AS revenue
+        FROM {lineitem} GROUP BY 1""",
+    "job_quality": """
+        SELECT 'integrated_orders' AS measure, count(*) AS n FROM {k_full}
+        UNION ALL SELECT 'distinct_orders', count(*) FROM (SELECT DISTINCT customer_unique_id,
+            order_id, order_purchase_timestamp FROM {k_full})
+        UNION ALL SELECT 'lost_orders', (SELECT count(*) FROM {k_orders})
+            - (SELECT count(*) FROM {k_full})
+        UNION ALL SELECT 'rows_without_flag', count(*) FROM {k_full}
+            WHERE order_status NOT IN ('delivered', 'invoiced')""",
+    "enr_status_flags_observed": f"""
+        SELECT x.order_id, s.order_status AS status,
+               coalesce(x.order_status = s.order_status, false) AS flag
+        FROM {{x_repeated}} x, (SELECT DISTINCT order_status FROM {{x_repeated}}
+                                WHERE order_status IS NOT NULL) s""",
     "jon_lost_orders": """
         SELECT (SELECT count(*) FROM {f_orders}) AS orders, count(*) AS integrated_orders,
                (SELECT count(*) FROM {f_orders}) - count(*) AS lost_orders FROM {x_orders}""",
@@ -436,14 +470,14 @@ ORACLE = {
                                "FROM {x_orders} GROUP BY 1",
     "agg_most_sold_products": "SELECT product_id, count(order_id) AS total_order "
                               "FROM {x_orders} GROUP BY 1",
-    "agg_customer_purchase": f"SELECT customer_id, {cents('payment_value')} AS total_amount_spent "
+    "agg_customer_purchase": f"SELECT customer_id, {money('payment_value')} AS total_amount_spent "
                              f"FROM {{x_orders}} GROUP BY 1",
     "agg_seller_products": "SELECT * FROM {a_products}",
     "agg_customer_spending": "SELECT * FROM {a_spending}",
     "agg_seller_performance": "SELECT * FROM {a_performance}",
     "agg_product_metrics": f"""
-        SELECT product_id, count(order_id) AS total_sales, {cents('price')} AS total_revenue,
-               {r2(cents('price') + ' / count(price)')} AS avg_price,
+        SELECT product_id, count(order_id) AS total_sales, {money('price')} AS total_revenue,
+               {r2(money('price') + ' / count(price)')} AS avg_price,
                {r2('stddev_samp(price)')} AS price_volatility,
                (SELECT string_agg(CAST(d.seller_id AS VARCHAR), ',' ORDER BY d.seller_id)
                 FROM (SELECT DISTINCT product_id, seller_id FROM {{x_dense}}) d
@@ -492,7 +526,7 @@ ORACLE = {
         FROM (SELECT product_id, count(order_id) AS n FROM {{x_orders}} GROUP BY 1
               ORDER BY 2 DESC, 1 LIMIT 10) top""",
     "fmt_customer_purchase": f"""
-        SELECT customer_id, {TEXT2.format(cents('payment_value'))} AS total_amount_spent
+        SELECT customer_id, {TEXT2.format(money('payment_value'))} AS total_amount_spent
         FROM {{x_orders}} GROUP BY 1""",
     "fmt_seller_products": f"""
         SELECT seller_id, product_id, price, total_orders,
@@ -524,7 +558,8 @@ ORACLE = {
 
 def oracle_sql() -> dict[str, str]:
     """Self-contained SQL per query, over the raw tables."""
-    return {name: _with_steps(sql) for name, sql in ORACLE.items()}
+    salted = {f"{name}_salted": ORACLE[name] for name in SALTED}
+    return {name: _with_steps(sql) for name, sql in {**ORACLE, **salted}.items()}
 
 
 def _with_steps(sql: str) -> str:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +13,8 @@ from ledgerloom.operators import (
     aggregate, clean, enrich, explore, features, integrate as joins, profile, quantiles, rank,
     report,
 )
-from ledgerloom.operators.lookup import one_row_per_key
+from ledgerloom.functions.columns import money_sum
+from ledgerloom.operators.lookup import SALTED_JOINS, one_row_per_key
 from ledgerloom.plans import analysis, cleaning
 from ledgerloom.plans.workspace import fresh_folder
 from ledgerloom.sinks import writers
@@ -359,6 +361,31 @@ def jon_full_orders_dense(spark, sf):
     return integrated(spark, sf, order_items="f_order_items_dense")
 
 
+def repeated(spark: SparkSession, sf_dir: str, columns: Sequence[str] | None = None) -> DataFrame:
+    """The variant whose orders and customers repeat their keys."""
+    return integrated(spark, sf_dir, columns,
+                      orders="f_orders_repeated", customers="f_customers_repeated")
+
+
+@query
+def jon_full_orders_repeated_keys(spark, sf):
+    return repeated(spark, sf)
+
+
+@query
+def agg_orders_per_customer_repeated_keys(spark, sf):
+    return aggregate.orders_per_customer(repeated(spark, sf, ["customer_unique_id", "order_id"]))
+
+
+@query
+def agg_money_subcent(spark, sf):
+    """Amounts with four decimals and more."""
+    amounts = fx.frame(spark, sf, "lineitem").select(
+        F.col("l_suppkey").alias("seller_id"),
+        (F.col("l_extendedprice") * (1 - F.col("l_discount")) / 1000).alias("amount"))
+    return amounts.groupBy("seller_id").agg(F.round(money_sum("amount"), 5).alias("revenue"))
+
+
 @query
 def jon_lost_orders(spark, sf):
     orders = fx.frame(spark, sf, "f_orders")
@@ -493,6 +520,17 @@ def enr_status_flags(spark, sf):
         integrated(spark, sf, ["order_id", "order_status"]), STATUSES)
 
 
+@query
+def enr_status_flags_observed(spark, sf):
+    """Flags of the statuses that occur, as rows."""
+    orders = repeated(spark, sf, ["order_id", "order_status"])
+    statuses = enrich.observed_statuses(orders)
+    flagged = enrich.add_status_flags(orders, statuses)
+    return flagged.select("order_id", F.explode(F.array(*[
+        F.struct(F.lit(x).alias("status"), F.col(f"is_{x}").alias("flag")) for x in statuses
+    ])).alias("x")).select("order_id", "x.status", "x.flag")
+
+
 @query
 def enr_customer_segment(spark, sf):
     return enrich.add_customer_segment(spending(spark, sf))
@@ -610,6 +648,27 @@ def job_complete_orders(spark, sf):
     return spark.read.parquet(f"{analysed}/{contracts.OUTPUT_NAMES['complete_orders']}")
 
 
+@query
+def job_quality(spark, sf):
+    """The quality outputs of the analysis job, with two declared statuses, as rows."""
+    analysed = fresh_folder(spark, "analysed")
+    analysis.run_analysis(
+        spark, cleaned_files(spark, sf), analysed, statuses=("delivered", "invoiced"))
+
+    def output(name, column):
+        return spark.read.parquet(f"{analysed}/quality_{name}").agg(
+            F.coalesce(F.sum(column), F.lit(0)).cast("long").alias("n"))
+
+    measures = {
+        "integrated_orders": output("order_grain", "rows"),
+        "distinct_orders": output("order_grain", "distinct_keys"),
+        "lost_orders": output("lost_orders", "lost_orders"),
+        "rows_without_flag": output("undeclared_statuses", "rows"),
+    }
+    rows = [df.select(F.lit(name).alias("measure"), "n") for name, df in measures.items()]
+    return reduce(DataFrame.unionByName, rows)
+
+
 @query
 def job_monthly_report(spark, sf):
     columns = [
@@ -619,3 +678,27 @@ def job_monthly_report(spark, sf):
     cleaned = readers.load_parquet_tables(spark, cleaned_files(spark, sf))
     orders = joins.integrate(cleaned, columns)
     return report.monthly_report(aggregate.monthly_stats(orders))
+
+
+def _salted(build: Query) -> Query:
+    """The same query with the hot keys of every lookup join salted."""
+
+    def run(spark, sf):
+        before = spark.conf.get(SALTED_JOINS, None)
+        spark.conf.set(SALTED_JOINS, "true")
+        try:
+            return build(spark, sf)
+        finally:
+            spark.conf.unset(SALTED_JOINS) if before is None else spark.conf.set(
+                SALTED_JOINS, before)
+
+    return run
+
+
+#: Queries that are registered once more with salted joins.
+SALTED = (
+    "jon_orders_items", "jon_items_products", "jon_orders_geo", "jon_full_orders",
+    "jon_full_orders_repeated_keys", "win_top_products_by_orders", "win_top_products_by_revenue",
+    "enr_orders_with_segment",
+)
+QUERIES.update({f"{name}_salted": _salted(QUERIES[name]) for name in SALTED})

@@ -6,11 +6,11 @@ import argparse
 
 from pyspark.sql import SparkSession
 
-from ledgerloom.operators.enrich import ORDER_STATUSES, observed_statuses
+from ledgerloom.operators.enrich import ORDER_STATUSES
 from ledgerloom.plans.analysis import run_analysis
 from ledgerloom.plans.cleaning import run_cleaning
 from ledgerloom.plans.exploration import distributions, profile_tables
-from ledgerloom.sources.readers import load_csv_tables, load_parquet_tables
+from ledgerloom.sources.readers import load_csv_tables
 
 
 def main(arguments: list[str] | None = None) -> None:
@@ -35,8 +35,8 @@ def main(arguments: list[str] | None = None) -> None:
 
     analyse.add_argument("--partition-orders-by", nargs="*", default=[], metavar="COLUMN",
                          help="folder columns of the complete orders, e.g. purchase_year")
-    analyse.add_argument("--observed-statuses", action="store_true",
-                         help="one flag per status that occurs, not per declared status")
+    analyse.add_argument("--declared-statuses", action="store_true",
+                         help="one flag per declared status, not per status that occurs")
 
     args = parser.parse_args(arguments)
     spark = SparkSession.builder.appName(f"ledgerloom {args.command}").getOrCreate()
@@ -49,11 +49,9 @@ def main(arguments: list[str] | None = None) -> None:
         run_cleaning(spark, args.raw_path, args.cleaned_path,
                      prefix=args.prefix, single_file=args.single_file)
     else:
-        statuses = ORDER_STATUSES
-        if args.observed_statuses:
-            statuses = observed_statuses(load_parquet_tables(spark, args.cleaned_path)["orders"])
         run_analysis(spark, args.cleaned_path, args.analysed_path,
-                     database=args.database, statuses=statuses,
+                     database=args.database,
+                     statuses=ORDER_STATUSES if args.declared_statuses else None,
                      partition_orders_by=args.partition_orders_by)
 
 

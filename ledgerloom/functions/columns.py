@@ -8,22 +8,28 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# Amounts from here on are added as doubles; sums of smaller ones fit a decimal for 1e13 rows.
+WIDE = 1e15
+
+
 def known(column: Column) -> Column:
     """A floating-point column with NaN read as null."""
     return F.when(~F.isnan(column), column)
 
 
 def money_sum(name: str) -> Column:
-    """Sum of an amount that is kept in whole cents.
+    """Sum of an amount, the same whatever the order in which tasks finish.
 
-    Doubles are added as integer cents, so the result does not depend on the
-    order in which tasks finish, and the sum stays in the fast fixed-width
-    aggregation path (a decimal sum is about three times slower). The total may
-    reach 9e16 units; beyond that ANSI arithmetic raises instead of wrapping.
-    Nulls and NaN are left out.
+    Amounts below ``WIDE`` are added as decimals of ten places, which is exact and so
+    independent of the order. What such a decimal leaves of an amount (digits beyond the
+    tenth place, zero for money) and amounts beyond, infinite ones included, are added
+    as doubles, so nothing is lost and no amount ends the query. Nulls and NaN are left out.
     """
-    cents = F.rint(known(F.col(name).cast("double")) * 100).cast("long")
-    return F.sum(cents) / F.lit(100.0)
+    amount = known(F.col(name).cast("double"))
+    near = F.when(F.abs(amount) < WIDE, amount)
+    exact = near.cast("decimal(25,10)")
+    rest = F.coalesce(near - exact.cast("double"), amount)
+    return F.coalesce(F.sum(exact).cast("double"), F.lit(0.0)) + F.sum(rest)
 
 
 def round2(column: Column) -> Column:

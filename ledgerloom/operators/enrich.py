@@ -32,21 +32,23 @@ def add_status_flags(orders: DataFrame, statuses: Sequence[str] = ORDER_STATUSES
     })
 
 
-def observed_statuses(orders: DataFrame, limit: int = 100) -> list[str]:
-    """Statuses that occur, sorted, for ``add_status_flags``. Runs a job.
+def observed_statuses(orders: DataFrame) -> list[str]:
+    """Statuses that occur, sorted, for ``add_status_flags``; one column each. Runs a job.
 
-    Raises if there are more than ``limit``: a column per value is then no longer
-    a schema.
+    Take it from the table that is flagged: statuses of orders that did not survive give no
+    column there.
     """
-    rows = (
-        orders.where("order_status is not null").select("order_status").distinct()
-        .limit(limit + 1).collect()
-    )
-    if len(rows) > limit:
-        raise ValueError(f"more than {limit} different order statuses")
+    rows = orders.where("order_status is not null").select("order_status").distinct().collect()
     return sorted(row[0] for row in rows)
 
 
+def undeclared_statuses(orders: DataFrame, statuses: Sequence[str]) -> DataFrame:
+    """Rows per status that has no flag among the declared ``statuses``."""
+    flagged = F.col("order_status").isin(*statuses)
+    return (orders.where(F.col("order_status").isNotNull() & ~flagged)
+            .groupBy("order_status").agg(F.count(F.lit(1)).alias("rows")))
+
+
 def add_customer_segment(
     spending: DataFrame, premium: float = PREMIUM_AOV, medium: float = MEDIUM_AOV
 ) -> DataFrame:

@@ -8,9 +8,7 @@ from functools import partial
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.operators.lookup import (
-    hot_keys, lookup_join, one_row_per_key, spark_broadcasts,
-)
+from ledgerloom.operators.lookup import hot_keys, lookup_join, one_row_per_key
 from ledgerloom.sources.contracts import ORDER_GRAIN
 
 # Natural order of the rows that compete for one order or one zip prefix. All
@@ -72,21 +70,20 @@ def integrate(tables: Mapping[str, DataFrame], columns: Sequence[str] | None = N
     """One row per order: its first surviving item, customer, geolocation, review and payment.
 
     An order survives if it has a customer and at least one item whose product and
-    seller are known. Orders must be unique on ``order_id`` and customers on
-    ``customer_id``; ``grain_check`` shows whether the result is unique. Every
-    side is reduced to one row per order before it joins, so nothing multiplies,
-    and the result is one that joining everything and keeping one row per order
-    could give.
+    seller are known. Orders and customers may repeat their keys: after they join,
+    one row per ``ORDER_GRAIN`` stays, the least by all their columns, so the choice
+    does not depend on the columns that a caller needs. Every other side is reduced
+    to one row per order before it joins, so nothing multiplies, and the result is
+    one that joining everything and keeping one row per order could give.
 
     ``columns`` names the output columns a caller needs. Sides that supply none of
     them are left out, or only asked whether the key exists; the rows, and the item
     chosen for each order, stay the same.
 
-    Products and sellers that are small enough to broadcast add their attributes
-    after the choice of one item per order, so that choice shuffles item columns
-    only. Larger ones add them while the items are shuffled by their key anyway.
-    Apart from that, items, orders, reviews and payments are shuffled once each by
-    order, which the joins between them share.
+    Products and sellers are asked whether an item's key exists before the choice of
+    one item per order, and add their attributes after it, so that choice shuffles
+    item columns only. Items, orders, reviews and payments are shuffled once each by
+    order, which the choices and joins between them share.
     """
     wanted = None if columns is None else set(columns)
 
@@ -107,22 +104,17 @@ def integrate(tables: Mapping[str, DataFrame], columns: Sequence[str] | None = N
     rows, attributes = items, []
     for side, key in ((products, "product_id"), (sellers, "seller_id")):
         hot = partial(hot_keys, items, [key])
-        if needs(side, key) and not spark_broadcasts(side):
-            rows = lookup_join(rows, side, [key], hot=hot)
-        else:
-            rows = lookup_join(rows, side.select(key), [key], "left_semi", hot=hot)
-            if needs(side, key):
-                attributes.append((one_row_per_key(side, [key]), key))
+        rows = lookup_join(rows, side.select(key), [key], "left_semi", hot=hot)
+        if needs(side, key):
+            attributes.append((one_row_per_key(side, [key]), key))
     rows = one_row_per_key(rows, ["order_id"], item_order)
     for side, key in attributes:
         rows = lookup_join(rows, side, [key])
 
+    placed = lookup_join(orders, customers, ["customer_id"]).repartition("order_id")
+    placed = one_row_per_key(placed, ORDER_GRAIN)
     if needs(geolocation):
-        customers = with_geolocation(customers, geolocation)
-    if needs(customers, "customer_id"):
-        placed = lookup_join(orders, customers, ["customer_id"])
-    else:
-        placed = lookup_join(orders, customers.select("customer_id"), ["customer_id"], "left_semi")
+        placed = with_geolocation(placed, geolocation)
 
     result = placed.join(rows, "order_id")
     if needs(reviews, "order_id"):

@@ -10,11 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _SALT, _COPIES = "_salt", "_copies"
-
-# Spark's own default limit below which a shuffle partition does not count as
-# skewed. If all of a side's input is smaller, no single key can overload a task.
-SKEW_BYTES = 256 * 1024 * 1024
-
+# Session setting: salt the hot keys of every lookup join.
+SALTED_JOINS = "ledgerloom.join.salted"
 
 def hot_keys(df: DataFrame, on: Sequence[str]) -> DataFrame:
     """Keys holding more rows than an average shuffle partition: ``(*on, _copies)``.
@@ -47,18 +44,19 @@ def lookup_join(
     how: str = "inner",
     *,
     hot: Callable[[], DataFrame] | None = None,
+    salted: bool | None = None,
 ) -> DataFrame:
     """Join ``rows`` with a lookup table whose key is (nearly) unique.
 
-    If the lookup side is below Spark's own broadcast threshold the plain join is
-    left to Spark, which broadcasts it, and no key can be hot; the same if the
-    rows come from so little input that one task could take them all. Beyond both
-    limits the join is shuffled and its hot keys are salted: a hot key's rows are
-    dealt over several groups by a hash of the row, and its lookup row is copied
-    once per group. Rows without a key match nothing; an outer join deals them
-    out too. The hash keeps a row's group the same when a lost task runs again;
-    it also keeps exact copies of a row together, so deduplicate first. The checks
-    read the optimiser's estimates, so no job runs here.
+    The join is declared and left to Spark: a lookup side below its broadcast
+    threshold is broadcast, where no key can be hot, and a shuffled join is split by
+    adaptive execution where a partition is skewed. ``salted`` (or the session's
+    ``ledgerloom.join.salted``) spreads hot keys whatever Spark does: a hot key's
+    rows are dealt over several groups by a hash of the row, and its lookup row is
+    copied once per group. Rows without a key match nothing; an outer join deals
+    them out too. The hash keeps a row's group the same when a lost task runs again;
+    it also keeps exact copies of a row together, so deduplicate first. Either way
+    gives the same rows, whatever the sizes.
 
     ``hot`` makes the hot keys where there is a cheaper way than to count the keys
     of ``rows``: ``hot_keys`` of the base table, or ``hot_among`` counts that an
@@ -67,7 +65,9 @@ def lookup_join(
     on = list(on)
     if how not in ("inner", "left", "left_semi"):
         raise ValueError(f"lookup_join does not support {how!r}")
-    if spark_broadcasts(lookup) or input_bytes(rows) <= SKEW_BYTES:
+    if salted is None:
+        salted = rows.sparkSession.conf.get(SALTED_JOINS, "false") == "true"
+    if not salted:
         return rows.join(lookup, on, how)
 
     partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -90,25 +90,6 @@ def lookup_join(
     return dealt.join(copied, [*on, _SALT], how).drop(_SALT)
 
 
-def spark_broadcasts(df: DataFrame) -> bool:
-    """Whether the optimiser's size estimate of ``df`` is below the broadcast threshold."""
-    try:
-        size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-        limit = df._jdf.sparkSession().sessionState().conf().autoBroadcastJoinThreshold()
-    except AttributeError:  # a session without a JVM handle shows no estimates
-        return False
-    return int(str(size)) <= int(limit)
-
-
-def input_bytes(df: DataFrame) -> float:
-    """Estimated bytes of all tables that ``df`` reads; infinite where not known."""
-    try:
-        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    except AttributeError:
-        return float("inf")
-    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
-
-
 def one_row_per_key(
     df: DataFrame, keys: Sequence[str], order_by: Sequence[str] = ()
 ) -> DataFrame:

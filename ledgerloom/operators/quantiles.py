@@ -8,15 +8,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.columns import known
-from ledgerloom.operators.lookup import input_bytes
 
-# Input below which narrowing costs more than sorting everything in one task.
-TINY_BYTES = 1024 * 1024
-# First narrowing: 512 buckets per natural-log unit, below 1,454 units in all
-# (ln of the largest double is under 710, on either side of zero).
-LOG_BUCKETS = 512
-# Second narrowing: equal slices inside the chosen bucket.
-SLICES = 1 << 20
+# Each narrowing step cuts the range that holds a rank into so many parts.
+PARTS = 1 << 16
+# A double has 64 bits, so four steps of 16 end at single values.
+STEPS = 4
 
 
 def quantiles(
@@ -37,17 +33,26 @@ def quantiles(
 
 
 def _exact(values: DataFrame, probabilities: Sequence[float]) -> DataFrame:
-    """Exact quantiles by counting values and ranking the counts.
+    """Exact quantiles by counting values and narrowing down each rank.
 
-    Values are counted by a spread aggregation. If all input together is tiny the
-    counts are ranked directly. Otherwise two steps first narrow down the values
-    that can hold each rank, in parallel, so that little is left to rank.
+    Values are counted by a spread aggregation and numbered in their order by their bits,
+    which makes 2^64 places of equal weight for all doubles, tiny ones included. Each step
+    counts the parts of the range that still holds a rank and picks the part that holds it,
+    so one window partition sees at most 65,536 parts per probability, and after four steps
+    a part is one value. The steps reuse the shuffle of the counts, whatever the data's size.
     """
-    counts = values.groupBy("v").agg(F.count(F.lit(1)).alias("n"))
-    if input_bytes(values) <= TINY_BYTES:
-        picked = _holding(_with_ranks(counts, probabilities), "v")
-    else:
-        picked = _holding(_narrowed(counts, probabilities), "v")
+    counts = values.groupBy("v").agg(F.count(F.lit(1)).alias("n")) \
+        .withColumn("place", _place(F.col("v")))
+    parts = counts.groupBy(_part(0).alias("part")).agg(F.sum("n").alias("n"))
+    held = _holding(_with_ranks(parts, probabilities), "part")
+    for step in range(1, STEPS):
+        # `held` has one row per probability, so broadcasting it is safe
+        chosen = F.broadcast(held.select("i", "rank", F.col("part").alias("inside")))
+        parts = (counts.join(chosen, _part(step - 1) == F.col("inside"))
+                 .groupBy("i", "rank", _part(step).alias("part")).agg(F.sum("n").alias("n")))
+        held = _holding(parts, "part")
+    chosen = F.broadcast(held.select("i", F.col("part").alias("place")))
+    picked = counts.join(chosen, "place").select("i", "v")
     return picked.agg(
         F.array(
             *[F.max(F.when(F.col("i") == k, F.col("v"))) for k in range(len(probabilities))]
@@ -55,36 +60,16 @@ def _exact(values: DataFrame, probabilities: Sequence[float]) -> DataFrame:
     )
 
 
-def _narrowed(counts: DataFrame, probabilities: Sequence[float]) -> DataFrame:
-    """The few values around each rank: ``(i, rank, v, n)``.
+def _place(value: Column) -> Column:
+    """A long that grows with the double: its bits, those of negative ones turned round."""
+    bits = F.call_function("reflect", F.lit("java.lang.Double"), F.lit("doubleToLongBits"),
+                           F.abs(value)).cast("long")
+    return F.when(value < 0, -bits).otherwise(bits)
 
-    Step one counts log-scale buckets and picks the one holding each rank; step
-    two does the same for equal slices of that bucket. Both reuse the shuffle of
-    ``counts``. Bucketing never decreases with the value, so each step is exact.
-    One window partition sees at most about 750,000 buckets, then 1,048,577
-    slices, and the values left are the distinct doubles of one slice, which
-    spans at most 2e-9 of its value: a few hundred for amounts in cents, 17
-    million at the very most, whatever the size of the data.
-    """
-    log = F.least(F.log1p(F.abs("v")), F.lit(710.0))
-    bucket = F.floor(F.signum("v") * log * LOG_BUCKETS)
-    buckets = counts.groupBy(bucket.alias("bucket")).agg(
-        F.sum("n").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
-    first = _holding(_with_ranks(buckets, probabilities), "bucket")
-
-    # `first` and `second` have one row per probability, so broadcasting them is safe.
-    held = F.broadcast(first.select("i", "bucket", "low", "high", "rank"))
-    inside = counts.join(held, F.col("bucket") == bucket)
-    span = F.col("high") - F.col("low")
-    position = F.when(span > 0, F.floor((F.col("v") - F.col("low")) / span * SLICES)).otherwise(0)
-    slices = inside.groupBy("i", "rank", "bucket", position.alias("slice")).agg(
-        F.sum("n").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
-    second = _holding(slices, "slice")
-
-    held = F.broadcast(second.select("i", "bucket", "low", "high", "rank"))
-    in_slice = F.col("v").between(F.col("low"), F.col("high"))
-    left = counts.join(held, (F.col("bucket") == bucket) & in_slice)
-    return left.select("i", "rank", "v", "n")
+
+def _part(step: int) -> Column:
+    """The leading bits of a place after so many steps."""
+    return F.shiftright("place", 16 * (STEPS - 1 - step))
 
 
 def _with_ranks(counted: DataFrame, probabilities: Sequence[float]) -> DataFrame:

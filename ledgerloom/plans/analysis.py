@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerloom.operators import aggregate, enrich, rank, report
-from ledgerloom.operators.integrate import integrate
+from ledgerloom.operators.integrate import grain_check, integrate, lost_orders
 from ledgerloom.sinks.writers import save_tables, side_by_side, write_parquet
 from ledgerloom.sources import contracts
 from ledgerloom.sources.readers import load_parquet_tables
@@ -42,7 +42,7 @@ def outputs(
         enrich.add_status_flags(integrated, statuses), spending)
     return {
         "complete_orders": complete,
-        "customer_orders": aggregate.orders_per_customer(integrated, one_row_per_order=True),
+        "customer_orders": aggregate.orders_per_customer(integrated),
         "seller_review_score": aggregate.seller_review_scores(integrated),
         "most_sold_products": aggregate.most_sold_products(integrated),
         "customer_purchase": aggregate.customer_purchases(integrated),
@@ -53,7 +53,18 @@ def outputs(
         "seller_performance": aggregate.seller_performance(integrated),
         "product_metrics": aggregate.product_metrics(integrated),
         "monthly_stats": aggregate.monthly_stats(integrated),
-        "customer_retention": aggregate.customer_retention(integrated, one_row_per_order=True),
+        "customer_retention": aggregate.customer_retention(integrated),
+    }
+
+
+def quality_outputs(
+    orders: DataFrame, integrated: DataFrame, statuses: Sequence[str] = enrich.ORDER_STATUSES
+) -> dict[str, DataFrame]:
+    """What the integration kept: its grain, the orders it lost, statuses without a flag."""
+    return {
+        "quality_order_grain": grain_check(integrated),
+        "quality_lost_orders": lost_orders(orders, integrated),
+        "quality_undeclared_statuses": enrich.undeclared_statuses(integrated, statuses),
     }
 
 
@@ -63,7 +74,7 @@ def run_analysis(
     analysed_path: str,
     *,
     database: str | None = None,
-    statuses: Sequence[str] = enrich.ORDER_STATUSES,
+    statuses: Sequence[str] | None = None,
     partition_orders_by: Sequence[str] = (),
 ) -> None:
     """Integrate the cleaned tables and overwrite all outputs, as Parquet and as tables.
@@ -73,7 +84,12 @@ def run_analysis(
     re-join. Outputs that feed others are written first and read back likewise.
     With ``database`` every output is also saved as a catalogue table, copied from
     the file just written. ``partition_orders_by`` lays the complete orders out in
-    folders, say by ``purchase_year``, so that readers of one year skip the rest.
+    folders, say by ``purchase_year``, so that readers of one year skip the rest, in the
+    files and in the catalogue.
+
+    Status flags are those of ``statuses``, by default of all statuses that the integrated
+    orders have. The grain of the integrated orders, the orders lost, and statuses without a
+    flag are written as quality outputs first; a broken grain ends the job there.
     """
     base_path = analysed_path.rstrip("/")
 
@@ -91,8 +107,16 @@ def run_analysis(
 
     tables = load_parquet_tables(spark, cleaned_path)
     integrated = write({INTEGRATED_FOLDER: integrate(tables)})[INTEGRATED_FOLDER]
+    if statuses is None:
+        statuses = enrich.observed_statuses(integrated)
+    quality = write(quality_outputs(tables["orders"], integrated, statuses))
+    if not quality["quality_order_grain"].first()["unique"]:
+        raise ValueError(f"integrated orders are not unique: see {path('quality_order_grain')}")
     written = write(base_outputs(integrated))
     rest = outputs(integrated, written, statuses)
     written.update(write({name: df for name, df in rest.items() if name not in written}))
     if database is not None:
-        save_tables(written, contracts.OUTPUT_NAMES, database=database)
+        names = contracts.OUTPUT_NAMES
+        complete = {"complete_orders": written.pop("complete_orders")}
+        save_tables(complete, names, database=database, partition_by=partition_orders_by)
+        save_tables(written, names, database=database)

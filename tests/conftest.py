@@ -45,17 +45,6 @@ def conf(spark):
 
 
 @pytest.fixture
-def always_salt(monkeypatch, conf):
-    """Take the shuffled, salted path of every lookup join, however small the data."""
-    from ledgerloom.operators import lookup
-
-    monkeypatch.setattr(lookup, "SKEW_BYTES", -1)
-    conf(spark__sql__autoBroadcastJoinThreshold="-1")
-
-
-@pytest.fixture
-def always_narrow(monkeypatch):
-    """Take the narrowing path of every quantile, however small the data."""
-    from ledgerloom.operators import quantiles
-
-    monkeypatch.setattr(quantiles, "TINY_BYTES", -1)
+def always_salt(conf):
+    """Salt the hot keys of every lookup join, and shuffle it."""
+    conf(ledgerloom__join__salted="true", spark__sql__autoBroadcastJoinThreshold="-1")

@@ -32,6 +32,17 @@ def test_money_sum_is_exact_and_skips_null_and_nan(spark):
     assert rows(df.where("v is null").agg(money_sum("v"))) == [(None,)]
 
 
+def test_money_sum_keeps_small_wide_and_infinite_amounts(spark):
+    def total(values):
+        df = spark.createDataFrame([(v,) for v in values], "v double")
+        return rows(df.agg(money_sum("v")))[0][0]
+
+    assert total([0.004] * 1000) == 4.0
+    assert total([1e-12] * 1000) == pytest.approx(1e-9)
+    assert total([1e17, 2.5]) == 1e17 + 2.5
+    assert total([math.inf, 1.0]) == math.inf
+
+
 def test_round2_is_half_up_and_keeps_null(spark):
     df = spark.createDataFrame([(2.345,), (2.675,), (-1.005,), (None,)], "v double")
     assert [r[0] for r in rows(df.select(round2(F.col("v"))))] == [2.35, 2.68, -1.01, None]
@@ -249,11 +260,10 @@ def test_flags_of_a_missing_status_are_false(spark):
     assert rows(flagged) == [(None, False, False), ("delivered", True, False)]
 
 
-def test_observed_statuses_are_bounded(spark):
+def test_observed_and_undeclared_statuses(spark):
     df = spark.createDataFrame([("b",), ("a",), (None,), ("a",)], "order_status string")
     assert enrich.observed_statuses(df) == ["a", "b"]
-    with pytest.raises(ValueError):
-        enrich.observed_statuses(df, limit=1)
+    assert rows(enrich.undeclared_statuses(df, ["a"])) == [("b", 1)]
 
 
 # --- reports -----------------------------------------------------------------

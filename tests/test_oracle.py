@@ -34,7 +34,7 @@ LARGE_PATHS = [
 ]
 
 
-@pytest.mark.usefixtures("always_salt", "always_narrow")
+@pytest.mark.usefixtures("always_salt")
 @pytest.mark.parametrize("name", LARGE_PATHS)
 def test_paths_for_large_data_equal_the_oracle(spark, connection, name):
     """The plans that real sizes get: shuffled, salted joins and narrowed quantiles."""

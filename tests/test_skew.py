@@ -9,7 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from checks import fixtures as fx
-from ledgerloom.operators import lookup, rank
+from ledgerloom.operators import rank
 from ledgerloom.operators.integrate import integrate
 from ledgerloom.operators.lookup import hot_keys, lookup_join
 from ledgerloom.operators.quantiles import quantiles
@@ -91,10 +91,9 @@ def skewed_tables(spark):
     return tables
 
 
-def test_integration_is_the_same_when_salted(spark, monkeypatch, conf):
+def test_integration_is_the_same_when_salted(spark, conf):
     plain = bag(integrate(skewed_tables(spark)))
-    monkeypatch.setattr(lookup, "SKEW_BYTES", -1)
-    conf(spark__sql__autoBroadcastJoinThreshold="-1")
+    conf(ledgerloom__join__salted="true", spark__sql__autoBroadcastJoinThreshold="-1")
     tables = skewed_tables(spark)
     assert rows(hot_keys(tables["order_items"], ["product_id"]).select("product_id")) == [(7,)]
     assert rows(hot_keys(tables["orders"], ["customer_id"]).select("customer_id")) == [(3,)]
@@ -127,7 +126,6 @@ def test_ranks_equal_window_ranks_for_a_hot_seller(spark, request, salted):
         windowed(F.dense_rank, "total_revenue", "dense_rank"))
 
 
-@pytest.mark.usefixtures("always_narrow")
 @settings(max_examples=15, deadline=None, suppress_health_check=list(HealthCheck))
 @given(
     values=st.lists(
@@ -149,10 +147,14 @@ def test_quantiles_are_order_statistics(spark, values, probabilities):
     assert rows(quantiles(df, "v", probabilities))[0][0] == expected
 
 
-@pytest.mark.parametrize("narrowed", [False, True])
-def test_quantiles_equal_the_exact_summary(spark, request, narrowed):
-    if narrowed:
-        request.getfixturevalue("always_narrow")
+def test_tiny_values_beside_small_ones(spark):
+    """Four hundred values below 1e-9 and one of 0.0019: each rank ends at one value."""
+    df = spark.range(400).selectExpr("(id + 1) * 1e-15 AS v").unionByName(
+        spark.createDataFrame([(0.0019,)], "v double"))
+    assert rows(quantiles(df, "v", [0.5, 1.0]))[0][0] == [201 * 1e-15, 0.0019]
+
+
+def test_quantiles_equal_the_exact_summary(spark):
     items = fx.frame(spark, SMALL, "f_order_items")
     probabilities = [0.0, 0.01, 0.2, 0.5, 0.99, 1.0]
     assert rows(quantiles(items, "price", probabilities))[0][0] == items.approxQuantile(
