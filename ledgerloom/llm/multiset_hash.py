@@ -155,25 +155,29 @@ def successors(ids: DataFrame) -> DataFrame:
 def with_edited(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``n_chars``, ``edited_sha256`` (of the text with its last quarter from the
     next document's start), and the fingerprints ``fp``, ``edited_fp``, ``next_fp``."""
-    texts = docs.select(F.col("doc_id").cast("long"), whole_text().alias("text"))
-    sizes = texts.select("doc_id", F.floor(F.length("text") / 4).alias("take"))
-    asked = (successors(docs).join(sizes.groupBy("doc_id").agg(F.max("take").alias("take")),
-                                   "doc_id"))
+    every = docs.select(F.col("doc_id").cast("long").alias("id"), whole_text().alias("body"))
+    # both joins take the texts by id in the same form, so that they are shuffled once
+    texts = every.where("id IS NOT NULL")
+    take = F.floor(F.length("body") / 4).cast("int")
+    sizes = texts.groupBy("id").agg(F.max(take).alias("take"))
+    asked = successors(docs).withColumnRenamed("doc_id", "id").join(sizes, "id").select(
+        F.col("id").alias("asker"), F.col("next_id").alias("id"), "take")
     # what the next document gives goes back to the document that asked; of rows that
     # repeat an id, the one with the least hash gives
     given = (
-        asked.withColumnRenamed("doc_id", "asker").withColumnRenamed("next_id", "doc_id")
-        .join(texts, "doc_id")
-        .select(F.col("asker").alias("doc_id"), F.col("doc_id").alias("next_id"),
-                F.expr("left(text, cast(take as int))").alias("start"),
-                F.xxhash64("text").alias("order"))
-        .groupBy("doc_id", "next_id").agg(F.min_by("start", "order").alias("start"))
+        asked.join(texts, "id")
+        .select(F.col("asker").alias("id"), F.col("id").alias("next_id"),
+                F.expr("left(body, take)").alias("start"), F.xxhash64("body").alias("order"))
+        .groupBy("id", "next_id").agg(F.min_by("start", "order").alias("start"))
     )
-    take = F.floor(F.length("text") / 4).cast("int")
+    alone = every.where("id IS NULL").select(
+        "id", "body", F.lit(None).cast("long").alias("next_id"),
+        F.lit(None).cast("string").alias("start"))
     edited = (
-        texts.join(given, "doc_id", "left")
-        .select("doc_id", "next_id", "text", F.length("text").cast("long").alias("n_chars"),
-                F.concat(F.expr("left(text, length(text) - cast(floor(length(text) / 4) as int))"),
+        texts.join(given, "id").unionByName(alone)
+        .select(F.col("id").alias("doc_id"), "next_id", F.col("body").alias("text"),
+                F.length("body").cast("long").alias("n_chars"),
+                F.concat(F.expr("left(body, length(body) - cast(floor(length(body) / 4) as int))"),
                          F.substring(F.coalesce("start", F.lit("")), F.lit(1), take))
                 .alias("edited"))
     )
