@@ -34,11 +34,12 @@ from ledgerloom.llm.suffix import suffix_array
 SPACE = "▁"
 #: Texts of so many characters are encoded together; words that a worker remembers.
 BATCH_CHARS = 4 << 20
-CACHED_WORDS = 400_000
-CACHED_PAIRS = 600_000
+CACHED_WORDS = 250_000
+CACHED_PAIRS = 500_000
 LONGEST_CACHED = 64
 #: Words that are indexed and matched at once.
 INDEXED_WORDS = 80_000
+SIGNS = ".,;:!?"
 _SEPARATOR = b"\xff"
 _RUNS = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
 
@@ -60,6 +61,8 @@ class Vocabulary:
         self.ids = {x: i for i, x in enumerate(self.names) if x}
         self.unknown = model.unk_id()
         self.scores = {x: model.get_score(i) for x, i in self.ids.items()}
+        # nothing merges across two characters that stand together in no piece
+        self.together = {x[i:i + 2] for x in self.ids for i in range(len(x) - 1)}
         self.apart: dict[int, bool] = {}
         # a piece that its own characters don't merge to never occurs
         self.usable = np.array([i for x, i in self.ids.items()
@@ -213,7 +216,8 @@ class Encoder:
 
     def __init__(self, path: str):
         self.vocabulary = Vocabulary(path)
-        self._known: dict[str, bytes] = {}
+        self._known: dict[str, bytes] = {}  # and those of the generation before
+        self._old: dict[str, bytes] = {}
 
     @staticmethod
     def words(text: str) -> list[str]:
@@ -236,17 +240,29 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [self.words(x) for x in texts]
         if len(self._known) > CACHED_WORDS:
-            self._known.clear()
-        known = self._known
+            self._known, self._old = {}, self._known
+        known, old = self._known, self._old
         new = set().union(*split).difference(known)
-        plain = [x for x in new if x.strip(SPACE + "\n") and SPACE not in x[1:]]
+        again = new.intersection(old)
+        known.update((word, old[word]) for word in again)
+        new -= again
+        together, ends = self.vocabulary.together, {}
+        for word in new:  # a word and the sign after it, if nothing merges across
+            if word[-1] in SIGNS and len(word) > 1 and word[-2:] not in together:
+                ends[word] = word[:-1], word[-1]
+        words = new.difference(ends)
+        words.update(x for pair in ends.values() for x in pair)
+        words.difference_update(known)
+        plain = [x for x in words if x.strip(SPACE + "\n") and SPACE not in x[1:]]
         for at in range(0, len(plain), INDEXED_WORDS):
-            words = plain[at:at + INDEXED_WORDS]
-            known.update(zip(words, self.vocabulary.encoded(words)))
-        for word in new.difference(plain):
+            part = plain[at:at + INDEXED_WORDS]
+            known.update(zip(part, self.vocabulary.encoded(part)))
+        for word in words.difference(plain):
             known[word] = array("I", self.vocabulary.direct(word)).tobytes()
-        out = [b"".join(map(known.__getitem__, words)) for words in split]
-        for word in new:
+        for word, (stem, sign) in ends.items():
+            known[word] = known[stem] + known[sign]
+        out = [b"".join(map(known.__getitem__, x)) for x in split]
+        for word in (new | words):
             if len(word) > LONGEST_CACHED:
                 del known[word]
         return out
@@ -271,27 +287,41 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def _with(docs: DataFrame, name: str, kind: T.DataType, rows) -> DataFrame:
-    """The columns of ``docs`` with one more, which ``rows`` makes of a batch of them."""
+#: Rows that are encoded, decoded and returned together.
+ROWS = 2000
+
+
+def _with(docs: DataFrame, added: dict[str, T.DataType], rows) -> DataFrame:
+    """The columns of ``docs`` with more, which ``rows`` makes of a batch of them."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     ship(docs.sparkSession)
-    names = [x for x in docs.columns if x != name]
+    names = [x for x in docs.columns if x not in added]
     docs = docs.select(*[docs[x] for x in names])
-    schema = T.StructType(list(docs.schema.fields)).add(name, kind)
+    schema = T.StructType(list(docs.schema.fields))
+    for name, kind in added.items():
+        schema = schema.add(name, kind)
     out = to_arrow_schema(schema)
 
     def made(batches):
-        for batch in batches:
-            columns = [batch.column(i).cast(out.field(i).type) for i in range(len(names))]
-            yield pa.RecordBatch.from_arrays(
-                [*columns, pa.array(rows(batch, names), out.field(name).type)], schema=out)
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(at, ROWS)
+                columns = [batch.column(i).cast(out.field(i).type) for i in range(len(names))]
+                new = rows(batch, names)
+                yield pa.RecordBatch.from_arrays(
+                    [*columns, *(pa.array(v, out.field(n).type) for n, v in new.items())],
+                    schema=out)
 
     return docs.mapInArrow(made, schema)
 
 
-def encode(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
-    """The columns of ``docs`` with ``ids``; ``model`` is a file that executors can read."""
+def encode(docs: DataFrame, model: str, text: str = "text", decoded: bool = False) -> DataFrame:
+    """The columns of ``docs`` with ``ids``, and on request ``decoded``, the text of these.
+
+    ``model`` is a file that executors can read.
+    """
+    added = {"ids": T.ArrayType(T.IntegerType())} | ({"decoded": T.StringType()} if decoded else {})
 
     def rows(batch, names):
         texts = [x or "" for x in batch.column(names.index(text)).to_pylist()]
@@ -304,10 +334,14 @@ def encode(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
                 part.append(x)
                 size += len(x)
         offsets = np.cumsum([0, *(len(x) // 4 for x in out)]).astype(np.int32)
-        return pa.ListArray.from_arrays(
+        ids = pa.ListArray.from_arrays(
             offsets, pa.array(np.frombuffer(b"".join(out), "<u4").astype(np.int32)))
+        if not decoded:
+            return {"ids": ids}
+        return {"ids": ids,
+                "decoded": [encoder(model).decode(array("I", x).tolist()) for x in out]}
 
-    return _with(docs, "ids", T.ArrayType(T.IntegerType()), rows)
+    return _with(docs, added, rows)
 
 
 def decode(docs: DataFrame, model: str, ids: str = "ids") -> DataFrame:
@@ -315,6 +349,7 @@ def decode(docs: DataFrame, model: str, ids: str = "ids") -> DataFrame:
 
     def rows(batch, names):
         decoder = encoder(model)
-        return [decoder.decode(x or []) for x in batch.column(names.index(ids)).to_pylist()]
+        return {"decoded": [decoder.decode(x or [])
+                            for x in batch.column(names.index(ids)).to_pylist()]}
 
-    return _with(docs, "decoded", T.StringType(), rows)
+    return _with(docs, {"decoded": T.StringType()}, rows)
