@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import (
-    multiset_hash, packing, pieces, pii, simhash, span_dedup, suffix_dedup, topk, toxicity, url_rules,
+    multiset_hash, packing, pieces, pii, simhash, span_dedup, suffix_dedup, topk, toxicity,
+    url_rules,
 )
 from ledgerloom.llm.common import table
 
@@ -114,7 +115,7 @@ def op6_suffix_array_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Piece ids of every document, and the text that they decode to."""
     model = public_tokenizers.path("piece_bpe_32k.model")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    done = pieces.decode(pieces.encode(docs, model).drop("text"), model)
+    done = pieces.encode(docs, model, decoded=True)
     return done.select(
         "doc_id", F.size("ids").cast("long").alias("n_ids"),
         F.crc32(F.array_join("ids", " ").cast("binary")).alias("ids_crc32"),
@@ -139,7 +140,7 @@ def op7_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What stays of every document without strings of 50 bytes of earlier ones."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return suffix_dedup.dedup(docs, digest=True).drop("text")
+    return suffix_dedup.dedup(docs, digest=True, keep=["doc_id"])
 
 
 @query

@@ -86,7 +86,7 @@ def word_fingerprints(text: str, known: dict[bytes, int], count: int = ROUNDS) -
     for word in set(found).difference(known):
         known[word] = xxh64_intdigest(word, SEED)
     hashes = np.array([known[x] for x in found], "<u8")
-    if len(known) > 500_000:
+    if len(known) > 200_000:
         known.clear()
     out = []
     for number in range(count):

@@ -31,13 +31,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.llm.common import ship, whole_text
+from ledgerloom.llm.common import ship
 from ledgerloom.llm.suffix import reaches, suffix_array, words_at
 
 LENGTH = 50
 #: Bytes of a gram; shorter ones make smaller messages and more regions that don't repeat.
 GRAM = 24
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 #: Of text, for each shard of keys and for each shard of regions.
 KEYS_BYTES = 24 << 20
 SHARD_BYTES = 2 << 20
@@ -59,9 +59,11 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 def _window_keys(data: bytes, length: int) -> np.ndarray:
     """The key of every window: the least hash of its grams."""
     view, last = memoryview(data), len(data) - length + 1
-    return np.concatenate([
-        _keys_of(view[at:min(at + CHUNK, last) + length - 1], length)
-        for at in range(0, last, CHUNK)])
+    keys = np.empty(last, np.uint64)
+    for at in range(0, last, CHUNK):
+        to = min(at + CHUNK, last)
+        keys[at:to] = _keys_of(view[at:to + length - 1], length)
+    return keys
 
 
 def _keys_of(data: memoryview, length: int) -> np.ndarray:
@@ -84,7 +86,7 @@ class _Block:
 
     def __init__(self, table: pa.Table, id_column: str, length: int):
         ids = table.column(id_column).cast(pa.int64())
-        texts = table.column(_TEXT).cast(pa.large_binary())
+        texts = pc.fill_null(table.column(_TEXT).cast(pa.large_binary()), b"")
         order = pc.sort_indices(
             pa.table({"id": ids, "text": texts}), [("id", "ascending"), ("text", "ascending")])
         self.table = table.take(order)
@@ -314,16 +316,13 @@ def _clean(table: pa.Table, seen: pa.Table, least: pa.Table, id_column: str, len
     steps[starts + length] -= 1
     gone = np.cumsum(steps, dtype=np.int8)[:-1] > 0  # at most ``length`` at a place
     raw = np.frombuffer(block.data, np.uint8)
-    if "kept" not in out.names and "kept_sha256" not in out.names and len(raw):
-        # as text: a character goes if all its bytes do
-        characters = np.flatnonzero((raw & 0xC0) != 0x80)
-        characters = np.union1d(characters, block.starts[block.starts < len(raw)])
-        whole = np.logical_and.reduceat(gone, characters)
-        gone = np.repeat(whole, np.diff(np.r_[characters, len(raw)]))
+    as_text = "kept" not in out.names and "kept_sha256" not in out.names
     rows: dict[str, list] = {k: [] for k in ("n_bytes", "n_removed", "n_spans", "kept")}
     for a, b, text in zip(block.starts.tolist(), block.ends.tolist(), block.texts):
         mine = gone[a:b]
         removed = int(np.count_nonzero(mine))
+        if as_text and removed:
+            mine = _whole_characters(raw[a:b], mine)
         rows["n_bytes"].append(b - a)
         rows["n_removed"].append(removed)
         rows["n_spans"].append(
@@ -331,27 +330,39 @@ def _clean(table: pa.Table, seen: pa.Table, least: pa.Table, id_column: str, len
         rows["kept"].append(raw[a:b][~mine].tobytes() if removed else text)
     if "kept_sha256" in out.names:
         rows["kept_sha256"] = [hashlib.sha256(x).hexdigest() for x in rows.pop("kept")]
-    if "kept" not in out.names and "kept" in rows:
+    if as_text:
         kept = rows.pop("kept")
         rows = {"text": [x.decode("utf-8", "replace") for x in kept]}
         if "n_chars" in out.names:
             rows["n_chars"] = [len(x) for x in rows["text"]]
     new = {k: pa.array(v, out.field(k).type) for k, v in rows.items()}
+    if "text" in out.names and not as_text:
+        new["text"] = block.table.column(_TEXT).cast(out.field("text").type, safe=False)
     return pa.table([new[f.name] if f.name in new else
                      block.table.column(f.name).cast(f.type) for f in out], schema=out)
 
 
+def _whole_characters(raw: np.ndarray, gone: np.ndarray) -> np.ndarray:
+    """Which bytes go if a character only goes with all its bytes."""
+    starts = np.flatnonzero((raw & 0xC0) != 0x80)
+    if not len(starts) or starts[0]:
+        starts = np.r_[0, starts]
+    whole = np.logical_and.reduceat(gone, starts)
+    return np.repeat(whole, np.diff(np.r_[starts, len(raw)]))
+
+
 def _split(table: pa.Table) -> tuple[pa.Table, pa.Table]:
     """Answers on keys and on regions, which come in one table."""
     is_key = pc.is_valid(table.column("seen"))
     return table.filter(is_key), table.filter(pc.invert(is_key))
 
 
-def dedup(docs: DataFrame, length: int = LENGTH, digest: bool = False) -> DataFrame:
-    """The columns of ``docs`` with n_bytes, n_removed, n_spans and kept (the bytes that stay),
+def dedup(docs: DataFrame, length: int = LENGTH, digest: bool = False,
+          keep: list[str] | None = None) -> DataFrame:
+    """The columns of ``docs`` (or those to ``keep``) with n_bytes, n_removed, n_spans and kept (the bytes that stay),
     or with ``digest`` kept_sha256 in its place. ``length`` is from 32 to 127 bytes.
     """
-    return _deduped(docs, length, [
+    return _deduped(docs, length, docs.columns if keep is None else keep, [
         ("n_bytes", "long"), ("n_removed", "long"), ("n_spans", "long"),
         ("kept_sha256", "string") if digest else ("kept", "binary")])
 
@@ -361,10 +372,11 @@ def cleaned(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     Characters of which some bytes stay, stay whole.
     """
-    return _deduped(docs, length, [])
+    return _deduped(docs, length, docs.columns, [])
 
 
-def _deduped(docs: DataFrame, length: int, new: list[tuple[str, str]]) -> DataFrame:
+def _deduped(docs: DataFrame, length: int, keep: list[str],
+             new: list[tuple[str, str]]) -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_schema
 
     if not GRAM + 8 <= length < 128:
@@ -374,15 +386,15 @@ def _deduped(docs: DataFrame, length: int, new: list[tuple[str, str]]) -> DataFr
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = total // BLOCK_BYTES + 1
     key_shards, shards = total // KEYS_BYTES + 1, total // SHARD_BYTES + 1
-    schema = T.StructType([x for x in docs.schema if x.name not in dict(new)])
+    schema = T.StructType([docs.schema[x] for x in keep if x not in dict(new)])
     for name, kind in new:
         schema = schema.add(name, kind)
     out = to_arrow_schema(schema)
 
-    dealt = docs.withColumns({
-        _TEXT: whole_text().cast("binary"),
-        _BLOCK: F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(blocks)),
-    }).drop(*dict(new))
+    others = [x for x in keep if x not in dict(new) and x not in ("text", "doc_id")]
+    dealt = docs.select(
+        F.col("doc_id"), *[docs[x] for x in others], F.col("text").cast("binary").alias(_TEXT),
+        F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(blocks)).alias(_BLOCK))
     by_block = dealt.groupBy(_BLOCK)
     keys = by_block.applyInArrow(
         lambda t: _ask_keys(t, "doc_id", length, key_shards), _spark_schema(_KEYS))
