@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import whole_text
+from ledgerloom.llm.common import stored, whole_text
 
 SPAN = 3
 _MARK = "\u0001"
@@ -72,9 +72,12 @@ def dedup(docs: DataFrame, span: int = SPAN) -> DataFrame:
         .select("_owner", "_text_hash", "x.at", "x.h1", "x.h2")
     )
     place = F.struct("_owner", "_text_hash", "at")
-    firsts = (places.groupBy("h1", "h2")
-              .agg(F.min(place).alias("first"), F.max(place).alias("last"))
-              .where(F.col("first") < F.col("last")).select("h1", "h2", "first"))
+    # stored, so that both sides of the join back are plain shuffles and a hash that very many
+    # documents share can be split there
+    firsts = stored(
+        places.groupBy("h1", "h2")
+        .agg(F.min(place).alias("first"), F.max(place).alias("last"))
+        .where(F.col("first") < F.col("last")).select("h1", "h2", "first"), "spans")
     covered = (
         places.join(firsts, ["h1", "h2"]).where(place != F.col("first"))
         .groupBy("_owner", "_text_hash").agg(F.collect_set("at").alias("_removed"))
