@@ -80,10 +80,12 @@ def duplicate_summary(tables: Mapping[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+# Fixed values.
 ORDER_AUDIT_COLUMNS = (
     "order_id", "order_status", "order_purchase_timestamp", "order_approved_at",
     "order_delivered_carrier_date", "order_delivered_customer_date",
 )
+# Fixed values.
 AUDITED_STATUSES = ("delivered", "invoiced", "canceled")
 
 

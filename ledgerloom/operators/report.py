@@ -27,6 +27,7 @@ OUTPUT_ORDER = {
 }
 
 # Decimal places of the formatted columns in each printed report.
+# Fixed values.
 REPORT_FORMATS = {
     "customer_orders": {"total_order": 0},
     "seller_review_score": {"avg_review_score": 0},
@@ -46,6 +47,7 @@ REPORT_FORMATS = {
     "products_by_revenue": {"total_amount_spent": 2},
 }
 
+# Fixed values.
 MONTHLY_REPORT = (
     "purchase_month_name", "purchase_year", "seller_revenue", "customer_spend", "total_freight",
     "total_orders", "aov_seller", "aov_customer", "min_order_value", "max_order_value",

@@ -55,6 +55,7 @@ OUTPUT_NAMES = {
 # Explicit schemas spare the inference pass over the input, keep the leading
 # zeros of zip prefixes, and read wall-clock times without a zone. Review scores
 # and dates stay text here: cleaning repairs them, profiling counts the bad ones.
+# Fixed values.
 RAW_SCHEMAS = {
     "customers": """
         customer_id STRING, customer_unique_id STRING,
