@@ -9,7 +9,7 @@ from pyspark.sql import SparkSession
 from ledgerloom.operators.enrich import ORDER_STATUSES
 from ledgerloom.plans.analysis import run_analysis
 from ledgerloom.plans.cleaning import run_cleaning
-from ledgerloom.plans.exploration import distributions, profile_tables
+from ledgerloom.plans.exploration import audits, distributions, profile_tables
 from ledgerloom.sources.readers import load_csv_tables
 
 
@@ -42,7 +42,7 @@ def main(arguments: list[str] | None = None) -> None:
     spark = SparkSession.builder.appName(f"ledgerloom {args.command}").getOrCreate()
     if args.command == "explore":
         tables = load_csv_tables(spark, args.raw_path, prefix=args.prefix)
-        for name, df in {**profile_tables(tables), **distributions(tables)}.items():
+        for name, df in {**profile_tables(tables), **audits(tables), **distributions(tables)}.items():
             print(f"\n{name}")
             df.show(args.rows, truncate=False)
     elif args.command == "clean":

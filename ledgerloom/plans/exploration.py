@@ -26,6 +26,26 @@ def profile_tables(
     }
 
 
+# What the text columns of the reviews should hold.
+REVIEW_TYPES = {
+    "review_score": "int",
+    "review_creation_date": "timestamp",
+    "review_answer_timestamp": "timestamp",
+}
+
+
+def audits(tables: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
+    """What cleaning will have to repair: missing dates by status, payment vocabulary, bad types."""
+    return {
+        "order_nulls_by_status": report.ordered(
+            profile.nulls_by_status(tables["orders"]), "order_status"),
+        "payment_vocabulary": report.ordered(
+            profile.distinct_values(tables["payments"], "payment_type"), "payment_type"),
+        "review_type_conformance": report.ordered(
+            profile.type_conformance(tables["reviews"], REVIEW_TYPES), "column"),
+    }
+
+
 def distributions(tables: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
     """Distribution frames, each in its total order, largest first."""
     customers, orders, items = tables["customers"], tables["orders"], tables["order_items"]

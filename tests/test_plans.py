@@ -34,7 +34,8 @@ def test_building_all_plans_starts_no_job(spark):
         cleaned = cleaning.clean_tables(raw)
         orders = integrate(cleaned)
         return [
-            *exploration.profile_tables(raw).values(), *exploration.distributions(raw).values(),
+            *exploration.profile_tables(raw).values(), *exploration.audits(raw).values(),
+            *exploration.distributions(raw).values(),
             *analysis.outputs(orders).values(),
         ]
 
