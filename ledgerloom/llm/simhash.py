@@ -10,9 +10,12 @@ the limit is discarded, and only survivors are compared bit by bit. A group give
 of a spanning forest, not its pairs. Groups above a size are split into pairs of chunks.
 
 ``one_of_each`` looks for edited copies too, whose shingle fingerprints are farther apart than
-any table reaches: candidates are pairs with at most four different bits in one of several
-fingerprints of single words, which an edit changes less, and links are those of them whose
-fingerprints of five-word shingles differ in at most twelve bits (about a similarity of 0.8).
+any table reaches. A link there is a Jaccard similarity of the sets of five-word shingles of at
+least 0.8, computed from the sets for every candidate pair. Equal sets are one node. Nodes meet
+in a group if two of their least shingles agree, by any of ``KEYS`` pairs of orders; whatever was
+edited, that misses a pair of similarity s with probability (1 - s * s) ** KEYS. Within a group
+the pivot distances and bits of the shingle fingerprints, with a wide limit, and the sizes
+discard pairs. Spanning forests are verified first; then all pairs that no verified link joins.
 
 Defined cases: a null or empty text has fingerprint zero; fewer words than a shingle are one
 shingle; rows with a null or repeated doc_id are compared like any other, and a component
@@ -37,8 +40,13 @@ SEED = 42
 MOST_BITS = 4
 PIVOTS = 24
 CHUNK = 4096
-#: Of edited copies: words of a shingle, bits that may differ, fingerprints of single words.
-EDITED_SHINGLE, EDITED_BITS, ROUNDS = 5, 12, 3
+#: Of edited copies: words of a shingle, bits in which a candidate's fingerprints may differ (a
+#: pair of similarity 0.8 differs in 10 on average, with a deviation of 3), and its groups.
+EDITED_SHINGLE, EDITED_BITS, KEYS = 5, 22, 12
+#: The least similarity of a link, as a fraction.
+SIMILAR = 4, 5
+#: Pairs that are put out at once.
+PAIRS = 1 << 16
 #: Members of a group that are compared with so many followers at once; larger groups walk.
 NEXT = 8
 
@@ -60,67 +68,124 @@ def _majority(hashes: np.ndarray) -> int:
     return int(np.packbits(set_bits, bitorder="little").view("<u8")[0])
 
 
-def fingerprint(text: str, words: int = SHINGLE) -> int:
-    """Unsigned 64-bit fingerprint of a text."""
+def shingle_hashes(text: str, words: int = SHINGLE) -> np.ndarray:
+    """The hashes of a text's shingles, in their order."""
     from xxhash import xxh64_intdigest
 
     found = text.encode().lower().split()
     if not found:
-        return 0
+        return np.empty(0, "<u8")
     joined = b" ".join(found)
     ends = list(accumulate((len(x) + 1 for x in found), initial=-1))
     if len(found) <= words:
         cuts = [joined]
     else:
         cuts = [joined[a + 1:b] for a, b in zip(ends, ends[words:])]
-    return _majority(np.array([xxh64_intdigest(x, SEED) for x in cuts], "<u8"))
+    return np.array([xxh64_intdigest(x, SEED) for x in cuts], "<u8")
 
 
-def word_fingerprints(text: str, known: dict[bytes, int], count: int = ROUNDS) -> list[int]:
-    """Fingerprints of the single words, by so many families of hashes."""
-    from xxhash import xxh64_intdigest
+def fingerprint(text: str, words: int = SHINGLE) -> int:
+    """Unsigned 64-bit fingerprint of a text."""
+    hashes = shingle_hashes(text, words)
+    return _majority(hashes) if len(hashes) else 0
 
-    found = text.encode().lower().split()
-    if not found:
-        return [0] * count
-    for word in set(found).difference(known):
-        known[word] = xxh64_intdigest(word, SEED)
-    hashes = np.array([known[x] for x in found], "<u8")
-    if len(known) > 200_000:
-        known.clear()
-    out = []
-    for number in range(count):
-        mixed = (hashes ^ np.uint64(references(count)[number])) * np.uint64(0x9E3779B97F4A7C15)
-        out.append(_majority((mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93)))
-    return out
-
-
-def fingerprints(docs: DataFrame, words: int = SHINGLE, rounds: int = 0) -> DataFrame:
-    """``doc_id``, ``fp`` (a signed long) and ``word_fps``, so many of single words."""
+
+def fingerprints(docs: DataFrame, words: int = SHINGLE) -> DataFrame:
+    """``doc_id`` and ``fp`` (a signed long)."""
     ship(docs.sparkSession)
 
     def made(batches):
-        known: dict[bytes, int] = {}
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            fps = np.array([fingerprint(x, words) for x in texts], "<u8")
-            of_words = np.array([word_fingerprints(x, known, rounds) for x in texts], "<u8")
-            offsets = np.arange(len(texts) + 1, dtype=np.int32) * rounds
+            fps = np.array([fingerprint(x, words) for x in batch.column(1).to_pylist()], "<u8")
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(fps.view("<i8")),
-                 pa.ListArray.from_arrays(offsets, pa.array(of_words.ravel().view("<i8")))],
-                names=["doc_id", "fp", "word_fps"])
+                [batch.column(0), pa.array(fps.view("<i8"))], names=["doc_id", "fp"])
 
     texts = docs.select(F.col("doc_id").cast("long"), whole_text().alias("text"))
-    return texts.mapInArrow(made, "doc_id long, fp long, word_fps array<long>")
+    return texts.mapInArrow(made, "doc_id long, fp long")
+
+
+def shingle_set(text: str) -> np.ndarray:
+    """The different hashes of a text's five-word shingles, ascending."""
+    return np.unique(shingle_hashes(text, EDITED_SHINGLE))
+
+
+def node_of(shingles: np.ndarray) -> int:
+    """The number (unsigned) that stands for a set of shingles."""
+    from xxhash import xxh3_64_intdigest
+
+    return xxh3_64_intdigest(shingles.tobytes(), SEED)
+
+
+def group_keys(shingles: np.ndarray) -> np.ndarray:
+    """The groups of a set: for each pair of orders, one number for its two least shingles."""
+    if not len(shingles):
+        return np.empty(0, "<u8")
+    least = np.empty(2 * KEYS, "<u8")
+    for number, mask in enumerate(references(2 * KEYS)):
+        mixed = (shingles ^ mask) * np.uint64(0x9E3779B97F4A7C15)
+        least[number] = ((mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93)).min()
+    first, second = least[::2], least[1::2]
+    mixed = (first ^ (second >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) \
+        + (second ^ np.arange(KEYS, dtype="<u8")) * np.uint64(0xC2B2AE3D27D4EB4F)
+    return mixed ^ (mixed >> np.uint64(32))
+
+
+def sketches(docs: DataFrame) -> DataFrame:
+    """``doc_id``, the ``node`` of its set of shingles, ``fp``, the set's ``size``, its ``keys``."""
+    ship(docs.sparkSession)
+
+    def made(batches):
+        for batch in batches:
+            nodes, fps, sizes, keys = [], [], [], []
+            for text in batch.column(1).to_pylist():
+                shingles = shingle_set(text)
+                nodes.append(node_of(shingles))
+                fps.append(_majority(shingles) if len(shingles) else 0)
+                sizes.append(len(shingles))
+                keys.append(group_keys(shingles))
+            offsets = np.r_[0, np.cumsum([len(x) for x in keys])].astype(np.int32)
+            flat = np.concatenate([*keys, np.empty(0, "<u8")])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(np.array(nodes, "<u8").view("<i8")),
+                 pa.array(np.array(fps, "<u8").view("<i8")), pa.array(sizes, pa.int64()),
+                 pa.ListArray.from_arrays(offsets, pa.array(flat.view("<i8")))],
+                names=["doc_id", "node", "fp", "size", "keys"])
+
+    texts = docs.select(F.col("doc_id").cast("long"), whole_text().alias("text"))
+    return texts.mapInArrow(made, "doc_id long, node long, fp long, size long, keys array<long>")
+
+
+def shingle_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``node`` and ``shingles`` of the given nodes, each once."""
+    def numbered(batches):
+        for batch in batches:
+            numbers = [node_of(shingle_set(x)) for x in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.array(numbers, "<u8").view("<i8")), batch.column(0)],
+                names=["node", "text"])
+
+    def made(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                sets = [shingle_set(x).view("<i8") for x in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array(sets, pa.list_(pa.int64()))],
+                    names=["node", "shingles"])
+
+    texts = docs.select(whole_text().alias("text")).mapInArrow(numbered, "node long, text string")
+    # one text of each node: equal ones are combined before the shuffle
+    single = texts.groupBy("node").agg(F.first("text").alias("text"))
+    return single.join(nodes, "node", "left_semi").select("node", "text") \
+        .mapInArrow(made, "node long, shingles array<long>")
 
 
 class _Links:
     """Which members of a group are linked: by their fingerprints' pivot distances, then their
-    bits, then (if given) a second fingerprint's bits."""
+    bits, and by their sizes, if these are given (not zero)."""
 
-    def __init__(self, fps: np.ndarray, second: np.ndarray, most: int, second_most: int | None):
-        self.fps, self.second, self.most, self.second_most = fps, second, most, second_most
+    def __init__(self, fps: np.ndarray, sizes: np.ndarray, most: int):
+        self.fps, self.sizes, self.most = fps, sizes, most
         self.table = np.bitwise_count(fps[:, None] ^ references()[None, :]).astype(np.int8)
 
     def alike(self, a, b: np.ndarray) -> np.ndarray:
@@ -135,11 +200,10 @@ class _Links:
         kept = kept[near]
         first = a if np.isscalar(a) else a[kept]
         kept = kept[np.bitwise_count(self.fps[b[kept]] ^ self.fps[first]) <= self.most]
-        if self.second_most is not None:
-            first = a if np.isscalar(a) else a[kept]
-            differ = np.bitwise_count(self.second[b[kept]] ^ self.second[first])
-            kept = kept[differ <= self.second_most]
-        return kept
+        first = a if np.isscalar(a) else a[kept]
+        own, other = self.sizes[b[kept]], self.sizes[first]
+        # a similarity is at most the quotient of the sizes
+        return kept[SIMILAR[1] * np.minimum(own, other) >= SIMILAR[0] * np.maximum(own, other)]
 
     def walk(self, members: np.ndarray) -> list[tuple[int, int]]:
         """Edges of a spanning forest of one group."""
@@ -173,21 +237,40 @@ class _Links:
         return np.concatenate(found)
 
 
-def _solve(batches, most: int, second_most: int | None):
-    """Edges of each group; a partition's rows (group in two columns, node, two fingerprints)
-    come sorted by group, and a group, of at most two chunks, is carried over to the next
-    batch until it ends."""
-    rest = np.empty((0, 5), np.int64)
-
-    def edges(rows: np.ndarray) -> pa.RecordBatch:
+    def across(self, groups: np.ndarray, roots: np.ndarray):
+        """Pairs of linked places of a group with different roots, some at once."""
+        bounds = np.flatnonzero(np.r_[True, groups[1:] != groups[:-1], True])
+        found, count = [], 0
+        for first, last in zip(bounds, bounds[1:]):
+            for at in range(first, last - 1):
+                others = np.arange(at + 1, last)
+                others = others[roots[others] != roots[at]]
+                near = others[self.alike(at, others)]
+                found.append(np.stack([np.full(len(near), at), near], axis=1))
+                count += len(near)
+                if count > PAIRS:
+                    yield np.concatenate(found)
+                    found, count = [], 0
+        if count:
+            yield np.concatenate(found)
+
+
+def _solve(batches, most: int, by_root: bool):
+    """Edges of each group; a partition's rows (group in two columns, node, fingerprint, size,
+    root) come sorted by group, and a group, of at most two chunks, is carried over to the next
+    batch until it ends. A spanning forest, or ``by_root`` all pairs with different roots."""
+    rest = np.empty((0, 6), np.int64)
+
+    def edges(rows: np.ndarray):
         changes = (rows[1:, :2] != rows[:-1, :2]).any(axis=1)
-        links = _Links(rows[:, 3].astype("<u8"), rows[:, 4].astype("<u8"), most, second_most)
-        pairs = links.edges(np.r_[0, np.cumsum(changes)])
-        return pa.RecordBatch.from_arrays(
-            [pa.array(rows[pairs[:, 0], 2]), pa.array(rows[pairs[:, 1], 2])], names=["a", "b"])
+        groups = np.r_[0, np.cumsum(changes)]
+        links = _Links(rows[:, 3].astype("<u8"), rows[:, 4], most)
+        for pairs in links.across(groups, rows[:, 5]) if by_root else [links.edges(groups)]:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(rows[pairs[:, 0], 2]), pa.array(rows[pairs[:, 1], 2])], names=["a", "b"])
 
     for batch in batches:
-        rows = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)], axis=1)
+        rows = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(6)], axis=1)
         rows = np.concatenate([rest, rows])
         if not len(rows):
             continue
@@ -195,9 +278,9 @@ def _solve(batches, most: int, second_most: int | None):
         cut = last[-1] + 1 if len(last) else 0
         rest = rows[cut:].copy()
         if cut:
-            yield edges(rows[:cut])
+            yield from edges(rows[:cut])
     if len(rest):
-        yield edges(rest)
+        yield from edges(rest)
 
 
 def blocks_for(nodes: int, most: int = MOST_BITS) -> int:
@@ -220,12 +303,20 @@ def _table_keys(blocks: int, most: int) -> list[Column]:
     return keys
 
 
-def links(nodes: DataFrame, most: int = MOST_BITS, second_most: int | None = None) -> DataFrame:
-    """Edges ``a``, ``b`` that join all linked nodes, given ``node``, ``fp`` and ``second``."""
-    ship(nodes.sparkSession)
+def links(nodes: DataFrame, most: int = MOST_BITS) -> DataFrame:
+    """Edges ``a``, ``b`` that join all linked nodes, given ``node`` and ``fp``."""
     keys = _table_keys(blocks_for(nodes.count(), most), most)
-    entries = nodes.select(F.explode(F.array(*keys)).alias("key"), "node", "fp", "second")
-    sizes = entries.groupBy("key").count().where("count > 1")
+    zero = F.lit(0).cast("long")
+    return _linked(nodes.select(F.explode(F.array(*keys)).alias("key"), "node", "fp",
+                                zero.alias("size"), zero.alias("root")), most)
+
+
+def _linked(entries: DataFrame, most: int, by_root: bool = False) -> DataFrame:
+    """Edges within the groups of ``key``, given ``key``, ``node``, ``fp``, ``size``, ``root``."""
+    ship(entries.sparkSession)
+    sizes = entries.groupBy("key").agg(F.count("*").alias("count"),
+                                       (F.min("root") < F.max("root")).alias("mixed"))
+    sizes = sizes.where("mixed" if by_root else "count > 1").drop("mixed")
     members = (
         entries.join(sizes, "key")
         .withColumn("chunks", F.ceil(F.col("count") / CHUNK))
@@ -233,46 +324,74 @@ def links(nodes: DataFrame, most: int = MOST_BITS, second_most: int | None = Non
         # a member meets its own chunk and every other: once per unordered pair of chunks
         .withColumn("other", F.explode(F.expr("sequence(0L, chunks - 1)")))
         .select("key", (F.least("own", "other") * F.col("chunks") + F.greatest("own", "other"))
-                .alias("pair"), "node", "fp", "second")
+                .alias("pair"), "node", "fp", "size", "root")
     )
     dealt = members.repartition("key", "pair").sortWithinPartitions("key", "pair", "node")
-    return dealt.mapInArrow(lambda batches: _solve(batches, most, second_most), "a long, b long")
+    return dealt.mapInArrow(lambda batches: _solve(batches, most, by_root), "a long, b long")
 
 
-def _components(found: DataFrame, edges, key: list[str]) -> DataFrame:
-    """``doc_id``, the key columns and ``component_id``; ``edges`` gives those of the nodes,
-    which are the different keys."""
-    nodes = stored(found.groupBy(*key).agg(F.min("doc_id").alias("least"))
-                   .withColumn("node", F.xxhash64(*key) if len(key) > 1 else F.col(key[0])),
-                   "nodes")
+def _components(found: DataFrame, edges, key: str) -> DataFrame:
+    """The columns of ``found`` and ``component_id``; ``edges`` gives those of the nodes, which
+    are the different values of ``key``."""
+    same = [x for x in found.columns if x not in ("doc_id", key)]
+    nodes = stored(found.groupBy(key).agg(F.min("doc_id").alias("least"),
+                                          *[F.first(x).alias(x) for x in same])
+                   .withColumn("node", F.col(key)), "nodes")
     roots = components(edges(nodes))
     nodes = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_key = nodes.join(least, "root").select(*key, "component_id")
-    return found.join(by_key, key).select("doc_id", *key, "component_id")
+    by_key = nodes.join(least, "root").select(key, "component_id")
+    return found.join(by_key, key).select("doc_id", key, "component_id")
 
 
 def near_duplicates(docs: DataFrame, words: int = SHINGLE, most: int = MOST_BITS) -> DataFrame:
     """``doc_id``, ``fp`` and ``component_id``, the least doc_id that links lead to."""
-    found = stored(fingerprints(docs, words).drop("word_fps"), "fingerprints")
+    found = stored(fingerprints(docs, words), "fingerprints")
+    return _components(found, lambda nodes: links(nodes, most), "fp")
 
-    def edges(nodes: DataFrame) -> DataFrame:
-        return links(nodes.select("node", "fp", F.lit(0).cast("long").alias("second")), most)
 
-    return _components(found, edges, ["fp"])
+def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of the pairs ``a``, ``b`` whose sets have at least the least similarity."""
+    def of(side: str) -> DataFrame:
+        return sets.select(F.col("node").alias(side), F.col("shingles").alias(f"of_{side}"))
 
+    both = F.size(F.array_intersect("of_a", "of_b"))
+    either = F.size("of_a") + F.size("of_b") - both
+    return (pairs.join(of("a"), "a").join(of("b"), "b")
+            .where(SIMILAR[1] * both >= SIMILAR[0] * either).select("a", "b"))
 
-def edited_copies(docs: DataFrame) -> DataFrame:
-    """``doc_id`` and ``component_id`` by links that edited copies have, too."""
-    found = stored(fingerprints(docs, EDITED_SHINGLE, ROUNDS), "fingerprints")
 
-    def edges(nodes: DataFrame) -> DataFrame:
-        made = [links(nodes.select("node", F.col("word_fps")[i].alias("fp"),
-                                   F.col("fp").alias("second")), MOST_BITS, EDITED_BITS)
-                for i in range(ROUNDS)]
-        return made[0].unionByName(made[1]).unionByName(made[2])
+def edited_links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges ``a``, ``b`` of similar nodes, given ``node``, ``fp``, ``size`` and ``keys``.
+
+    A link that a forest leaves out may be needed if others of it are not similar, so pairs
+    that the forest's similar ones do not join are verified, too. They are of nodes that the
+    forests have, whose sets are computed once.
+    """
+    def entries(nodes: DataFrame) -> DataFrame:
+        return nodes.select(F.explode("keys").alias("key"), "node", "fp", "size", "root")
 
-    return _components(found, edges, ["fp", "word_fps"]).select("doc_id", "component_id")
+    def ordered(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")) \
+            .distinct()
+
+    alone = nodes.withColumn("root", F.col("node"))
+    forest = stored(ordered(_linked(entries(alone), EDITED_BITS)), "forest")
+    ends = forest.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sets = stored(shingle_sets(docs, ends), "sets")
+    first = stored(similar(forest, sets), "similar")
+    rooted = nodes.join(ends, "node", "left_semi").join(components(first), "node", "left") \
+        .withColumn("root", F.coalesce("root", "node"))
+    rest = stored(ordered(_linked(entries(rooted), EDITED_BITS, True)), "rest") \
+        .join(forest, ["a", "b"], "left_anti")
+    return first.unionByName(similar(rest, sets))
+
+
+def edited_copies(docs: DataFrame) -> DataFrame:
+    """``doc_id`` and ``component_id`` by links that edited copies have, too."""
+    found = stored(sketches(docs), "sketches")
+    return _components(found, lambda nodes: edited_links(docs, nodes), "node") \
+        .select("doc_id", "component_id")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
