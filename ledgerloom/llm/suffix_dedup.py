@@ -6,11 +6,14 @@ find those strings without sending the text around:
 
 1. Every window of ``length`` bytes has a key, the least hash of its grams. A run of windows
    with one key is a region. Each block sends its distinct keys (four bytes each, cut) and
-   learns which also occur in other blocks. The others cannot repeat.
+   learns which also occur in other blocks. The others cannot repeat. It also learns which
+   keys are hot: those whose regions are more bytes than a shard has of text.
 2. The regions that remain are sent, each different one once per block with the block's least
    document id, to the shard of their key. Equal windows have equal keys and so meet there.
    The shard sorts all suffixes of its regions by induced sorting, takes the permuted common
-   prefixes, and answers the least document id of every window.
+   prefixes, and answers the least document id of every window. Regions of hot keys are cut
+   into their windows, which go, each different one once per block, to a shard by the hash of
+   all their bytes, and need no sorting: so no key's regions are gathered in one place.
 3. Each block marks the windows whose least id is below the document's own.
 
 A string that very many documents share costs one region per block, not one per document.
@@ -41,6 +44,8 @@ BLOCK_BYTES = 4 << 20
 #: Of text, for each shard of keys and for each shard of regions.
 KEYS_BYTES = 24 << 20
 SHARD_BYTES = 2 << 20
+#: Bytes of a block's regions of one key that are told when keys are counted; fewer count as so many.
+TOLD_BYTES = 256
 #: Windows whose keys are computed at once.
 CHUNK = 1 << 17
 
@@ -129,20 +134,40 @@ class _Block:
         last[at] = owner
         return ((first != last) | seen_elsewhere)[at]
 
-    def distinct_regions(self, chosen: np.ndarray):
+    def pieces(self, chosen: np.ndarray, hot: np.ndarray, shards: int):
+        """First place, number of windows, document and shard of what is sent of the chosen
+        regions: whole ones or, of hot ones, every window."""
+        cold, cut = chosen[~hot], chosen[hot]
+        counts = self.windows[cut]
+        first = _expanded(self.first[cut], counts)
+        shard = shards + _shard_of(self._hashes(first), shards)
+        return (np.r_[self.first[cold], first],
+                np.r_[self.windows[cold], np.ones(len(first), np.int64)],
+                np.r_[self.doc[cold], np.repeat(self.doc[cut], counts)],
+                np.r_[_shard_of(self.key[cold], shards), shard])
+
+    def _hashes(self, first: np.ndarray) -> np.ndarray:
+        """Hashes of all bytes of the windows that start there."""
+        out = np.zeros(len(first), np.uint64)
+        if len(first):
+            words = words_at(self.data)
+            for at in (*range(0, self.length - 8, 8), self.length - 8):
+                out = _mixed(out * _MIX[1] + words[first + at])
+        return out
+
+    def distinct(self, first: np.ndarray, windows: np.ndarray, doc: np.ndarray, shard: np.ndarray):
         """Different contents in the order of their first place, the least id of each, the
-        place of every chosen region among them, and their keys."""
+        place of every piece among them, and their shards."""
         place: dict[bytes, int] = {}
-        at = np.empty(len(chosen), np.int64)
+        at = np.empty(len(first), np.int64)
         data, more = self.data, self.length - 1
-        for i, (first, windows) in enumerate(zip(self.first[chosen].tolist(),
-                                                 self.windows[chosen].tolist())):
-            at[i] = place.setdefault(data[first:first + windows + more], len(place))
+        for i, (start, count) in enumerate(zip(first.tolist(), windows.tolist())):
+            at[i] = place.setdefault(data[start:start + count + more], len(place))
         least = np.full(len(place), np.iinfo(np.int64).max)
-        np.minimum.at(least, at, self.ids[self.doc[chosen]])
-        keys = np.empty(len(place), np.uint64)
-        keys[at] = self.key[chosen]
-        return list(place), least, at, keys
+        np.minimum.at(least, at, self.ids[doc])
+        shards = np.empty(len(place), np.int64)
+        shards[at] = shard
+        return list(place), least, at, shards
 
 
 def _shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
@@ -154,8 +179,10 @@ def _batch(schema: pa.Schema, rows: list[tuple]) -> pa.Table:
         [pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
 
 
-_KEYS = pa.schema([("shard", pa.int64()), (_BLOCK, pa.int64()), ("keys", pa.binary())])
-_SEEN = pa.schema([(_BLOCK, pa.int64()), ("shard", pa.int64()), ("seen", pa.binary())])
+_KEYS = pa.schema([("shard", pa.int64()), (_BLOCK, pa.int64()), ("keys", pa.binary()),
+                   ("told", pa.binary()), ("bytes", pa.binary())])
+_SEEN = pa.schema([(_BLOCK, pa.int64()), ("shard", pa.int64()), ("seen", pa.binary()),
+                   ("hot", pa.binary())])
 _REGIONS = pa.schema([("shard", pa.int64()), (_BLOCK, pa.int64()), ("sizes", pa.binary()),
                       ("ids", pa.binary()), ("data", pa.binary())])
 _LEAST = pa.schema([(_BLOCK, pa.int64()), ("shard", pa.int64()), ("runs", pa.binary()),
@@ -182,33 +209,49 @@ def _by_shard(keys: np.ndarray) -> list[tuple[int, int, int]]:
 
 
 def _ask_keys(table: pa.Table, id_column: str, length: int, shards: int) -> pa.Table:
-    keys = np.unique(_sent_keys(_Block(table, id_column, length), shards))
-    cut, number = keys.astype("<u4"), table.column(_BLOCK)[0].as_py()
-    return _batch(_KEYS, [(shard, number, cut[a:b].tobytes()) for shard, a, b in _by_shard(keys)])
+    block = _Block(table, id_column, length)
+    keys, at = np.unique(_sent_keys(block, shards), return_inverse=True)
+    size = np.bincount(at, block.windows + length - 1, len(keys)).astype("<i8")
+    cut, number, rows = keys.astype("<u4"), table.column(_BLOCK)[0].as_py(), []
+    for shard, a, b in _by_shard(keys):
+        told = np.flatnonzero(size[a:b] > TOLD_BYTES)
+        rows.append((shard, number, cut[a:b].tobytes(), told.astype("<u4").tobytes(),
+                     size[a:b][told].tobytes()))
+    return _batch(_KEYS, rows)
 
 
-def _answer_keys(table: pa.Table) -> pa.Table:
-    """For each block's keys, whether another block sent them too."""
+def _answer_keys(table: pa.Table, most: int) -> pa.Table:
+    """For each block's keys, whether another block sent them too, and which are hot: their
+    regions may have more than ``most`` bytes in all blocks."""
     asked = [np.frombuffer(x, "<u4") for x in table.column("keys").to_pylist()]
-    every = np.sort(np.concatenate(asked))  # each block's keys are distinct
-    shared = np.unique(every[1:][every[1:] == every[:-1]])
-    shard, rows = table.column("shard")[0].as_py(), []
+    # each block's keys are distinct
+    every, blocks = np.unique(np.concatenate(asked), return_counts=True)
+    size = blocks * TOLD_BYTES
+    for keys, told, told_bytes in zip(asked, table.column("told").to_pylist(),
+                                      table.column("bytes").to_pylist()):
+        large = keys[np.frombuffer(told, "<u4")]
+        size[np.searchsorted(every, large)] += np.frombuffer(told_bytes, "<i8")
+    hot, shard, rows = size > most, table.column("shard")[0].as_py(), []
     for number, keys in zip(table.column(_BLOCK).to_pylist(), asked):
-        at = np.minimum(np.searchsorted(shared, keys), max(0, len(shared) - 1))
-        seen = shared[at] == keys if len(shared) else np.zeros(len(keys), bool)
-        rows.append((number, shard, np.packbits(seen).tobytes()))
+        at = np.searchsorted(every, keys)
+        rows.append((number, shard, np.packbits(blocks[at] > 1).tobytes(),
+                     np.flatnonzero(hot[at]).astype("<u4").tobytes()))
     return _batch(_SEEN, rows)
 
 
-def _candidates(block: _Block, seen: pa.Table, shards: int) -> np.ndarray:
+def _candidates(block: _Block, seen: pa.Table, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """The regions whose key another document has, and which of them are of hot keys."""
     sent = _sent_keys(block, shards)
     keys, at = np.unique(sent, return_inverse=True)
-    elsewhere = np.zeros(len(keys), bool)
-    answers = dict(zip(seen.column("shard").to_pylist(), seen.column("seen").to_pylist()))
+    elsewhere, hot = np.zeros(len(keys), bool), np.zeros(len(keys), bool)
+    answers = {x[0]: x[1:] for x in zip(*(seen.column(x).to_pylist()
+                                          for x in ("shard", "seen", "hot")))}
     for shard, a, b in _by_shard(keys):
-        bits = np.frombuffer(answers[shard], np.uint8)
+        bits, places = (np.frombuffer(x, t) for x, t in zip(answers[shard], (np.uint8, "<u4")))
         elsewhere[a:b] = np.unpackbits(bits, count=b - a).astype(bool)
-    return np.flatnonzero(block.repeated(at, elsewhere))
+        hot[a + places.astype(np.int64)] = True
+    chosen = np.flatnonzero(block.repeated(at, elsewhere))
+    return chosen, hot[at[chosen]]
 
 
 def _ask_regions(table: pa.Table, seen: pa.Table, id_column: str, length: int, key_shards: int,
@@ -216,8 +259,9 @@ def _ask_regions(table: pa.Table, seen: pa.Table, id_column: str, length: int, k
     if not len(table):
         return _batch(_REGIONS, [])
     block = _Block(table, id_column, length)
-    regions, least, _, keys = block.distinct_regions(_candidates(block, seen, key_shards))
-    number, target = table.column(_BLOCK)[0].as_py(), _shard_of(keys, shards)
+    sent = block.pieces(*_candidates(block, seen, key_shards), shards)
+    regions, least, _, target = block.distinct(*sent)
+    number = table.column(_BLOCK)[0].as_py()
     order = np.argsort(target, kind="stable")
     rows = []
     for part in np.split(order, np.flatnonzero(np.diff(target[order])) + 1):
@@ -257,8 +301,9 @@ def _least_ids(data: bytes, starts: np.ndarray, owners: np.ndarray, length: int)
     return out
 
 
-def _answer_regions(table: pa.Table, length: int) -> pa.Table:
-    """The least id of every window of every block's regions; equal regions are sorted once."""
+def _answer_regions(table: pa.Table, length: int, shards: int) -> pa.Table:
+    """The least id of every window of every block's regions; equal regions are sorted once.
+    Shards from ``shards`` on have single windows, which are known by being equal."""
     place: dict[bytes, int] = {}
     places, ids = [], []
     for sizes, owners, data in zip(*(table.column(x).to_pylist()
@@ -272,10 +317,10 @@ def _answer_regions(table: pa.Table, length: int) -> pa.Table:
         np.minimum.at(own, at, owners)
     sizes = np.fromiter(map(len, place), np.int64, len(place))
     ends, windows = np.cumsum(sizes), sizes - length + 1
-    least = _least_ids(b"".join(place), _expanded(ends - sizes, windows),
-                       np.repeat(own, windows), length)
-    begins = np.cumsum(windows) - windows
     shard, rows = table.column("shard")[0].as_py(), []
+    least = own if shard >= shards else _least_ids(
+        b"".join(place), _expanded(ends - sizes, windows), np.repeat(own, windows), length)
+    begins = np.cumsum(windows) - windows
     for number, at in zip(table.column(_BLOCK).to_pylist(), places):
         mine = least[_expanded(begins[at], windows[at])]
         firsts = np.flatnonzero(np.r_[True, mine[1:] != mine[:-1]])
@@ -287,11 +332,10 @@ def _answer_regions(table: pa.Table, length: int) -> pa.Table:
 def _marked(block: _Block, seen: pa.Table, least: pa.Table, key_shards: int,
             shards: int) -> np.ndarray:
     """The starts of windows that also start in a document with a smaller id."""
-    chosen = _candidates(block, seen, key_shards)
-    regions, _, at, keys = block.distinct_regions(chosen)
-    if not len(chosen):
+    first, counts, doc, shard = block.pieces(*_candidates(block, seen, key_shards), shards)
+    regions, _, at, target = block.distinct(first, counts, doc, shard)
+    if not len(first):
         return np.empty(0, np.int64)
-    target = _shard_of(keys, shards)
     order = np.argsort(target, kind="stable")
     windows = np.array([len(x) - block.length + 1 for x in regions], np.int64)
     answers = {s: np.repeat(np.frombuffer(i, "<i8"), np.frombuffer(r, "<u4")) for s, r, i in zip(
@@ -299,9 +343,8 @@ def _marked(block: _Block, seen: pa.Table, least: pa.Table, key_shards: int,
     flat = np.concatenate([answers[s] for s in sorted(answers)])
     begins = np.empty(len(regions), np.int64)
     begins[order] = np.cumsum(windows[order]) - windows[order]
-    counts = block.windows[chosen]
-    owner = np.repeat(block.ids[block.doc[chosen]], counts)
-    places = _expanded(block.first[chosen], counts)
+    owner = np.repeat(block.ids[doc], counts)
+    places = _expanded(first, counts)
     return places[flat[_expanded(begins[at], counts)] < owner]
 
 
@@ -386,6 +429,7 @@ def _deduped(docs: DataFrame, length: int, keep: list[str],
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = total // BLOCK_BYTES + 1
     key_shards, shards = total // KEYS_BYTES + 1, total // SHARD_BYTES + 1
+    most = SHARD_BYTES
     schema = T.StructType([docs.schema[x] for x in keep if x not in dict(new)])
     for name, kind in new:
         schema = schema.add(name, kind)
@@ -398,12 +442,13 @@ def _deduped(docs: DataFrame, length: int, keep: list[str],
     by_block = dealt.groupBy(_BLOCK)
     keys = by_block.applyInArrow(
         lambda t: _ask_keys(t, "doc_id", length, key_shards), _spark_schema(_KEYS))
-    seen = keys.groupBy("shard").applyInArrow(_answer_keys, _spark_schema(_SEEN))
+    seen = keys.groupBy("shard").applyInArrow(
+        lambda t: _answer_keys(t, most), _spark_schema(_SEEN))
     regions = by_block.cogroup(seen.groupBy(_BLOCK)).applyInArrow(
         lambda t, s: _ask_regions(t, s, "doc_id", length, key_shards, shards),
         _spark_schema(_REGIONS))
     least = regions.groupBy("shard").applyInArrow(
-        lambda t: _answer_regions(t, length), _spark_schema(_LEAST))
+        lambda t: _answer_regions(t, length, shards), _spark_schema(_LEAST))
     answers = seen.unionByName(least, allowMissingColumns=True)
     return by_block.cogroup(answers.groupBy(_BLOCK)).applyInArrow(
         lambda t, a: _clean(t, *_split(a), "doc_id", length, key_shards, shards, out), schema)

@@ -104,3 +104,39 @@ def test_common_prefixes():
     words, size = words_at(data), len(PASSAGE.encode())
     a = np.array([0, 1, size - 45])
     assert reaches(words, a, a + size, 48).tolist() == [True, True, False]
+
+
+def test_hot_keys_are_dealt_by_windows(spark, monkeypatch):
+    drawn = random.Random(8)
+
+    def own(size):
+        return "".join(drawn.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(size))
+
+    passage, phrase = own(200), own(30)
+    rows = [(i, own(80) + (passage if i % 3 else phrase) + own(80) + "x" * (i % 5 * 40))
+            for i in range(400)]
+    rows += [(i, rows[i][1][30:150]) for i in range(0, 400, 7)] + [(None, passage)]
+    held = []
+    for name, size in (("BLOCK_BYTES", 9_000), ("KEYS_BYTES", 30_000), ("SHARD_BYTES", 6_000)):
+        monkeypatch.setattr(suffix_dedup, name, size)
+    docs = documents(spark, rows)
+    assert got(docs) == plain(rows)
+
+    # what one shard holds, without Spark: blocks of 50 documents, one shard of keys
+    tables = [suffix_dedup.pa.table({
+        "doc_id": [i for i, _ in rows[at:at + 50]], "_ledgerloom_block": [at] * len(rows[at:at + 50]),
+        "_ledgerloom_text": [t.encode() for _, t in rows[at:at + 50]]})
+        for at in range(0, len(rows), 50)]
+    keys = suffix_dedup.pa.concat_tables(
+        suffix_dedup._ask_keys(t, "doc_id", 50, 1) for t in tables)
+    seen = suffix_dedup._answer_keys(keys, 6_000)
+    for number, t in zip(range(0, len(rows), 50), tables):
+        mine = seen.filter(suffix_dedup.pc.equal(seen.column("_ledgerloom_block"), number))
+        held.append(suffix_dedup._ask_regions(t, mine, "doc_id", 50, 1, 40))
+    regions = suffix_dedup.pa.concat_tables(held)
+    sizes = {}
+    for shard, data in zip(*(regions.column(x).to_pylist() for x in ("shard", "data"))):
+        sizes[shard] = sizes.get(shard, 0) + len(data)
+    assert max(size for shard, size in sizes.items() if shard < 40) <= 3 * 6_000
+    windows = [size for shard, size in sizes.items() if shard >= 40]
+    assert len(windows) == 40 and max(windows) < 3 * sum(windows) / 40
