@@ -45,8 +45,6 @@ CHUNK = 4096
 EDITED_SHINGLE, EDITED_BITS, KEYS = 5, 22, 12
 #: The least similarity of a link, as a fraction.
 SIMILAR = 4, 5
-#: Pairs that are put out at once.
-PAIRS = 1 << 16
 #: Members of a group that are compared with so many followers at once; larger groups walk.
 NEXT = 8
 
@@ -237,49 +235,71 @@ class _Links:
         return np.concatenate(found)
 
 
-    def across(self, groups: np.ndarray, roots: np.ndarray):
-        """Pairs of linked places of a group with different roots, some at once."""
-        bounds = np.flatnonzero(np.r_[True, groups[1:] != groups[:-1], True])
-        found, count = [], 0
-        for first, last in zip(bounds, bounds[1:]):
-            for at in range(first, last - 1):
-                others = np.arange(at + 1, last)
-                others = others[roots[others] != roots[at]]
-                near = others[self.alike(at, others)]
-                found.append(np.stack([np.full(len(near), at), near], axis=1))
-                count += len(near)
-                if count > PAIRS:
-                    yield np.concatenate(found)
-                    found, count = [], 0
-        if count:
-            yield np.concatenate(found)
-
-
-def _solve(batches, most: int, by_root: bool):
+    def similar(self, members: np.ndarray, roots: np.ndarray, shingles: np.ndarray,
+                ends: np.ndarray) -> list[np.ndarray]:
+        """Pairs of linked places of one group with different roots and similar sets, whose
+        shingles end there."""
+        begins = ends - self.sizes
+        low, high = begins[members[0]], ends[members[-1]]
+        codes = np.unique(shingles[low:high], return_inverse=True)[1]
+        own, found = np.zeros(len(codes), np.int64), []
+        for i, at in enumerate(members[:-1].tolist()):
+            others = members[i + 1:][roots[members[i + 1:]] != roots[at]]
+            near = others[self.alike(at, others)]
+            if not len(near):
+                continue
+            mine = codes[begins[at] - low:ends[at] - low]
+            own[mine] = 1
+            sizes = self.sizes[near]
+            firsts = np.cumsum(sizes) - sizes
+            places = np.arange(sizes.sum()) + np.repeat(begins[near] - low - firsts, sizes)
+            both = np.add.reduceat(own[codes[places]], firsts)
+            own[mine] = 0
+            near = near[SIMILAR[1] * both >= SIMILAR[0] * (sizes + self.sizes[at] - both)]
+            found.append(np.stack([np.full(len(near), at), near], axis=1))
+        return found
+
+
+def _pairs(rows: np.ndarray, pairs: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array(rows[pairs[:, 0], 2]), pa.array(rows[pairs[:, 1], 2])], names=["a", "b"])
+
+
+def _solve(batches, most: int, exact: bool):
     """Edges of each group; a partition's rows (group in two columns, node, fingerprint, size,
-    root) come sorted by group, and a group, of at most two chunks, is carried over to the next
-    batch until it ends. A spanning forest, or ``by_root`` all pairs with different roots."""
-    rest = np.empty((0, 6), np.int64)
-
-    def edges(rows: np.ndarray):
+    root, shingles) come sorted by group, and a group, of at most two chunks, is carried over to
+    the next batch until it ends. A spanning forest, or, if ``exact``, the pairs with different
+    roots and similar sets."""
+    def numbers(table: pa.Table, columns: int) -> np.ndarray:
+        return np.stack([table.column(i).to_numpy() for i in range(columns)], axis=1)
+
+    def edges(table: pa.Table):
+        rows = numbers(table, 6)
         changes = (rows[1:, :2] != rows[:-1, :2]).any(axis=1)
         groups = np.r_[0, np.cumsum(changes)]
         links = _Links(rows[:, 3].astype("<u8"), rows[:, 4], most)
-        for pairs in links.across(groups, rows[:, 5]) if by_root else [links.edges(groups)]:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(rows[pairs[:, 0], 2]), pa.array(rows[pairs[:, 1], 2])], names=["a", "b"])
-
+        if not exact:
+            yield _pairs(rows, links.edges(groups))
+            return
+        shingles = np.concatenate([x.flatten().to_numpy() for x in table.column(6).chunks])
+        ends = np.cumsum(rows[:, 4])
+        for members in np.split(np.arange(len(rows)), np.flatnonzero(changes) + 1):
+            for pairs in links.similar(members, rows[:, 5], shingles, ends):
+                yield _pairs(rows, pairs)
+
+    rest = None
     for batch in batches:
-        rows = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(6)], axis=1)
-        rows = np.concatenate([rest, rows])
-        if not len(rows):
+        table = pa.Table.from_batches([batch])
+        table = table if rest is None else pa.concat_tables([rest, table])
+        if not len(table):
             continue
-        last = np.flatnonzero((rows[:, :2] != rows[-1, :2]).any(axis=1))
+        rows = numbers(table, 2)
+        last = np.flatnonzero((rows != rows[-1]).any(axis=1))
         cut = last[-1] + 1 if len(last) else 0
-        rest = rows[cut:].copy()
+        rest = table.slice(cut)
         if cut:
-            yield from edges(rows[:cut])
-    if len(rest):
+            yield from edges(table.slice(0, cut))
+    if rest is not None and len(rest):
         yield from edges(rest)
 
 
@@ -311,12 +331,14 @@ def links(nodes: DataFrame, most: int = MOST_BITS) -> DataFrame:
                                 zero.alias("size"), zero.alias("root")), most)
 
 
-def _linked(entries: DataFrame, most: int, by_root: bool = False) -> DataFrame:
-    """Edges within the groups of ``key``, given ``key``, ``node``, ``fp``, ``size``, ``root``."""
+def _linked(entries: DataFrame, most: int, sets: DataFrame | None = None) -> DataFrame:
+    """Edges within the groups of ``key``, given ``key``, ``node``, ``fp``, ``size``, ``root``:
+    a forest of each or, with the nodes' sets, all similar pairs of different roots."""
     ship(entries.sparkSession)
+    exact = sets is not None
     sizes = entries.groupBy("key").agg(F.count("*").alias("count"),
                                        (F.min("root") < F.max("root")).alias("mixed"))
-    sizes = sizes.where("mixed" if by_root else "count > 1").drop("mixed")
+    sizes = sizes.where("count > 1" if sets is None else "mixed").drop("mixed")
     members = (
         entries.join(sizes, "key")
         .withColumn("chunks", F.ceil(F.col("count") / CHUNK))
@@ -326,8 +348,10 @@ def _linked(entries: DataFrame, most: int, by_root: bool = False) -> DataFrame:
         .select("key", (F.least("own", "other") * F.col("chunks") + F.greatest("own", "other"))
                 .alias("pair"), "node", "fp", "size", "root")
     )
+    if sets is not None:
+        members = members.join(sets, "node").select(*members.columns, "shingles")
     dealt = members.repartition("key", "pair").sortWithinPartitions("key", "pair", "node")
-    return dealt.mapInArrow(lambda batches: _solve(batches, most, by_root), "a long, b long")
+    return dealt.mapInArrow(lambda batches: _solve(batches, most, exact), "a long, b long")
 
 
 def _components(found: DataFrame, edges, key: str) -> DataFrame:
@@ -365,8 +389,8 @@ def edited_links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges ``a``, ``b`` of similar nodes, given ``node``, ``fp``, ``size`` and ``keys``.
 
     A link that a forest leaves out may be needed if others of it are not similar, so pairs
-    that the forest's similar ones do not join are verified, too. They are of nodes that the
-    forests have, whose sets are computed once.
+    that the forest's similar ones do not join are verified, too: within their groups, since
+    they can be many. They are of nodes that the forests have, whose sets are computed once.
     """
     def entries(nodes: DataFrame) -> DataFrame:
         return nodes.select(F.explode("keys").alias("key"), "node", "fp", "size", "root")
@@ -382,9 +406,7 @@ def edited_links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     first = stored(similar(forest, sets), "similar")
     rooted = nodes.join(ends, "node", "left_semi").join(components(first), "node", "left") \
         .withColumn("root", F.coalesce("root", "node"))
-    rest = stored(ordered(_linked(entries(rooted), EDITED_BITS, True)), "rest") \
-        .join(forest, ["a", "b"], "left_anti")
-    return first.unionByName(similar(rest, sets))
+    return first.unionByName(_linked(entries(rooted), EDITED_BITS, sets))
 
 
 def edited_copies(docs: DataFrame) -> DataFrame:
