@@ -62,7 +62,7 @@ class Lists:
         alive = np.flatnonzero(self.ids != own)
         bar = None
         for depth in DEPTHS:
-            if len(alive) <= max(RESOLVED, k):
+            if len(alive) <= max(RESOLVED, LEADERS * k):
                 break
             upper = self._upper(query, depth)[alive]
             leaders = alive[np.argpartition(upper, -LEADERS * k)[-LEADERS * k:]]

@@ -58,3 +58,13 @@ def test_pruning_and_blocks(spark, monkeypatch):
     rows = [(i, drawn.normal(size=12).round(1).tolist()) for i in range(2000)]
     df = spark.createDataFrame([(*r, 1) for r in rows], SCHEMA)
     assert got(df, 20, k=7) == plain(rows, 20, 7)
+
+
+def test_more_leaders_than_candidates():
+    drawn = np.random.default_rng(2)
+    lists = topk.Lists(np.arange(3000), drawn.integers(-50, 50, (3000, 6)))
+    query = lists.vectors[0]
+    at, scores = lists.best(query, 0, 900)
+    every = lists.vectors @ query
+    expected = [i for i in np.lexsort((np.arange(3000), -every)) if i][:900]
+    assert at.tolist() == expected and scores.tolist() == every[expected].tolist()
