@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import (
-    multiset_hash, packing, pieces, pii, simhash, span_dedup, suffix_dedup, topk, toxicity,
-    url_rules,
+    byte_pairs, merkle, multiset_hash, packing, pieces, pii, simhash, span_dedup, suffix_dedup,
+    topk, toxicity, url_rules, whitening,
 )
 from ledgerloom.llm.common import table
 
@@ -170,3 +170,110 @@ WITH valid AS (
 )
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
+
+
+@query
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's proof, and whether a tampered text still leads to the root."""
+    docs = table(spark, sf_dir, "documents")
+    manifest = merkle.build(docs, changed=merkle.lower_cased(docs))
+    found = merkle.proofs(manifest, lambda x: F.coalesce(x["changed"], x["digest"]), ("changed",))
+    return found.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root",
+                        "verified")
+
+
+def _merkle_sql(levels: int = 8) -> str:
+    """The levels of both trees one after another: enough for 16 ** levels rows of a source."""
+    def fields(text: str) -> str:
+        return " || ".join(f"coalesce(strlen({x}::VARCHAR) || ':' || {x}::VARCHAR, '-')"
+                           for x in (*merkle.FIELDS[:-1], text))
+
+    # the checksum by its eight steps for each byte
+    steps = "xor(crc, ascii(digit)::BIGINT)"
+    for _ in range(8):
+        steps = (f"list_transform([{steps}], lambda c: xor(c >> 1, "
+                 "CASE WHEN c % 2 = 1 THEN 3988292384 ELSE 0 END))[1]")
+    checksum = ("xor(list_reduce(list_transform(string_split(doc_id::VARCHAR, ''), lambda d: d), "
+                f"lambda crc, digit: {steps}, 4294967295::BIGINT), 4294967295)")
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+    def tree(name: str) -> str:
+        """Levels and runs of siblings over the table ``name0``."""
+        return ",".join(f"""
+{name}{i + 1} AS (
+    SELECT tree, pos // 16 AS pos, sha256(string_agg(digest, '' ORDER BY pos)) AS digest,
+           (any_value(n) + 15) // 16 AS n
+    FROM {name}{i} WHERE n > 1 GROUP BY tree, pos // 16
+), {name}_runs{i} AS (
+    SELECT tree, pos // 16 AS run, list(digest ORDER BY pos) AS nodes
+    FROM {name}{i} WHERE n > 1 GROUP BY tree, pos // 16
+)""" for i in range(levels))
+
+    def roots(name: str) -> str:
+        return " UNION ALL ".join(
+            f"SELECT tree, digest FROM {name}{i} WHERE n = 1" for i in range(levels + 1))
+
+    def folds(name: str, before: str, key: str) -> str:
+        out = []
+        for i in range(levels):
+            left, right = (f"array_to_string(r.nodes[{x}], '')"
+                           for x in ("1:f.spot % 16", "f.spot % 16 + 2:16"))
+            out.append(f"""
+{name}_folded{i} AS (
+    SELECT f.* REPLACE (
+        f.spot // 16 AS spot,
+        CASE WHEN r.run IS NULL THEN f.proof ELSE f.proof || {left} || {right} END AS proof,
+        CASE WHEN r.run IS NULL THEN f.fold ELSE sha256({left} || f.fold || {right}) END AS fold)
+    FROM {before} f LEFT JOIN {name}_runs{i} r
+        ON r.tree IS NOT DISTINCT FROM f.{key} AND r.run = f.spot // 16
+)""")
+            before = f"{name}_folded{i}"
+        return ",".join(out)
+
+    return f"""
+WITH hashed AS (
+    SELECT doc_id, source AS tree, sha256({fields("text")}) AS digest,
+           CASE WHEN {checksum} % 5 = 0 THEN sha256({fields(lower)}) END AS changed
+    FROM documents
+), leaf0 AS (
+    SELECT *, count(*) OVER (PARTITION BY tree) AS n, row_number() OVER (
+        PARTITION BY tree ORDER BY doc_id NULLS FIRST, digest) - 1 AS pos
+    FROM hashed
+),{tree("leaf")}, subroots AS ({roots("leaf")}), top0 AS (
+    SELECT 0 AS tree, tree AS source, digest, count(*) OVER () AS n,
+           row_number() OVER (ORDER BY encode(tree) NULLS FIRST) - 1 AS pos
+    FROM subroots
+),{tree("top")}, roots AS ({roots("top")}), started AS (
+    SELECT doc_id, tree, 0 AS over, digest AS leaf, pos AS spot, '' AS proof,
+           coalesce(changed, digest) AS fold
+    FROM leaf0
+),{folds("leaf", "started", "tree")}, turned AS (
+    SELECT f.* REPLACE (t.pos AS spot), t.digest AS subroot
+    FROM leaf_folded{levels - 1} f JOIN top0 t ON t.source IS NOT DISTINCT FROM f.tree
+),{folds("top", "turned", "over")}
+SELECT doc_id, leaf, subroot, r.digest AS root, sha256(proof) AS proof_sha256,
+       fold AS folded_root, fold = r.digest AS verified
+FROM top_folded{levels - 1}, roots r
+"""
+
+
+ORACLES["op11_merkle_manifest"] = _merkle_sql()
+
+
+@query
+def op12_speculative_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document, and the text that they decode to."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    file = public_tokenizers.path("byte_bpe_50k.json")
+    done = byte_pairs.encode(docs, file, decoded=True, keep=["doc_id"])
+    return done.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
+                       F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's whitened components; deviations beyond 64 bits are null."""
+    white = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    return white.select("vec_id", "component", "n",
+                        F.expr("try_cast(deviation AS long)").alias("deviation"), "whitened",
+                        "explained", "identity_error")
