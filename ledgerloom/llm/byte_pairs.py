@@ -41,6 +41,8 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: Words in a task's cache, in each of two generations, and the longest that are kept.
 CACHED_WORDS = 200_000
 LONGEST_CACHED = 64
+#: Bytes of a word from which on its merges are found by a heap.
+HEAP_FROM = 100
 #: Characters of texts that are encoded at once (a longer text is encoded alone).
 CHUNK = 4_000_000
 
@@ -94,7 +96,8 @@ class Vocabulary:
     def _read_merges(self, merges: list, byte_of: dict[str, int], size: int) -> None:
         self.left, self.right = np.arange(size), np.arange(size)
         self.made = np.full(size, -1)
-        self.rank: dict[tuple[int, int], tuple[int, int]] = {}
+        self.number: dict[tuple[int, int], int] = {}
+        self.wholes: list[int] = []
         for number, pair in enumerate(merges):
             one, two = (bytes(byte_of[c] for c in x)
                         for x in (pair if isinstance(pair, list) else pair.split(" ")))
@@ -102,14 +105,15 @@ class Vocabulary:
             if self.made[made] >= 0:
                 raise ValueError("an entry that two merges make")
             self.left[made], self.right[made], self.made[made] = a, b, number
-            self.rank[a, b] = number, made
-        keys = np.array([a * size + b for a, b in self.rank], np.int64)
+            self.number[a, b] = number
+            self.wholes.append(made)
+        keys = np.array([a * size + b for a, b in self.number], np.int64)
         self._order = np.argsort(keys)
         self._keys = np.append(keys[self._order], np.iinfo(np.int64).max)
         self._order = np.append(self._order, -1)
 
     def _find_proposals(self) -> None:
-        """Entries that encodings can hold, and the longest one for each first two bytes."""
+        """Entries that encodings can hold, and the longest one for each first three bytes."""
         merged = np.flatnonzero(self.made >= 0)
         alone = self.compatible(self.left[merged], self.right[merged], self.made[merged])
         usable = dict.fromkeys(self.single, True) | dict(zip(merged.tolist(), alone.tolist()))
@@ -119,7 +123,7 @@ class Vocabulary:
         self.proposed = {x: i for x, i in self.ids.items() if usable.get(i)}
         self.longest: dict[bytes, int] = {}
         for text in self.proposed:
-            self.longest[text[:2]] = max(self.longest.get(text[:2], 1), len(text))
+            self.longest[text[:3]] = max(self.longest.get(text[:3], 2), len(text))
 
     def compatible(self, a: np.ndarray, b: np.ndarray, before: np.ndarray | None = None) \
             -> np.ndarray:
@@ -128,7 +132,7 @@ class Vocabulary:
         good = np.ones(len(a), bool)
         at = np.arange(len(a))
         a, b = a.astype(np.int64), b.astype(np.int64)
-        limit = np.full(len(a), len(self.rank)) if before is None else before.copy()
+        limit = np.full(len(a), len(self.wholes)) if before is None else before.copy()
         while len(at):
             keys = a * size + b
             place = np.searchsorted(self._keys, keys)
@@ -151,7 +155,7 @@ class Vocabulary:
             return [whole]
         found, at, end = [], 0, len(word)
         while at < end:
-            to = min(end, at + longest.get(word[at:at + 2], 1))
+            to = min(end, at + longest.get(word[at:at + 3], 2))
             while (token := proposed.get(word[at:to])) is None:
                 to -= 1
             found.append(token)
@@ -161,27 +165,41 @@ class Vocabulary:
     def merge(self, word: bytes) -> list[int]:
         """The merges one by one, least number first, then leftmost."""
         ids = [self.single[x] for x in word]
+        if len(ids) > HEAP_FROM:
+            return self._merge_long(ids)
+        number, wholes, none = self.number.get, self.wholes, len(self.wholes)
+        numbers = [number(x, none) for x in pairwise(ids)]
+        while numbers and (least := min(numbers)) < none:
+            i = numbers.index(least)
+            ids[i:i + 2] = [wholes[least]]
+            del numbers[i]
+            if i:
+                numbers[i - 1] = number((ids[i - 1], ids[i]), none)
+            if i < len(numbers):
+                numbers[i] = number((ids[i], ids[i + 1]), none)
+        return ids
+
+    def _merge_long(self, ids: list[int]) -> list[int]:
+        """The same with a heap of pairs and links between the ids that are left."""
         after = [*range(1, len(ids)), -1]
         before = list(range(-1, len(ids) - 1))
-        rank = self.rank
-        heap = [(*rank[pair], i, *pair) for i, pair in enumerate(pairwise(ids)) if pair in rank]
-        heap = [(number, i, a, b, made) for number, made, i, a, b in heap]
+        number = self.number
+        heap = [(number[x], i, *x) for i, x in enumerate(pairwise(ids)) if x in number]
         heapify(heap)
         while heap:
-            _, i, a, b, made = heappop(heap)
+            least, i, a, b = heappop(heap)
             j = after[i]
             if ids[i] != a or j < 0 or ids[j] != b:
                 continue
-            ids[i], ids[j] = made, -1
+            ids[i], ids[j] = self.wholes[least], -1
             after[i] = after[j]
             if after[j] >= 0:
                 before[after[j]] = i
             for at in (before[i], i):
                 if at >= 0 and after[at] >= 0:
                     pair = ids[at], ids[after[at]]
-                    if pair in rank:
-                        number, whole = rank[pair]
-                        heappush(heap, (number, at, *pair, whole))
+                    if pair in number:
+                        heappush(heap, (number[pair], at, *pair))
         return [x for x in ids if x >= 0]
 
     def encode_words(self, words: list[str]) -> list[list[int]]:
@@ -208,13 +226,21 @@ class Encoder:
         self._young: dict[str, bytes] = {}
         self._old: dict[str, bytes] = {}
         marks = sorted(vocabulary.added, key=len, reverse=True)
+        self._assigned: set[str] = set()
+        self._four = [x.to_bytes(4, "little") for x in range(len(vocabulary.bytes))]
         self._marks = regex.compile("(" + "|".join(map(regex.escape, marks)) + ")") \
             if marks else None
 
     def _cut(self, text: str) -> list[str]:
         """The pattern's words; the library cuts what holds characters that are new to Unicode."""
-        if not text.isascii() and any(category(c) == "Cn" for c in set(text)):
-            return [text[a:b] for _, (a, b) in self.vocabulary.cut(text)]
+        if not text.isascii():
+            new = set(text).difference(self._assigned)
+            fresh = {c for c in new if category(c) == "Cn"}
+            self._assigned |= new - fresh
+            if fresh:
+                return [text[a:b] for _, (a, b) in self.vocabulary.cut(text)]
+        if text.isalpha() or text[:1] == " " and text[1:].isalpha():
+            return [text]
         return _WORDS.findall(text)
 
     def _units(self, text: str) -> list[str]:
@@ -225,12 +251,21 @@ class Encoder:
         return [first, *[" " + x for x in rest]]
 
     def _learn(self, units: set[str]) -> None:
+        """Put units into the cache; their words, as far as they are short, too."""
+        young, old, four = self._young, self._old, self._four
         cut = {x: self._cut(x) for x in units}
-        words = list({w for x in cut.values() for w in x})
-        ids = {w: np.array(i, "<u4").tobytes()
-               for w, i in zip(words, self.vocabulary.encode_words(words))}
+        words = {w for parts in cut.values() for w in parts}.difference(young)
+        known = words.intersection(old)
+        young.update((w, old[w]) for w in known)
+        new = list(words - known)
+        for word, ids in zip(new, self.vocabulary.encode_words(new)):
+            young[word] = b"".join([four[i] for i in ids])
         for unit, parts in cut.items():
-            self._young[unit] = b"".join([ids[w] for w in parts])
+            if len(parts) != 1:
+                young[unit] = b"".join([young[w] for w in parts])
+        for word in new:
+            if len(word) > LONGEST_CACHED and word not in units:
+                del young[word]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""

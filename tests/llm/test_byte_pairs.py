@@ -86,6 +86,13 @@ def test_compatible_pairs_are_those_that_merge_to_themselves(vocabulary):
         assert apart == (vocabulary.merge(tokens[x] + tokens[y]) == [x, y])
 
 
+def test_heap_and_list_merge_alike(vocabulary, monkeypatch):
+    words = [x.encode() for x in texts(11)[6000:]]
+    found = [vocabulary.merge(x) for x in words]
+    monkeypatch.setattr(byte_pairs, "HEAP_FROM", 0)
+    assert [vocabulary.merge(x) for x in words] == found
+
+
 def test_long_words_merge_in_linear_memory(vocabulary, library):
     drawn = random.Random(5)
     word = "".join(drawn.choice("abn") for _ in range(60_000))
