@@ -130,22 +130,26 @@ def _siblings(at: Column) -> Column:
     return F.array_compact(F.array(*steps))
 
 
-def extracted(made: list[DataFrame], tops: DataFrame, kept: tuple[str, ...],
+def extracted(made: list[DataFrame], tops: DataFrame | None, kept: tuple[str, ...],
               result: Callable[[Column, Column], Column]) -> DataFrame:
     """``tree``, the columns of ``tops``, and ``result(leaf, path)`` of every leaf.
 
     A leaf is a struct of ``digest`` and the ``kept`` columns; a path is an array of siblings.
-    ``tops`` gives each ``tree`` its ``path`` above its root.
+    ``tops`` gives each ``tree`` its ``path`` above its root (nothing is above, unless given).
     """
-    names = [x for x in tops.columns if x not in ("tree", "path")]
-    tops = tops.withColumnRenamed("tree", "_tree")
+    names = [x for x in tops.columns if x not in ("tree", "path")] if tops else []
+    tops = tops and tops.withColumnRenamed("tree", "_tree")
     above = None
     for number, level in reversed(list(enumerate(made))):
         payload, made_of = (kept, result) if number == 0 else ((), lambda x, path: F.struct(
             x["pos"].alias("pos"), path.alias("path")))
         item = F.struct("pos", "digest", *payload)
         own = level.where("n = 1")
-        found = own.join(tops, own["tree"].eqNullSafe(tops["_tree"])).select(
+        if tops is None:
+            own = own.withColumn("path", F.array().cast(_SIBLINGS))
+        else:
+            own = own.join(tops, own["tree"].eqNullSafe(tops["_tree"]))
+        found = own.select(
             "tree", *names, made_of(item, F.col("path")).alias("made"))
         if above is not None:
             trees, top = _subtrees(level, payload), above.withColumnRenamed("tree", "_tree")
@@ -201,9 +205,7 @@ def proofs(manifest: Manifest, start: Callable[[Column], Column] | None = None,
     Columns: ``doc_id``, ``leaf``, the ``kept`` ones, ``subroot``, ``root``, ``proof_sha256``,
     ``folded_root``, ``verified``, and on request the ``siblings`` themselves.
     """
-    none = F.lit("").alias("tree"), F.array().cast(_SIBLINGS).alias("path")
-    spark = manifest.top[0].sparkSession
-    over = extracted(manifest.top, spark.range(1).select(*none), ("source",),
+    over = extracted(manifest.top, None, ("source",),
                      lambda x, path: F.struct(x["source"].alias("source"), path.alias("path"),
                                               x["digest"].alias("subroot")))
     tops = over.select(F.col("made.source").alias("tree"), "made.path", "made.subroot")
