@@ -33,17 +33,25 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op2_sentence_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What stays of every document without repeated runs of three sentences."""
+    """What stays of every document without repeated runs of three sentences.
+
+    A sentence counts as several if it has more than sixteen words.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return span_dedup.dedup(docs).select(
         "doc_id", "n_sentences", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 ORACLES["op2_sentence_span_dedup"] = """
-WITH cut AS (
-    SELECT doc_id, list_filter(string_split(regexp_replace(coalesce(text, ''),
-        '([.!?]+ +|\\n+)', '\\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS pieces
+WITH ended AS (
+    SELECT doc_id, string_split(regexp_replace(coalesce(text, ''),
+        '([.!?]+ +|\\n+)', '\\1' || chr(1), 'g'), chr(1)) AS parts
     FROM documents
+), cut AS (
+    SELECT doc_id, list_filter(flatten(list_transform(parts, lambda x: string_split(
+        regexp_replace(x, '((?: *[^ \\n]+ +){16})', '\\1' || chr(1), 'g'), chr(1)))),
+        lambda x: x <> '') AS pieces
+    FROM ended
 ), plain AS (
     SELECT doc_id, pieces, list_transform(pieces, lambda x: lower(trim(x, ' ' || chr(10)))) AS bare
     FROM cut

@@ -2,12 +2,15 @@
 
 Every run of ``span`` consecutive sentences is hashed (128 bits). The hashes meet in one
 global aggregation that keeps, for those that occur more than once, the first place; joined
-back, every other place is a repeat, and the sentences that a repeat covers are removed.
+back, every other place is a repeat, and the sentences that a repeat covers are removed. A
+sentence of more than ``longest`` words counts as several, of that many words each: a passage
+of three times as many words then has at least a span, however few sentences it has.
 
 A hash that very many documents share is combined before the shuffle in the aggregation, and
-the join back can be split, so no group of places is collected. Only built-in functions are
-used; the text is cut after ``.``, ``!`` or ``?`` with the spaces that follow, and after
-newlines, and the pieces, joined, are the text again.
+the join back can be split, so no group of places is collected. The places (numbers and
+hashes) are stored once for both. Only built-in functions are used; the text is cut after
+``.``, ``!`` or ``?`` with the spaces that follow, and after newlines, and the pieces, joined,
+are the text again.
 
 Defined cases: a null or empty text has no sentences; fewer sentences than a span are never
 removed; sentences compare without case and outer white space; the order of places is by
@@ -24,13 +27,17 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.common import stored, whole_text
 
 SPAN = 3
+LONGEST = 16
 _MARK = "\u0001"
 
 
-def sentences(text: Column) -> Column:
+def sentences(text: Column, longest: int = LONGEST) -> Column:
     """The pieces of a text, each with the white space that follows it."""
     marked = F.regexp_replace(text, r"([.!?]++ ++|\n++)", f"$1{_MARK}")
-    return F.filter(F.split(marked, _MARK), lambda x: x != "")
+    # from the start of a sentence, or from the last cut in it
+    words = rf"(?:\G|(?<={_MARK}))((?: *+[^ \n{_MARK}]++ ++){{{longest}}})"
+    cut = F.regexp_replace(marked, words, f"$1{_MARK}")
+    return F.filter(F.split(cut, _MARK), lambda x: x != "")
 
 
 def _hashes(pieces: Column) -> Column:
@@ -44,20 +51,17 @@ def _hashes(pieces: Column) -> Column:
 
 def _spans(hashes: Column, span: int) -> Column:
     """Place and hashes of every run, from those of the sentences."""
-    runs = F.transform(hashes, lambda x: F.array(x))
-    for step in range(1, span):
-        following = F.slice(hashes, step + 1, F.greatest(F.size(hashes), F.lit(1)))
-        runs = F.zip_with(runs, following, lambda run, x: F.concat(run, F.array(x)))
+    starts = F.size(hashes) - span
 
-    def hashed(run: Column, at: Column) -> Column:
-        return F.struct(at.alias("at"),
-                        F.xxhash64(F.transform(run, lambda x: x["h1"])).alias("h1"),
-                        F.xxhash64(F.transform(run, lambda x: x["h2"])).alias("h2"))
+    def hashed(at: Column) -> Column:
+        run = [F.get(hashes, at + step) for step in range(span)]
+        return F.struct(at.alias("at"), *[F.xxhash64(*[x[h] for x in run]).alias(h)
+                                          for h in ("h1", "h2")])
 
-    return F.slice(F.transform(runs, hashed), 1, F.greatest(F.size(hashes) - span + 1, F.lit(0)))
+    return F.when(starts >= 0, F.transform(F.sequence(F.lit(0), starts), hashed))
 
 
-def dedup(docs: DataFrame, span: int = SPAN) -> DataFrame:
+def dedup(docs: DataFrame, span: int = SPAN, longest: int = LONGEST) -> DataFrame:
     """The columns of ``docs`` with ``n_sentences``, ``n_removed`` and ``kept``."""
     results = ("n_sentences", "n_removed", "kept")
     names = [x for x in docs.columns if x not in results]
@@ -65,12 +69,11 @@ def dedup(docs: DataFrame, span: int = SPAN) -> DataFrame:
                         F.coalesce(docs["doc_id"].cast("long"), F.lit((1 << 63) - 1))
                         .alias("_owner"),
                         F.xxhash64(whole_text()).alias("_text_hash"),
-                        sentences(whole_text()).alias("_sentences"))
-    places = (
+                        sentences(whole_text(), longest).alias("_sentences"))
+    places = stored(
         owned.select("_owner", "_text_hash", _hashes(F.col("_sentences")).alias("_hashes"))
         .select("_owner", "_text_hash", F.explode(_spans(F.col("_hashes"), span)).alias("x"))
-        .select("_owner", "_text_hash", "x.at", "x.h1", "x.h2")
-    )
+        .select("_owner", "_text_hash", "x.at", "x.h1", "x.h2"), "places")
     place = F.struct("_owner", "_text_hash", "at")
     # stored, so that both sides of the join back are plain shuffles and a hash that very many
     # documents share can be split there
