@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import ship, stored, whole_text
+from ledgerloom.llm.common import released, ship, stored, whole_text
 
 CAPACITY = 2048
 OPEN_BINS = 1024
@@ -31,8 +31,8 @@ OPEN_BINS = 1024
 MERGED_BINS = 65536
 MERGED_TASKS = 32
 END_ID = 0
-#: Entries of a worker's word cache, in each of two generations.
-CACHED_WORDS = 500_000
+#: Entries of a task's word cache, in each of two generations.
+CACHED_WORDS = 300_000
 LONGEST_CACHED = 64
 
 PIECES = ("doc_id long, piece int, start long, length long, ids_crc32 long, ids binary, "
@@ -58,6 +58,10 @@ class WordIds:
         self._tokenizer = Tokenizer.from_file(path)
         self._merges = self._tokenizer.model
         self._four = [x.to_bytes(4, "little") for x in range(self._tokenizer.get_vocab_size())]
+        self.forget()
+
+    def forget(self) -> None:
+        """Empty the cache."""
         self._young: dict[str, bytes] = {"": b""}
         self._old: dict[str, bytes] = {}
 
@@ -115,7 +119,7 @@ _tokenizers: dict[str, WordIds] = {}
 
 
 def word_ids(path: str) -> WordIds:
-    """One tokenizer and cache for each worker process."""
+    """One tokenizer for each worker process; its cache is emptied when a task ends."""
     if path not in _tokenizers:
         _tokenizers[path] = WordIds(path)
     return _tokenizers[path]
@@ -173,20 +177,28 @@ def _numbered(task: int, number: int) -> int:
 
 def _pieces(batches, tokenizer: str, capacity: int, with_ids: bool) -> Iterator[dict[str, list]]:
     words = word_ids(tokenizer)
+    try:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                yield _cut(words, batch.slice(at, 512), capacity, with_ids)
+    finally:  # workers live on between tasks and stages
+        words.forget()
+        released()
+
+
+def _cut(words: WordIds, part: pa.RecordBatch, capacity: int, with_ids: bool) -> dict[str, list]:
+    """The pieces of some documents."""
     end = np.array([END_ID], "<u4").tobytes()
-    for batch in batches:
-        for at in range(0, batch.num_rows, 512):
-            part = batch.slice(at, 512)
-            rows: dict[str, list] = {k: [] for k in (
-                "doc_id", "piece", "start", "length", "ids_crc32", "ids")}
-            for doc_id, ids in zip(part.column(0).to_pylist(), words.of(part.column(1).to_pylist())):
-                ids = memoryview(ids + end)
-                for piece, start in enumerate(range(0, len(ids), 4 * capacity)):
-                    cut = ids[start:start + 4 * capacity]
-                    for k, v in zip(rows, (doc_id, piece, start // 4, len(cut) // 4,
-                                           zlib.crc32(cut), bytes(cut) if with_ids else None)):
-                        rows[k].append(v)
-            yield rows
+    rows: dict[str, list] = {k: [] for k in (
+        "doc_id", "piece", "start", "length", "ids_crc32", "ids")}
+    for doc_id, ids in zip(part.column(0).to_pylist(), words.of(part.column(1).to_pylist())):
+        ids = memoryview(ids + end)
+        for piece, start in enumerate(range(0, len(ids), 4 * capacity)):
+            cut = ids[start:start + 4 * capacity]
+            for k, v in zip(rows, (doc_id, piece, start // 4, len(cut) // 4,
+                                   zlib.crc32(cut), bytes(cut) if with_ids else None)):
+                rows[k].append(v)
+    return rows
 
 
 def _pack(tables: Iterator[dict[str, list]], capacity: int, most: int, loosen: bool):
