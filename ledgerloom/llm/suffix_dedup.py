@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.llm.common import ship
+from ledgerloom.llm.common import released, ship
 from ledgerloom.llm.suffix import reaches, suffix_array, words_at
 
 LENGTH = 50
@@ -438,7 +438,9 @@ def _deduped(docs: DataFrame, length: int, keep: list[str],
     others = [x for x in keep if x not in dict(new) and x not in ("text", "doc_id")]
     dealt = docs.select(
         F.col("doc_id"), *[docs[x] for x in others], F.col("text").cast("binary").alias(_TEXT),
-        F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(blocks)).alias(_BLOCK))
+        F.pmod(F.xxhash64(F.col("doc_id").cast("long"), "text"), F.lit(blocks)).alias(_BLOCK))
+    # by id and text: least ids don't depend on the dealing, and rows that share an id (or have
+    # none) spread over all blocks
     by_block = dealt.groupBy(_BLOCK)
     keys = by_block.applyInArrow(
         lambda t: _ask_keys(t, "doc_id", length, key_shards), _spark_schema(_KEYS))
@@ -447,8 +449,18 @@ def _deduped(docs: DataFrame, length: int, keep: list[str],
     regions = by_block.cogroup(seen.groupBy(_BLOCK)).applyInArrow(
         lambda t, s: _ask_regions(t, s, "doc_id", length, key_shards, shards),
         _spark_schema(_REGIONS))
-    least = regions.groupBy("shard").applyInArrow(
-        lambda t: _answer_regions(t, length, shards), _spark_schema(_LEAST))
+
+    def answer(table: pa.Table) -> pa.Table:
+        done = _answer_regions(table, length, shards)
+        released()
+        return done
+
+    least = regions.groupBy("shard").applyInArrow(answer, _spark_schema(_LEAST))
     answers = seen.unionByName(least, allowMissingColumns=True)
-    return by_block.cogroup(answers.groupBy(_BLOCK)).applyInArrow(
-        lambda t, a: _clean(t, *_split(a), "doc_id", length, key_shards, shards, out), schema)
+
+    def clean(block: pa.Table, answered: pa.Table) -> pa.Table:
+        done = _clean(block, *_split(answered), "doc_id", length, key_shards, shards, out)
+        released()
+        return done
+
+    return by_block.cogroup(answers.groupBy(_BLOCK)).applyInArrow(clean, schema)

@@ -140,3 +140,10 @@ def test_hot_keys_are_dealt_by_windows(spark, monkeypatch):
     assert max(size for shard, size in sizes.items() if shard < 40) <= 3 * 6_000
     windows = [size for shard, size in sizes.items() if shard >= 40]
     assert len(windows) == 40 and max(windows) < 3 * sum(windows) / 40
+
+
+def test_rows_without_an_id_in_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", 1000)
+    docs = documents(spark, [(None, f"{i} " * 60) for i in range(40)] + [(1, "x" * 90)])
+    rows = suffix_dedup.dedup(docs).collect()
+    assert sum(r.n_removed for r in rows) == 0 and len(rows) == 41
