@@ -9,17 +9,10 @@ once; by the triangle inequality a pair whose distances to any reference differ
 the limit is discarded, and only survivors are compared bit by bit. A group gives the edges
 of a spanning forest, not its pairs. Groups above a size are split into pairs of chunks.
 
-``one_of_each`` looks for edited copies too, whose shingle fingerprints are farther apart than
-any table reaches. A link there is a Jaccard similarity of the sets of five-word shingles of at
-least 0.8, computed from the sets for every candidate pair. Equal sets are one node. Nodes meet
-in a group if two of their least shingles agree, by any of ``KEYS`` pairs of orders; whatever was
-edited, that misses a pair of similarity s with probability (1 - s * s) ** KEYS. Within a group
-the pivot distances and bits of the shingle fingerprints, with a wide limit, and the sizes
-discard pairs. Spanning forests are verified first; then all pairs that no verified link joins.
-
 Defined cases: a null or empty text has fingerprint zero; fewer words than a shingle are one
 shingle; rows with a null or repeated doc_id are compared like any other, and a component
 without any doc_id has none; an empty table gives no rows; other columns are not read.
+``one_of_each`` keeps all rows without an id and all columns.
 """
 
 from __future__ import annotations
@@ -40,11 +33,6 @@ SEED = 42
 MOST_BITS = 4
 PIVOTS = 24
 CHUNK = 4096
-#: Of edited copies: words of a shingle, bits in which a candidate's fingerprints may differ (a
-#: pair of similarity 0.8 differs in 10 on average, with a deviation of 3), and its groups.
-EDITED_SHINGLE, EDITED_BITS, KEYS = 5, 22, 12
-#: The least similarity of a link, as a fraction.
-SIMILAR = 4, 5
 #: Members of a group that are compared with so many followers at once; larger groups walk.
 NEXT = 8
 
@@ -102,88 +90,11 @@ def fingerprints(docs: DataFrame, words: int = SHINGLE) -> DataFrame:
     return texts.mapInArrow(made, "doc_id long, fp long")
 
 
-def shingle_set(text: str) -> np.ndarray:
-    """The different hashes of a text's five-word shingles, ascending."""
-    return np.unique(shingle_hashes(text, EDITED_SHINGLE))
-
-
-def node_of(shingles: np.ndarray) -> int:
-    """The number (unsigned) that stands for a set of shingles."""
-    from xxhash import xxh3_64_intdigest
-
-    return xxh3_64_intdigest(shingles.tobytes(), SEED)
-
-
-def group_keys(shingles: np.ndarray) -> np.ndarray:
-    """The groups of a set: for each pair of orders, one number for its two least shingles."""
-    if not len(shingles):
-        return np.empty(0, "<u8")
-    least = np.empty(2 * KEYS, "<u8")
-    for number, mask in enumerate(references(2 * KEYS)):
-        mixed = (shingles ^ mask) * np.uint64(0x9E3779B97F4A7C15)
-        least[number] = ((mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93)).min()
-    first, second = least[::2], least[1::2]
-    mixed = (first ^ (second >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) \
-        + (second ^ np.arange(KEYS, dtype="<u8")) * np.uint64(0xC2B2AE3D27D4EB4F)
-    return mixed ^ (mixed >> np.uint64(32))
-
-
-def sketches(docs: DataFrame) -> DataFrame:
-    """``doc_id``, the ``node`` of its set of shingles, ``fp``, the set's ``size``, its ``keys``."""
-    ship(docs.sparkSession)
-
-    def made(batches):
-        for batch in batches:
-            nodes, fps, sizes, keys = [], [], [], []
-            for text in batch.column(1).to_pylist():
-                shingles = shingle_set(text)
-                nodes.append(node_of(shingles))
-                fps.append(_majority(shingles) if len(shingles) else 0)
-                sizes.append(len(shingles))
-                keys.append(group_keys(shingles))
-            offsets = np.r_[0, np.cumsum([len(x) for x in keys])].astype(np.int32)
-            flat = np.concatenate([*keys, np.empty(0, "<u8")])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(np.array(nodes, "<u8").view("<i8")),
-                 pa.array(np.array(fps, "<u8").view("<i8")), pa.array(sizes, pa.int64()),
-                 pa.ListArray.from_arrays(offsets, pa.array(flat.view("<i8")))],
-                names=["doc_id", "node", "fp", "size", "keys"])
-
-    texts = docs.select(F.col("doc_id").cast("long"), whole_text().alias("text"))
-    return texts.mapInArrow(made, "doc_id long, node long, fp long, size long, keys array<long>")
-
-
-def shingle_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``node`` and ``shingles`` of the given nodes, each once."""
-    def numbered(batches):
-        for batch in batches:
-            numbers = [node_of(shingle_set(x)) for x in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.array(numbers, "<u8").view("<i8")), batch.column(0)],
-                names=["node", "text"])
-
-    def made(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                sets = [shingle_set(x).view("<i8") for x in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(sets, pa.list_(pa.int64()))],
-                    names=["node", "shingles"])
-
-    texts = docs.select(whole_text().alias("text")).mapInArrow(numbered, "node long, text string")
-    # one text of each node: equal ones are combined before the shuffle
-    single = texts.groupBy("node").agg(F.first("text").alias("text"))
-    return single.join(nodes, "node", "left_semi").select("node", "text") \
-        .mapInArrow(made, "node long, shingles array<long>")
-
-
 class _Links:
-    """Which members of a group are linked: by their fingerprints' pivot distances, then their
-    bits, and by their sizes, if these are given (not zero)."""
+    """Which members of a group are linked: by their fingerprints' pivot distances, then bits."""
 
-    def __init__(self, fps: np.ndarray, sizes: np.ndarray, most: int):
-        self.fps, self.sizes, self.most = fps, sizes, most
+    def __init__(self, fps: np.ndarray, most: int):
+        self.fps, self.most = fps, most
         self.table = np.bitwise_count(fps[:, None] ^ references()[None, :]).astype(np.int8)
 
     def alike(self, a, b: np.ndarray) -> np.ndarray:
@@ -197,11 +108,7 @@ class _Links:
         near = (np.abs(self.table[b[kept]] - self.table[first]) <= self.most).all(axis=1)
         kept = kept[near]
         first = a if np.isscalar(a) else a[kept]
-        kept = kept[np.bitwise_count(self.fps[b[kept]] ^ self.fps[first]) <= self.most]
-        first = a if np.isscalar(a) else a[kept]
-        own, other = self.sizes[b[kept]], self.sizes[first]
-        # a similarity is at most the quotient of the sizes
-        return kept[SIMILAR[1] * np.minimum(own, other) >= SIMILAR[0] * np.maximum(own, other)]
+        return kept[np.bitwise_count(self.fps[b[kept]] ^ self.fps[first]) <= self.most]
 
     def walk(self, members: np.ndarray) -> list[tuple[int, int]]:
         """Edges of a spanning forest of one group."""
@@ -235,57 +142,23 @@ class _Links:
         return np.concatenate(found)
 
 
-    def similar(self, members: np.ndarray, roots: np.ndarray, shingles: np.ndarray,
-                ends: np.ndarray) -> list[np.ndarray]:
-        """Pairs of linked places of one group with different roots and similar sets, whose
-        shingles end there."""
-        begins = ends - self.sizes
-        low, high = begins[members[0]], ends[members[-1]]
-        codes = np.unique(shingles[low:high], return_inverse=True)[1]
-        own, found = np.zeros(len(codes), np.int64), []
-        for i, at in enumerate(members[:-1].tolist()):
-            others = members[i + 1:][roots[members[i + 1:]] != roots[at]]
-            near = others[self.alike(at, others)]
-            if not len(near):
-                continue
-            mine = codes[begins[at] - low:ends[at] - low]
-            own[mine] = 1
-            sizes = self.sizes[near]
-            firsts = np.cumsum(sizes) - sizes
-            places = np.arange(sizes.sum()) + np.repeat(begins[near] - low - firsts, sizes)
-            both = np.add.reduceat(own[codes[places]], firsts)
-            own[mine] = 0
-            near = near[SIMILAR[1] * both >= SIMILAR[0] * (sizes + self.sizes[at] - both)]
-            found.append(np.stack([np.full(len(near), at), near], axis=1))
-        return found
-
-
 def _pairs(rows: np.ndarray, pairs: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [pa.array(rows[pairs[:, 0], 2]), pa.array(rows[pairs[:, 1], 2])], names=["a", "b"])
 
 
-def _solve(batches, most: int, exact: bool):
-    """Edges of each group; a partition's rows (group in two columns, node, fingerprint, size,
-    root, shingles) come sorted by group, and a group, of at most two chunks, is carried over to
-    the next batch until it ends. A spanning forest, or, if ``exact``, the pairs with different
-    roots and similar sets."""
+def _solve(batches, most: int):
+    """Edges of a spanning forest of each group; a partition's rows (group in two columns, node,
+    fingerprint) come sorted by group, and a group, of at most two chunks, is carried over to
+    the next batch until it ends."""
     def numbers(table: pa.Table, columns: int) -> np.ndarray:
         return np.stack([table.column(i).to_numpy() for i in range(columns)], axis=1)
 
     def edges(table: pa.Table):
-        rows = numbers(table, 6)
+        rows = numbers(table, 4)
         changes = (rows[1:, :2] != rows[:-1, :2]).any(axis=1)
         groups = np.r_[0, np.cumsum(changes)]
-        links = _Links(rows[:, 3].astype("<u8"), rows[:, 4], most)
-        if not exact:
-            yield _pairs(rows, links.edges(groups))
-            return
-        shingles = np.concatenate([x.flatten().to_numpy() for x in table.column(6).chunks])
-        ends = np.cumsum(rows[:, 4])
-        for members in np.split(np.arange(len(rows)), np.flatnonzero(changes) + 1):
-            for pairs in links.similar(members, rows[:, 5], shingles, ends):
-                yield _pairs(rows, pairs)
+        yield _pairs(rows, _Links(rows[:, 3].astype("<u8"), most).edges(groups))
 
     rest = None
     for batch in batches:
@@ -327,18 +200,9 @@ def links(nodes: DataFrame, most: int = MOST_BITS) -> DataFrame:
     """Edges ``a``, ``b`` that join all linked nodes, given ``node`` and ``fp``."""
     keys = _table_keys(blocks_for(nodes.count(), most), most)
     zero = F.lit(0).cast("long")
-    return _linked(nodes.select(F.explode(F.array(*keys)).alias("key"), "node", "fp",
-                                zero.alias("size"), zero.alias("root")), most)
-
-
-def _linked(entries: DataFrame, most: int, sets: DataFrame | None = None) -> DataFrame:
-    """Edges within the groups of ``key``, given ``key``, ``node``, ``fp``, ``size``, ``root``:
-    a forest of each or, with the nodes' sets, all similar pairs of different roots."""
-    ship(entries.sparkSession)
-    exact = sets is not None
-    sizes = entries.groupBy("key").agg(F.count("*").alias("count"),
-                                       (F.min("root") < F.max("root")).alias("mixed"))
-    sizes = sizes.where("count > 1" if sets is None else "mixed").drop("mixed")
+    entries = nodes.select(F.explode(F.array(*keys)).alias("key"), "node", "fp")
+    ship(nodes.sparkSession)
+    sizes = entries.groupBy("key").agg(F.count("*").alias("count")).where("count > 1")
     members = (
         entries.join(sizes, "key")
         .withColumn("chunks", F.ceil(F.col("count") / CHUNK))
@@ -346,80 +210,37 @@ def _linked(entries: DataFrame, most: int, sets: DataFrame | None = None) -> Dat
         # a member meets its own chunk and every other: once per unordered pair of chunks
         .withColumn("other", F.explode(F.expr("sequence(0L, chunks - 1)")))
         .select("key", (F.least("own", "other") * F.col("chunks") + F.greatest("own", "other"))
-                .alias("pair"), "node", "fp", "size", "root")
+                .alias("pair"), "node", "fp")
     )
-    if sets is not None:
-        members = members.join(sets, "node").select(*members.columns, "shingles")
     dealt = members.repartition("key", "pair").sortWithinPartitions("key", "pair", "node")
-    return dealt.mapInArrow(lambda batches: _solve(batches, most, exact), "a long, b long")
-
-
-def _components(found: DataFrame, edges, key: str) -> DataFrame:
-    """The columns of ``found`` and ``component_id``; ``edges`` gives those of the nodes, which
-    are the different values of ``key``."""
-    same = [x for x in found.columns if x not in ("doc_id", key)]
-    nodes = stored(found.groupBy(key).agg(F.min("doc_id").alias("least"),
-                                          *[F.first(x).alias(x) for x in same])
-                   .withColumn("node", F.col(key)), "nodes")
-    roots = components(edges(nodes))
-    nodes = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_key = nodes.join(least, "root").select(key, "component_id")
-    return found.join(by_key, key).select("doc_id", key, "component_id")
+    return dealt.mapInArrow(lambda batches: _solve(batches, most), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, words: int = SHINGLE, most: int = MOST_BITS) -> DataFrame:
     """``doc_id``, ``fp`` and ``component_id``, the least doc_id that links lead to."""
     found = stored(fingerprints(docs, words), "fingerprints")
-    return _components(found, lambda nodes: links(nodes, most), "fp")
-
-
-def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of the pairs ``a``, ``b`` whose sets have at least the least similarity."""
-    def of(side: str) -> DataFrame:
-        return sets.select(F.col("node").alias(side), F.col("shingles").alias(f"of_{side}"))
-
-    both = F.size(F.array_intersect("of_a", "of_b"))
-    either = F.size("of_a") + F.size("of_b") - both
-    return (pairs.join(of("a"), "a").join(of("b"), "b")
-            .where(SIMILAR[1] * both >= SIMILAR[0] * either).select("a", "b"))
+    nodes = stored(found.groupBy("fp").agg(F.min("doc_id").alias("least"))
+                   .withColumn("node", F.col("fp")), "nodes")
+    roots = components(links(nodes, most))
+    nodes = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
+    by_fp = nodes.join(least, "root").select("fp", "component_id")
+    return found.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
 
-def edited_links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Edges ``a``, ``b`` of similar nodes, given ``node``, ``fp``, ``size`` and ``keys``.
+def one_of_each(docs: DataFrame, words: int = SHINGLE, most: int = MOST_BITS) -> DataFrame:
+    """One document of each component, the one of the least id (then of the least text hash).
 
-    A link that a forest leaves out may be needed if others of it are not similar, so pairs
-    that the forest's similar ones do not join are verified, too: within their groups, since
-    they can be many. They are of nodes that the forests have, whose sets are computed once.
+    Rows without an id stay. Rows that repeat an id are documents of their own, unless their
+    texts are the same.
     """
-    def entries(nodes: DataFrame) -> DataFrame:
-        return nodes.select(F.explode("keys").alias("key"), "node", "fp", "size", "root")
-
-    def ordered(pairs: DataFrame) -> DataFrame:
-        return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")) \
-            .distinct()
-
-    alone = nodes.withColumn("root", F.col("node"))
-    forest = stored(ordered(_linked(entries(alone), EDITED_BITS)), "forest")
-    ends = forest.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = stored(shingle_sets(docs, ends), "sets")
-    first = stored(similar(forest, sets), "similar")
-    rooted = nodes.join(ends, "node", "left_semi").join(components(first), "node", "left") \
-        .withColumn("root", F.coalesce("root", "node"))
-    return first.unionByName(_linked(entries(rooted), EDITED_BITS, sets))
-
-
-def edited_copies(docs: DataFrame) -> DataFrame:
-    """``doc_id`` and ``component_id`` by links that edited copies have, too."""
-    found = stored(sketches(docs), "sketches")
-    return _components(found, lambda nodes: edited_links(docs, nodes), "node") \
-        .select("doc_id", "component_id")
-
-
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents whose id is their component's least; rows without an id stay, and of
-    rows that repeat an id one."""
-    kept = edited_copies(docs).where("doc_id = component_id") \
-        .select(F.col("doc_id").alias("_kept")).distinct()
-    firsts = docs.join(kept, F.col("doc_id") == F.col("_kept")).drop("_kept")
-    return firsts.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id IS NULL"))
+    key = "_" + max(docs.columns, key=len)  # no other column's name
+    keyed = docs.where("doc_id IS NOT NULL").withColumn(key, F.xxhash64("doc_id", "text"))
+    rows = keyed.select(F.col(key).alias("doc_id"), "text")
+    groups = near_duplicates(rows, words, most).select(
+        F.col("doc_id").alias(key), F.col("component_id").alias("_group")).distinct()
+    first = (keyed.select("doc_id", key).distinct().join(groups, key)
+             .groupBy("_group").agg(F.min(F.struct("doc_id", key)).alias("_first"))
+             .select(F.col("_first.doc_id").alias("doc_id"), F.col(f"_first.{key}").alias(key)))
+    kept = keyed.join(first, ["doc_id", key], "left_semi").dropDuplicates(["doc_id", key])
+    return kept.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
