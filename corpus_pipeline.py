@@ -26,7 +26,7 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of copies, edited ones included."""
+    """Keep one document of each group that SimHash links join."""
     return simhash.one_of_each(docs)
 
 
