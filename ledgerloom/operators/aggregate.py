@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.columns import money_sum, per, round2
+from ledgerloom.functions.columns import money_spread, money_sum, per, round2
 
 
 def orders_per_customer(
@@ -71,7 +71,7 @@ def seller_performance(orders: DataFrame) -> DataFrame:
         F.count("order_id").alias("total_orders"),
         money_sum("price").alias("total_revenue"),
         round2(F.avg("review_score")).alias("avg_review_score"),
-        round2(F.stddev("price")).alias("price_variability"),
+        round2(money_spread("price")).alias("price_variability"),
     )
 
 
@@ -87,7 +87,7 @@ def product_metrics(orders: DataFrame) -> DataFrame:
         F.count("order_id").alias("total_sales"),
         money_sum("price").alias("total_revenue"),
         round2(per(money_sum("price"), F.count("price"))).alias("avg_price"),
-        round2(F.stddev("price")).alias("price_volatility"),
+        round2(money_spread("price")).alias("price_volatility"),
         F.sort_array(sellers).alias("unique_sellers"),
         F.count_distinct("seller_id").alias("unique_seller_count"),
     )

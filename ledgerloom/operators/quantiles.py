@@ -1,18 +1,20 @@
-"""Quantiles that are exact without gathering the values anywhere."""
+"""Quantiles that are exact without gathering or sorting the values."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import add, or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.columns import known
 
-# Each narrowing step cuts the range that holds a rank into so many parts.
-PARTS = 1 << 16
-# A double has 64 bits, so four steps of 16 end at single values.
-STEPS = 4
+# Accuracy of the sketch that brackets the ranks: its rank error is at most one part in so many.
+SKETCH = 10_000
+# A bracket reaches so many times that error to either side of its rank.
+MARGIN = 3
 
 
 def quantiles(
@@ -33,60 +35,41 @@ def quantiles(
 
 
 def _exact(values: DataFrame, probabilities: Sequence[float]) -> DataFrame:
-    """Exact quantiles by counting values and narrowing down each rank.
-
-    Values are counted by a spread aggregation and numbered in their order by their bits,
-    which makes 2^64 places of equal weight for all doubles, tiny ones included. Each step
-    counts the parts of the range that still holds a rank and picks the part that holds it,
-    so one window partition sees at most 65,536 parts per probability, and after four steps
-    a part is one value. The steps reuse the shuffle of the counts, whatever the data's size.
+    """Exact quantiles by a sketch and one counting pass.
+
+    The sketch gives a value on either side of each rank. The counting pass counts different
+    values inside these brackets one by one and all others per stretch between brackets, so
+    after it a row stands for a value of a bracket (``2 * MARGIN / SKETCH`` of the rows of each
+    probability at most, fewer if values repeat) or for everything between two brackets.
+    Running sums over these rows, the only part in one task, give the values at the ranks. A
+    bracket that missed its rank would end the query; the sketch's error bound excludes it.
     """
-    counts = values.groupBy("v").agg(F.count(F.lit(1)).alias("n")) \
-        .withColumn("place", _place(F.col("v")))
-    parts = counts.groupBy(_part(0).alias("part")).agg(F.sum("n").alias("n"))
-    held = _holding(_with_ranks(parts, probabilities), "part")
-    for step in range(1, STEPS):
-        # `held` has one row per probability, so broadcasting it is safe
-        chosen = F.broadcast(held.select("i", "rank", F.col("part").alias("inside")))
-        parts = (counts.join(chosen, _part(step - 1) == F.col("inside"))
-                 .groupBy("i", "rank", _part(step).alias("part")).agg(F.sum("n").alias("n")))
-        held = _holding(parts, "part")
-    chosen = F.broadcast(held.select("i", F.col("part").alias("place")))
-    picked = counts.join(chosen, "place").select("i", "v")
-    return picked.agg(
-        F.array(
-            *[F.max(F.when(F.col("i") == k, F.col("v"))) for k in range(len(probabilities))]
-        ).alias("quantiles")
-    )
-
-
-def _place(value: Column) -> Column:
-    """A long that grows with the double: its bits, those of negative ones turned round."""
-    bits = F.call_function("reflect", F.lit("java.lang.Double"), F.lit("doubleToLongBits"),
-                           F.abs(value)).cast("long")
-    return F.when(value < 0, -bits).otherwise(bits)
-
-
-def _part(step: int) -> Column:
-    """The leading bits of a place after so many steps."""
-    return F.shiftright("place", 16 * (STEPS - 1 - step))
-
-
-def _with_ranks(counted: DataFrame, probabilities: Sequence[float]) -> DataFrame:
-    """One copy of the counts per probability, with the rank it asks for."""
-    targets = F.array(*[F.lit(float(p)) for p in probabilities])
-    total = F.sum("n").over(Window.partitionBy("i"))
-    rank = F.greatest(F.ceil(F.col("p") * total), F.lit(1))
-    return counted.select("*", F.posexplode(targets).alias("i", "p")).withColumn("rank", rank)
-
-
-def _holding(counted: DataFrame, order: str) -> DataFrame:
-    """Per ``i``, the row in which the running count reaches ``rank``; rank made relative to it."""
-    running = F.sum("n").over(Window.partitionBy("i").orderBy(order))
-    before: Column = F.col("running") - F.col("n")
-    return (
-        counted.withColumn("running", running)
-        .where((F.col("running") >= F.col("rank")) & (before < F.col("rank")))
-        .withColumn("rank", F.col("rank") - before)
-        .drop("running")
-    )
+    reach = MARGIN / SKETCH
+    grid = [x for p in probabilities for x in (max(p - reach, 0.0), min(p + reach, 1.0))]
+    # one subquery in a column of its own: named per use, it would be planned per use
+    bounds = values.agg(F.percentile_approx("v", grid, SKETCH)).scalar()
+    bracketed = values.withColumn("bounds", bounds)
+    value, inside, passed = F.col("v"), [], []
+    for i, (low, high) in enumerate(zip(grid[::2], grid[1::2])):
+        reached = F.lit(True) if low == 0 else value >= F.col("bounds")[2 * i]
+        left = F.lit(False) if high == 1 else value > F.col("bounds")[2 * i + 1]
+        inside.append(reached & ~left)
+        passed += [reached.cast("int"), left.cast("int")]
+    stretch = reduce(add, passed)
+    counted = bracketed.groupBy(
+        stretch.alias("stretch"), F.when(reduce(or_, inside), value).alias("v")
+    ).agg(F.count(F.lit(1)).alias("n"))
+    ordered = Window.orderBy("stretch", "v")
+    ranked = counted.select(
+        "v", F.sum("n").over(ordered).alias("running"),
+        F.sum("n").over(Window.partitionBy()).alias("total"))
+    return ranked.agg(F.array(*[_at(p) for p in probabilities]).alias("quantiles"))
+
+
+def _at(probability: float) -> Column:
+    """The value of the first row whose running count reaches the rank."""
+    rank = F.greatest(F.ceil(F.lit(float(probability)) * F.col("total")), F.lit(1))
+    first = F.min(F.when(F.col("running") >= rank, F.struct("running", "v")))
+    missed = first.isNotNull() & first["v"].isNull()
+    return F.when(missed, F.raise_error(F.lit("a rank lies outside its bracket"))) \
+        .otherwise(first["v"])
