@@ -125,6 +125,25 @@ FIXTURE_SQL = {
         SELECT customer_id, customer_unique_id, customer_zip_code_prefix,
                'ELSEWHERE' AS customer_city, customer_state
         FROM {f_customers} WHERE customer_id % 10 = 0""",
+    # Text as raw files hold it: decimal commas, unknown dates, letters for numbers, blanks.
+    "f_order_items_text": """
+        SELECT order_id, CASE WHEN order_id % 401 = 0 THEN 'first'
+                              ELSE CAST(order_item_id AS VARCHAR(10)) END AS order_item_id,
+               product_id, seller_id,
+               CASE WHEN order_id % 103 = 0 THEN '12,50' WHEN order_id % 107 = 0 THEN ''
+                    ELSE CAST(CAST(price AS DECIMAL(18, 2)) AS VARCHAR(30)) END AS price,
+               CASE WHEN order_id % 109 = 0 THEN 'free'
+                    ELSE CAST(CAST(freight_value AS DECIMAL(18, 2)) AS VARCHAR(30)) END
+                   AS freight_value
+        FROM {f_order_items}""",
+    "f_orders_text": """
+        SELECT order_id, customer_id, order_status,
+               CASE WHEN order_id % 113 = 0 THEN 'unknown'
+                    ELSE CAST(order_purchase_timestamp AS VARCHAR(30)) END
+                   AS order_purchase_timestamp,
+               CASE WHEN order_id % 127 = 0 THEN '2018-13-45'
+                    ELSE CAST(order_approved_at AS VARCHAR(30)) END AS order_approved_at
+        FROM {f_orders}""",
     # Repeated rows.
     "f_orders_dup": """
         SELECT * FROM {f_orders} UNION ALL SELECT * FROM {f_orders} WHERE order_id % 97 = 0""",

@@ -329,7 +329,66 @@ def by_place(*places: str) -> str:
 
 BY_STATUS = 'SELECT order_status, count(order_id) AS "count" FROM {f_orders} GROUP BY 1'
 
+#: Typed columns of the checked tables, in the names of both engines.
+CHECKED = {
+    "customers": (("customer_id", "bigint"), ("customer_unique_id", "bigint"),
+                  ("customer_zip_code_prefix", "int")),
+    "geolocation": (("geolocation_zip_code_prefix", "int"), ("geo_point", "bigint")),
+    "order_items": (("order_id", "bigint"), ("order_item_id", "int"), ("product_id", "bigint"),
+                    ("seller_id", "bigint"), ("price", "double"), ("freight_value", "double")),
+    "payments": (("order_id", "bigint"), ("payment_sequential", "int"),
+                 ("payment_value", "double")),
+    "reviews": (("order_id", "bigint"), ("review_score", "int"),
+                ("review_creation_date", "timestamp_ntz"),
+                ("review_answer_timestamp", "timestamp_ntz")),
+    "orders": (("order_id", "bigint"), ("customer_id", "bigint"),
+               (PURCHASE, "timestamp_ntz"), (APPROVED, "timestamp_ntz")),
+    "products": tuple((c, "bigint" if c == "product_id" else "double") for c in (
+        "product_id", "product_name_lenght", "product_description_lenght", "product_photos_qty",
+        "product_weight_g", "product_length_cm", "product_height_cm", "product_width_cm")),
+    "sellers": (("seller_id", "bigint"), ("seller_zip_code_prefix", "int")),
+    "categories": (),
+}
+TEXT_TABLES = {"order_items": "f_order_items_text", "orders": "f_orders_text"}
+
+
+def malformed(column: str, kind: str) -> str:
+    target = "TIMESTAMP" if kind == "timestamp_ntz" else kind
+    text = f"CAST({column} AS VARCHAR)"
+    return f"(trim({text}) <> '' AND TRY_CAST({text} AS {target}) IS NULL)"
+
+
+def rejected_rows() -> str:
+    return " UNION ALL ".join(
+        f"""SELECT '{t}' AS "table", '{c}' AS "column", CAST({c} AS VARCHAR) AS value,
+            '{k}' AS target_type, order_id
+            FROM {{{TEXT_TABLES.get(t, MODEL[t])}}} WHERE {malformed(c, k)}"""
+        for t in ("order_items", "orders", "reviews") for c, k in CHECKED[t])
+
+
+def rejected_counts() -> str:
+    parts = []
+    for t, typed in CHECKED.items():
+        source = TEXT_TABLES.get(t, MODEL[t])
+        parts += [f"""SELECT '{t}' AS "table", '{c}' AS "column", '{k}' AS target_type,
+            count(*) FILTER (WHERE {malformed(c, k)}) AS bad_rows FROM {{{source}}}"""
+                  for c, k in typed]
+        parts.append(f"""SELECT '{t}' AS "table", 'record' AS "column", 'struct' AS target_type,
+            CAST(0 AS BIGINT) AS bad_rows""")
+    return " UNION ALL ".join(parts)
+
+
 ORACLE = {
+    "src_csv_checked": f"""
+        SELECT order_id, TRY_CAST(order_item_id AS INTEGER) AS order_item_id, product_id,
+               seller_id, TRY_CAST(price AS DOUBLE) AS price,
+               TRY_CAST(freight_value AS DOUBLE) AS freight_value,
+               CAST({malformed('order_item_id', 'int')} AS INTEGER)
+               + CAST(coalesce({malformed('price', 'double')}, false) AS INTEGER)
+               + CAST({malformed('freight_value', 'double')} AS INTEGER) AS rejected
+        FROM {{f_order_items_text}}""",
+    "src_csv_quarantine": rejected_rows(),
+    "prf_type_conformance_raw": rejected_counts(),
     "src_csv": """
         SELECT CAST(customer_id AS INTEGER) AS customer_id,
                CAST(customer_unique_id AS INTEGER) AS customer_unique_id,

@@ -18,7 +18,7 @@ from ledgerloom.operators.lookup import SALTED_JOINS, one_row_per_key
 from ledgerloom.plans import analysis, cleaning
 from ledgerloom.plans.workspace import fresh_folder
 from ledgerloom.sinks import writers
-from ledgerloom.sources import contracts, readers
+from ledgerloom.sources import contracts, readers, typed
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -85,6 +85,49 @@ def src_csv_catalogue(spark, sf):
     return profile.row_counts(readers.load_csv_tables(spark, base, prefix="shop_", schemas=schemas))
 
 
+#: Types of the columns of the text fixtures, which are written to CSV and read checked.
+CHECKED_SCHEMAS = {
+    "order_items": "order_id BIGINT, order_item_id INT, product_id BIGINT, seller_id BIGINT, "
+                   "price DOUBLE, freight_value DOUBLE",
+    "orders": "order_id BIGINT, customer_id BIGINT, order_status STRING, "
+              "order_purchase_timestamp TIMESTAMP_NTZ, order_approved_at TIMESTAMP_NTZ",
+    "reviews": "order_id BIGINT, review_score INT, review_creation_date TIMESTAMP_NTZ, "
+               "review_answer_timestamp TIMESTAMP_NTZ",
+}
+
+
+def checked_tables(spark, sf) -> dict[str, typed.CheckedTable]:
+    """All nine tables as raw CSV files, three of them with malformed fields, read checked."""
+    base = fresh_folder(spark, "csv")
+    tables = fx.tables(spark, sf, orders="f_orders_text", order_items="f_order_items_text")
+    schemas = dict(CHECKED_SCHEMAS)
+    for name, df in tables.items():
+        df.write.csv(readers.csv_path(base, name, "shop_"), header=True)
+        schemas.setdefault(name, ", ".join(f"{c} {t}" for c, t in df.dtypes))
+    return typed.load_csv_checked(spark, base, prefix="shop_", schemas=schemas,
+                                  multi_line=frozenset())
+
+
+@query
+def src_csv_checked(spark, sf):
+    """All items, with the number of fields that did not parse."""
+    rows = checked_tables(spark, sf)["order_items"].rows(with_rejected=True)
+    return rows.withColumn("rejected", F.size(typed.REJECTED)).drop(typed.REJECTED)
+
+
+@query
+def src_csv_quarantine(spark, sf):
+    """Every field that did not parse, with the order its record names."""
+    found = typed.quarantine(checked_tables(spark, sf))
+    order = F.split("record", ",")[0].cast("long").alias("order_id")
+    return found.select("table", "column", "value", "target_type", order)
+
+
+@query
+def prf_type_conformance_raw(spark, sf):
+    return typed.conformance(checked_tables(spark, sf))
+
+
 @query
 def src_parquet(spark, sf):
     base = fresh_folder(spark, "parquet")

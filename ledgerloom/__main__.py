@@ -27,6 +27,8 @@ def main(arguments: list[str] | None = None) -> None:
     clean.add_argument("cleaned_path")
     clean.add_argument("--prefix", default="", help="file prefix of the raw CSV files")
     clean.add_argument("--single-file", action="store_true", help="one file per table")
+    clean.add_argument("--fail-on-malformed", action="store_true",
+                       help="end before anything is overwritten if a field does not parse")
 
     analyse = commands.add_parser("analyse", help="integrate cleaned tables and write the outputs")
     analyse.add_argument("cleaned_path")
@@ -47,7 +49,8 @@ def main(arguments: list[str] | None = None) -> None:
             df.show(args.rows, truncate=False)
     elif args.command == "clean":
         run_cleaning(spark, args.raw_path, args.cleaned_path,
-                     prefix=args.prefix, single_file=args.single_file)
+                     prefix=args.prefix, single_file=args.single_file,
+                     on_malformed="fail" if args.fail_on_malformed else "quarantine")
     else:
         run_analysis(spark, args.cleaned_path, args.analysed_path,
                      database=args.database,

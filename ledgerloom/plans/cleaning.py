@@ -7,9 +7,8 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerloom.operators import clean, features
-from ledgerloom.sinks.writers import write_parquet_tables
-from ledgerloom.sources import contracts
-from ledgerloom.sources.readers import load_csv_tables
+from ledgerloom.sinks.writers import write_parquet, write_parquet_tables
+from ledgerloom.sources import contracts, typed
 
 
 # Tables whose last step looks at all repaired rows before it treats each of them.
@@ -18,6 +17,11 @@ TWO_PASS_TABLES = ("order_items", "products")
 # Working tables of the cleaning job, below the cleaned folder.
 REPAIRED_FOLDER = "_repaired"
 
+# What the raw files hold that their types cannot: counts per column, and the fields with their
+# records. Readers skip names with an underscore, so folders of tables can be listed.
+CONFORMANCE_FOLDER = "_type_conformance"
+QUARANTINE_FOLDER = "_quarantine"
+
 
 def repair_table(name: str, df: DataFrame) -> DataFrame:
     """Fill missing dates and measures, repair types, translate payment types, then deduplicate."""
@@ -80,7 +84,29 @@ def write_cleaned(
 
 
 def run_cleaning(
-    spark: SparkSession, raw_path: str, cleaned_path: str, *, prefix: str = "", **options
+    spark: SparkSession,
+    raw_path: str,
+    cleaned_path: str,
+    *,
+    prefix: str = "",
+    multi_line: frozenset[str] = contracts.MULTI_LINE_TABLES,
+    on_malformed: str = "quarantine",
+    **options,
 ) -> None:
-    """Read the raw CSV tables and write them cleaned; ``options`` as for ``write_cleaned``."""
-    write_cleaned(load_csv_tables(spark, raw_path, prefix=prefix), cleaned_path, **options)
+    """Read the raw CSV tables and write them cleaned; ``options`` as for ``write_cleaned``.
+
+    Fields that do not parse are counted first, in a scan of the raw files. They become null, and
+    are written with their records to the quarantine folder beside the cleaned tables, which
+    is there, if empty, on every run. With ``on_malformed="fail"`` the job ends instead, before
+    it overwrites a cleaned table.
+    """
+    if on_malformed not in ("quarantine", "fail"):
+        raise ValueError(f"on_malformed: {on_malformed!r}")
+    checked = typed.load_csv_checked(spark, raw_path, prefix=prefix, multi_line=multi_line)
+    base = cleaned_path.rstrip("/")
+    write_parquet(typed.conformance(checked), f"{base}/{CONFORMANCE_FOLDER}")
+    write_parquet(typed.quarantine(checked), f"{base}/{QUARANTINE_FOLDER}")
+    counts = spark.read.parquet(f"{base}/{CONFORMANCE_FOLDER}")
+    if on_malformed == "fail" and not counts.where("bad_rows > 0").isEmpty():
+        raise ValueError(f"malformed fields in the raw tables: see {base}/{QUARANTINE_FOLDER}")
+    write_cleaned({name: x.rows() for name, x in checked.items()}, cleaned_path, **options)

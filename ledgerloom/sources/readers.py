@@ -36,22 +36,20 @@ def load_csv_tables(
     prefix: str = "",
     schemas: Mapping[str, str | None] = contracts.RAW_SCHEMAS,
     files: Mapping[str, str] = contracts.RAW_FILES,
+    multi_line: frozenset[str] = contracts.MULTI_LINE_TABLES,
 ) -> dict[str, DataFrame]:
     """All raw tables under ``base_path``, keyed by short name.
 
     ``schemas`` may leave a table out, or map it to ``None``, to have its types
-    inferred. ``prefix`` is the data set's own file prefix.
+    inferred. ``prefix`` is the data set's own file prefix. ``multi_line`` names the
+    tables whose records may hold line breaks; their files are read whole, so leave out
+    what has none. Malformed values become null here: ``typed.load_csv_checked`` keeps them.
     """
-    tables = {}
-    for name, file in files.items():
-        lead = "" if name in contracts.UNPREFIXED_FILES else prefix
-        tables[name] = read_csv(
-            spark,
-            _child(base_path, lead + file),
-            schemas.get(name),
-            multi_line=name in contracts.MULTI_LINE_TABLES,
-        )
-    return tables
+    return {
+        name: read_csv(spark, csv_path(base_path, name, prefix, files), schemas.get(name),
+                       multi_line=name in multi_line)
+        for name in files
+    }
 
 
 def load_parquet_tables(
@@ -63,5 +61,13 @@ def load_parquet_tables(
     return {name: spark.read.parquet(_child(base_path, folder)) for name, folder in folders.items()}
 
 
+def csv_path(
+    base_path: str, name: str, prefix: str = "", files: Mapping[str, str] = contracts.RAW_FILES
+) -> str:
+    """Where a raw table lies; the data set's own prefix stands before most file names."""
+    lead = "" if name in contracts.UNPREFIXED_FILES else prefix
+    return _child(base_path, lead + files[name])
+
+
 def _child(base_path: str, name: str) -> str:
     return f"{base_path.rstrip('/')}/{name}"
