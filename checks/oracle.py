@@ -7,7 +7,7 @@ A text names raw tables, fixture projections and other steps in braces;
 from __future__ import annotations
 
 from checks.fixtures import FIXTURE_SQL, MODEL, RAW_TABLES, names_in
-from checks.registry import SALTED
+from checks.registry import MOST_SELLERS, OUTPUT_MEASURES, SALTED
 
 # Four places more than any amount in the fixtures has.
 MONEY = "CAST(sum(CAST({0} AS DECIMAL(38,10))) AS DOUBLE)"
@@ -257,6 +257,48 @@ STEPS = {
         SELECT customer_unique_id,
                {r2(money('payment_value') + ' / count(order_id)')} AS "AOV"
         FROM {{k_full}} GROUP BY 1""",
+    # The outputs of the analysis job, over cleaned tables.
+    "o_customer_orders": "SELECT customer_unique_id, count(DISTINCT order_id) AS total_order "
+                         "FROM {k_full} GROUP BY 1",
+    "o_seller_review_score": "SELECT seller_id, avg(review_score) AS avg_review_score "
+                             "FROM {k_full} GROUP BY 1",
+    "o_most_sold_products": "SELECT product_id, count(order_id) AS total_order "
+                            "FROM {k_full} GROUP BY 1",
+    "o_customer_purchase": f"SELECT customer_id, {money('payment_value')} AS total_amount_spent "
+                           f"FROM {{k_full}} GROUP BY 1",
+    "o_seller_products": """
+        SELECT seller_id, product_id, price, count(order_id) AS total_orders,
+               price * count(order_id) AS total_revenue FROM {k_full} GROUP BY 1, 2, 3""",
+    "o_ranked_products": """
+        SELECT * FROM (SELECT *, rank() OVER (PARTITION BY seller_id
+            ORDER BY total_orders DESC NULLS LAST) AS "rank" FROM {o_seller_products}) ranked
+        WHERE "rank" <= 5""",
+    "o_dense_ranked_products": """
+        SELECT * FROM (SELECT *, dense_rank() OVER (PARTITION BY seller_id
+            ORDER BY total_revenue DESC NULLS LAST) AS dense_rank FROM {o_seller_products}) ranked
+        WHERE dense_rank <= 5""",
+    "o_customer_spending": f"""
+        SELECT customer_unique_id, count(order_id) AS total_orders,
+               {money('payment_value')} AS revenue,
+               {r2(money('payment_value') + ' / count(order_id)')} AS "AOV"
+        FROM {{k_full}} GROUP BY 1""",
+    "o_seller_performance": f"""
+        SELECT seller_id, count(order_id) AS total_orders, {money('price')} AS total_revenue,
+               {r2('avg(review_score)')} AS avg_review_score,
+               {r2('stddev_samp(price)')} AS price_variability FROM {{k_full}} GROUP BY 1""",
+    "o_product_metrics": f"""
+        SELECT product_id, count(order_id) AS total_sales, {money('price')} AS total_revenue,
+               {r2(money('price') + ' / count(price)')} AS avg_price,
+               {r2('stddev_samp(price)')} AS price_volatility,
+               count(DISTINCT seller_id) AS unique_seller_count FROM {{k_full}} GROUP BY 1""",
+    "o_monthly_stats": "SELECT * FROM {k_monthly}",
+    "o_customer_retention": f"""
+        SELECT customer_unique_id, count(DISTINCT order_id) AS total_orders,
+               {money('payment_value')} AS total_amount_spent,
+               {r2(money('payment_value') + ' / count(DISTINCT order_id)')} AS aov,
+               {r2('CAST(count(DISTINCT order_id) AS DOUBLE) / '
+                   '(SELECT count(*) FROM {k_full}) * 100')} AS retention_rate
+        FROM {{k_full}} GROUP BY 1""",
     "w_revenue": """
         SELECT * FROM (
             SELECT *, CAST(dense_rank() OVER (PARTITION BY seller_id
@@ -378,7 +420,76 @@ def rejected_counts() -> str:
     return " UNION ALL ".join(parts)
 
 
+def profile_rows(tables: dict[str, tuple[str, str]], rows: bool = False) -> str:
+    """Nulls by table and column; ``tables`` gives each its step and columns."""
+    total = "count(*) AS \"rows\", " if rows else ""
+    return " UNION ALL ".join(
+        f"""SELECT '{t}' AS "table", '{c}' AS "column", {total}
+            count(*) FILTER (WHERE {c} IS NULL) AS nulls,
+            CAST(count(*) FILTER (WHERE {c} IS NULL) AS DOUBLE) / count(*) AS null_fraction
+            FROM {{{step}}}"""
+        for t, (step, columns) in tables.items() for c in columns.split(", "))
+
+
+MODEL_COLUMNS = {t: (s, COLUMNS["f_orders_dup" if t == "orders" else s])
+                 for t, s in MODEL.items()}
+DERIVED = ("approval_time, carrier_handling_time, delivery_delay, delivery_duration, "
+           "shipping_time, purchase_day, purchase_day_name, purchase_month, purchase_month_name, "
+           "purchase_year")
+CLEANED_COLUMNS = {
+    t: ({"order_items": "k_items", "categories": "f_categories"}.get(t, f"k_{t}"),
+        columns + {"orders": f", {DERIVED}", "products": ", product_weight_category"}.get(t, ""))
+    for t, (_, columns) in MODEL_COLUMNS.items()
+}
+
+
+def output_lines() -> str:
+    parts = []
+    for output, (key, *measures) in OUTPUT_MEASURES.items():
+        found = {"rows": "count(*)", "keys": f"count(DISTINCT {key})"}
+        found |= {m: f'sum(round(CAST("{m}" AS DECIMAL(38,6)), 2))' for m in measures}
+        parts += [f"""SELECT '{output}' AS output, '{m}' AS measure,
+            CAST({v} AS DOUBLE) AS value FROM {{o_{output}}}""" for m, v in found.items()]
+    return " UNION ALL ".join(parts)
+
+
+FIRST_ITEM = first("{f_order_items}", "order_id", "order_item_id", "product_id", "seller_id",
+                   "price", "freight_value")
+
 ORACLE = {
+    "src_parquet_tables": profile_rows(MODEL_COLUMNS),
+    "prf_null_profile_tables": profile_rows(MODEL_COLUMNS),
+    "job_observed_profile": profile_rows(CLEANED_COLUMNS, rows=True),
+    "prf_row_counts_expected": f"""
+        SELECT coalesce(a."table", e."table") AS "table", e.expected, a."rows" AS actual,
+               a."rows" - e.expected AS diff
+        FROM ({count_rows(MODEL)}) a
+        FULL JOIN (SELECT 'orders' AS "table", CAST(1 AS BIGINT) AS expected
+                   UNION ALL SELECT 'sellers', 0 UNION ALL SELECT 'coupons', 7) e
+        ON a."table" = e."table" """,
+    "snk_reuse": """
+        SELECT 'customer' AS kind, customer_unique_id AS id, count(order_id) AS total_order
+        FROM {x_orders} GROUP BY 2
+        UNION ALL SELECT 'product', product_id, count(order_id) FROM {x_orders} GROUP BY 2""",
+    "cln_dedup_wide": "SELECT DISTINCT * FROM {f_orders_dup}",
+    "jon_full_orders_bucketed": "SELECT * FROM {x_orders}",
+    "ded_first_by_sequence": FIRST_ITEM,
+    "ded_first_review_by_sequence": first(
+        """(SELECT order_id, TRY_CAST(review_score AS INTEGER) AS review_score,
+            TRY_CAST(review_creation_date AS TIMESTAMP) AS review_creation_date,
+            review_answer_timestamp FROM {f_reviews})""",
+        "review_score", "review_creation_date", "order_id", "review_answer_timestamp"),
+    "agg_product_sellers": "SELECT DISTINCT product_id, seller_id FROM {x_dense} "
+                           "WHERE seller_id IS NOT NULL",
+    "enr_status_flags_map": f"""
+        SELECT x.order_id, s.order_status AS status,
+               coalesce(x.order_status = s.order_status, false) AS flag
+        FROM {{x_repeated}} x, (SELECT DISTINCT order_status FROM {{x_repeated}}
+                                WHERE order_status IS NOT NULL) s""",
+    "job_written_orders": "SELECT * FROM {k_orders}",
+    "job_written_items": "SELECT * FROM {k_items}",
+    "job_written_products": "SELECT * FROM {k_products}",
+    "job_outputs": output_lines(),
     "src_csv_checked": f"""
         SELECT order_id, TRY_CAST(order_item_id AS INTEGER) AS order_item_id, product_id,
                seller_id, TRY_CAST(price AS DOUBLE) AS price,
@@ -615,6 +726,11 @@ ORACLE = {
 }
 
 
+ORACLE["agg_product_metrics_bounded"] = f"""
+    SELECT * REPLACE (CASE WHEN unique_seller_count <= {MOST_SELLERS} THEN unique_sellers END
+                      AS unique_sellers) FROM ({ORACLE["agg_product_metrics"]}) metrics"""
+
+
 def oracle_sql() -> dict[str, str]:
     """Self-contained SQL per query, over the raw tables."""
     salted = {f"{name}_salted": ORACLE[name] for name in SALTED}

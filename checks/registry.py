@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 from functools import reduce
 
@@ -14,8 +15,8 @@ from ledgerloom.operators import (
     report,
 )
 from ledgerloom.functions.columns import money_sum
-from ledgerloom.operators.lookup import SALTED_JOINS, one_row_per_key
-from ledgerloom.plans import analysis, cleaning
+from ledgerloom.operators.lookup import SALTED_JOINS, first_by_sequence, one_row_per_key
+from ledgerloom.plans import analysis, cleaning, exploration
 from ledgerloom.plans.workspace import fresh_folder
 from ledgerloom.sinks import writers
 from ledgerloom.sources import contracts, readers, typed
@@ -135,6 +136,14 @@ def src_parquet(spark, sf):
     return readers.load_parquet_tables(spark, base)["order_items"]
 
 
+@query
+def src_parquet_tables(spark, sf):
+    """Nulls of every column of all nine tables, written and read back."""
+    base = fresh_folder(spark, "parquet")
+    writers.write_parquet_tables(fx.tables(spark, sf), base, contracts.CLEANED_FOLDERS)
+    return exploration.profile_tables(readers.load_parquet_tables(spark, base))["null_profile"]
+
+
 @query
 def snk_parquet(spark, sf):
     path = fresh_folder(spark, "parquet")
@@ -162,6 +171,22 @@ def snk_table(spark, sf):
     return spark.table(f"{database}.{name}")
 
 
+@query
+def snk_reuse(spark, sf):
+    """Two results of one kept frame, written before it is released."""
+    path = fresh_folder(spark, "reused")
+    columns = ["order_id", "customer_unique_id", "product_id"]
+    with writers.reused(integrated(spark, sf, columns)) as kept:
+        by_customer = aggregate.orders_per_customer(kept, one_row_per_order=True)
+        by_product = aggregate.most_sold_products(kept)
+        writers.write_parquet(
+            by_customer.select(F.lit("customer").alias("kind"),
+                               F.col("customer_unique_id").alias("id"), "total_order")
+            .unionByName(by_product.select(F.lit("product").alias("kind"),
+                                           F.col("product_id").alias("id"), "total_order")), path)
+    return spark.read.parquet(path)
+
+
 # --- profiling ---------------------------------------------------------------
 
 
@@ -180,6 +205,17 @@ def prf_null_profile(spark, sf):
     return profile.null_profile(fx.frame(spark, sf, "f_orders"))
 
 
+@query
+def prf_null_profile_tables(spark, sf):
+    return exploration.profile_tables(fx.tables(spark, sf))["null_profile"]
+
+
+@query
+def prf_row_counts_expected(spark, sf):
+    """Against declared counts, one of a table that is not there."""
+    return profile.row_counts(fx.tables(spark, sf), {"orders": 1, "sellers": 0, "coupons": 7})
+
+
 @query
 def prf_dup_groups(spark, sf):
     return profile.duplicate_groups(fx.frame(spark, sf, "f_orders_dup"))
@@ -316,6 +352,11 @@ def cln_dedup(spark, sf):
     return clean.deduplicate(fx.frame(spark, sf, "f_orders_dup"))
 
 
+@query
+def cln_dedup_wide(spark, sf):
+    return clean.deduplicate(fx.frame(spark, sf, "f_orders_dup"), wide=True)
+
+
 @query
 def cln_price_cutoffs(spark, sf):
     bounds = quantiles.quantiles(fx.frame(spark, sf, "f_order_items"), "price", clean.PRICE_CUTOFFS)
@@ -404,6 +445,17 @@ def jon_full_orders_dense(spark, sf):
     return integrated(spark, sf, order_items="f_order_items_dense")
 
 
+@query
+def jon_full_orders_bucketed(spark, sf):
+    """From catalogue tables that lie in buckets of the order."""
+    database = "ledgerloom_buckets"
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {database} LOCATION '{fresh_folder(spark, 'buckets')}'")
+    prefix = "t" + uuid.uuid4().hex[:8] + "_"
+    tables = writers.save_by_order(
+        prepared(spark, sf), database=database, buckets=8, prefix=prefix)
+    return joins.integrate(tables, stored_by_order=True)
+
+
 def repeated(spark: SparkSession, sf_dir: str, columns: Sequence[str] | None = None) -> DataFrame:
     """The variant whose orders and customers repeat their keys."""
     return integrated(spark, sf_dir, columns,
@@ -448,6 +500,19 @@ def ded_one_row_per_order(spark, sf):
     return one_row_per_key(rows.select(*columns), contracts.ORDER_GRAIN, joins.ITEM_ORDER)
 
 
+@query
+def ded_first_by_sequence(spark, sf):
+    return first_by_sequence(fx.frame(spark, sf, "f_order_items"), ["order_id"], "order_item_id")
+
+
+@query
+def ded_first_review_by_sequence(spark, sf):
+    """Equal dates and scores tie, malformed ones come first."""
+    reviews = clean.cast_columns(fx.frame(spark, sf, "f_reviews"), {
+        "review_score": "int", "review_creation_date": "timestamp_ntz"})
+    return first_by_sequence(reviews, ["review_score"], "review_creation_date", ["order_id"])
+
+
 @query
 def ded_key_unique(spark, sf):
     return joins.grain_check(integrated(spark, sf, contracts.ORDER_GRAIN))
@@ -520,6 +585,24 @@ def agg_product_metrics(spark, sf):
     return metrics.withColumn("unique_sellers", F.array_join("unique_sellers", ","))
 
 
+#: Products with more sellers have no array.
+MOST_SELLERS = 12
+
+
+@query
+def agg_product_metrics_bounded(spark, sf):
+    columns = ["product_id", "seller_id", "order_id", "price"]
+    metrics = aggregate.product_metrics(
+        integrated(spark, sf, columns, order_items="f_order_items_dense"), MOST_SELLERS)
+    return metrics.withColumn("unique_sellers", F.array_join("unique_sellers", ","))
+
+
+@query
+def agg_product_sellers(spark, sf):
+    return aggregate.product_sellers(
+        integrated(spark, sf, ["product_id", "seller_id"], order_items="f_order_items_dense"))
+
+
 def monthly(spark, sf):
     columns = [
         "purchase_month_name", "purchase_month", "purchase_year", "price", "payment_value",
@@ -574,6 +657,13 @@ def enr_status_flags_observed(spark, sf):
     ])).alias("x")).select("order_id", "x.status", "x.flag")
 
 
+@query
+def enr_status_flags_map(spark, sf):
+    """The map's entries as rows."""
+    flagged = enrich.add_status_map(repeated(spark, sf, ["order_id", "order_status"]))
+    return flagged.select("order_id", F.explode("status_flags").alias("status", "flag"))
+
+
 @query
 def enr_customer_segment(spark, sf):
     return enrich.add_customer_segment(spending(spark, sf))
@@ -684,6 +774,67 @@ def job_cleaned_products(spark, sf):
     return cleaning.clean_table("products", fx.frame(spark, sf, "f_products"))
 
 
+@query
+def job_written_orders(spark, sf):
+    return readers.load_parquet_tables(spark, cleaned_files(spark, sf))["orders"]
+
+
+@query
+def job_written_items(spark, sf):
+    return readers.load_parquet_tables(spark, cleaned_files(spark, sf))["order_items"]
+
+
+@query
+def job_written_products(spark, sf):
+    return readers.load_parquet_tables(spark, cleaned_files(spark, sf))["products"]
+
+
+@query
+def job_observed_profile(spark, sf):
+    """Rows and nulls of all cleaned tables, counted while they are written."""
+    return cleaning.write_cleaned(raw(spark, sf), fresh_folder(spark, "cleaned"))
+
+
+#: Of each output: its key and the measures that are added up.
+OUTPUT_MEASURES = {
+    "customer_orders": ("customer_unique_id", "total_order"),
+    "seller_review_score": ("seller_id", "avg_review_score"),
+    "most_sold_products": ("product_id", "total_order"),
+    "customer_purchase": ("customer_id", "total_amount_spent"),
+    "seller_products": ("product_id", "total_orders", "total_revenue"),
+    "ranked_products": ("product_id", "total_orders", "rank"),
+    "dense_ranked_products": ("product_id", "total_revenue", "dense_rank"),
+    "customer_spending": ("customer_unique_id", "total_orders", "revenue", "AOV"),
+    "seller_performance": ("seller_id", "total_orders", "total_revenue", "avg_review_score",
+                           "price_variability"),
+    "product_metrics": ("product_id", "total_sales", "total_revenue", "avg_price",
+                        "price_volatility", "unique_seller_count"),
+    "monthly_stats": ("purchase_month", "seller_revenue", "customer_spend", "total_freight",
+                      "total_orders", "min_order_value", "max_order_value", "aov_seller",
+                      "aov_customer"),
+    "customer_retention": ("customer_unique_id", "total_orders", "total_amount_spent", "aov",
+                           "retention_rate"),
+}
+
+
+@query
+def job_outputs(spark, sf):
+    """Rows, different keys and added measures of the job's other twelve outputs, as written."""
+    analysed = fresh_folder(spark, "analysed")
+    analysis.run_analysis(spark, cleaned_files(spark, sf), analysed, statuses=STATUSES)
+
+    def lines(name, key, *measures):
+        df = spark.read.parquet(f"{analysed}/{contracts.OUTPUT_NAMES[name]}")
+        sums = {c: F.sum(F.round(F.col(c).cast("decimal(38,6)"), 2)) for c in measures}
+        found = {"rows": F.count(F.lit(1)), "keys": F.count_distinct(key), **sums}
+        entries = [F.struct(F.lit(m).alias("measure"), v.cast("double").alias("value"))
+                   for m, v in found.items()]
+        return df.agg(F.array(*entries).alias("entries")).select(
+            F.lit(name).alias("output"), F.inline("entries"))
+
+    return reduce(DataFrame.unionByName, [lines(n, *m) for n, m in OUTPUT_MEASURES.items()])
+
+
 @query
 def job_complete_orders(spark, sf):
     analysed = fresh_folder(spark, "analysed")

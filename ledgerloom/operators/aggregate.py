@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.columns import money_spread, money_sum, per, round2
+from ledgerloom.operators.lookup import lookup_join
 
 
 def orders_per_customer(
@@ -75,22 +76,49 @@ def seller_performance(orders: DataFrame) -> DataFrame:
     )
 
 
-def product_metrics(orders: DataFrame) -> DataFrame:
+def product_metrics(orders: DataFrame, most_sellers: int | None = None) -> DataFrame:
     """Sales, revenue, price level and spread, and the sellers of each product.
 
     The sellers are a sorted array. Only distinct (product, seller) pairs reach
     it: the distinct aggregation removes repeats over all tasks first, and the
     count shares that same step, so one pass serves everything.
+
+    ``most_sellers`` bounds the arrays: a product with more sellers has none (null), and its
+    sellers are rows of ``product_sellers``. Its count and measures stay.
     """
-    sellers = F.expr("collect_list(DISTINCT seller_id)")
-    return orders.groupBy("product_id").agg(
+    measures = (
         F.count("order_id").alias("total_sales"),
         money_sum("price").alias("total_revenue"),
         round2(per(money_sum("price"), F.count("price"))).alias("avg_price"),
         round2(money_spread("price")).alias("price_volatility"),
-        F.sort_array(sellers).alias("unique_sellers"),
-        F.count_distinct("seller_id").alias("unique_seller_count"),
     )
+    if most_sellers is None:
+        sellers = F.expr("collect_list(DISTINCT seller_id)")
+        return orders.groupBy("product_id").agg(
+            *measures, F.sort_array(sellers).alias("unique_sellers"),
+            F.count_distinct("seller_id").alias("unique_seller_count"))
+    pairs = product_sellers(orders)
+    counts = pairs.groupBy("product_id").agg(F.count("seller_id").alias("unique_seller_count"))
+    # arrays are gathered of products within the limit only
+    few = counts.where(F.col("unique_seller_count") <= most_sellers).select("product_id")
+    arrays = (lookup_join(pairs, few, ["product_id"], "left_semi").groupBy("product_id")
+              .agg(F.sort_array(F.collect_list("seller_id")).alias("unique_sellers")))
+    # null is a product, too
+    sellers = counts.join(arrays, "product_id", "left").select(
+        F.col("product_id").alias("_product"), "unique_sellers", "unique_seller_count")
+    totals = orders.groupBy("product_id").agg(*measures)
+    empty = F.array().cast(f"array<{dict(orders.dtypes)['seller_id']}>")
+    count = F.coalesce("unique_seller_count", F.lit(0)).alias("unique_seller_count")
+    return totals.join(sellers, F.col("product_id") == F.col("_product"), "left").select(
+        *totals.columns, F.when(F.coalesce("unique_seller_count", F.lit(0)) <= most_sellers,
+                                F.coalesce("unique_sellers", empty)).alias("unique_sellers"),
+        count)
+
+
+def product_sellers(orders: DataFrame) -> DataFrame:
+    """Distinct pairs of a product and one of its sellers: the long form of ``unique_sellers``."""
+    pairs = orders.select("product_id", "seller_id").where("seller_id is not null")
+    return pairs.distinct()
 
 
 def monthly_stats(orders: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.columns import banded, known, midpoint, translate_values
+from ledgerloom.operators.profile import distinct_rows
 from ledgerloom.operators.quantiles import quantiles
 
 # The status whose missing dates are filled in.
@@ -110,9 +111,13 @@ def standardise_payment_types(
     return payments.withColumn("payment_type", translate_values(F.col("payment_type"), mapping))
 
 
-def deduplicate(df: DataFrame) -> DataFrame:
-    """Rows distinct over all columns."""
-    return df.dropDuplicates()
+def deduplicate(df: DataFrame, *, wide: bool = False) -> DataFrame:
+    """Rows distinct over all columns.
+
+    ``wide`` looks at the input twice and shuffles fingerprints and repeated rows only: better for
+    stored tables with long texts.
+    """
+    return distinct_rows(df) if wide else df.dropDuplicates()
 
 
 def drop_price_outliers(

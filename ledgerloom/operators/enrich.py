@@ -42,6 +42,18 @@ def observed_statuses(orders: DataFrame) -> list[str]:
     return sorted(row[0] for row in rows)
 
 
+def add_status_map(orders: DataFrame) -> DataFrame:
+    """Add ``status_flags``, a map with a boolean for each status that occurs among the orders.
+
+    The statuses are a scalar subquery of the same plan: no job runs while it is built, and the
+    schema stays the same whatever statuses there are.
+    """
+    observed = orders.agg(F.array_sort(F.collect_set("order_status"))).scalar()
+    flags = F.transform("_statuses", lambda s: F.coalesce(s == F.col("order_status"), F.lit(False)))
+    return (orders.withColumn("_statuses", observed)
+            .withColumn("status_flags", F.map_from_arrays("_statuses", flags)).drop("_statuses"))
+
+
 def undeclared_statuses(orders: DataFrame, statuses: Sequence[str]) -> DataFrame:
     """Rows per status that has no flag among the declared ``statuses``."""
     flagged = F.col("order_status").isin(*statuses)

@@ -66,7 +66,12 @@ def with_payments(orders: DataFrame, payments: DataFrame) -> DataFrame:
     return _with_first(orders, payments, PAYMENT_ORDER)
 
 
-def integrate(tables: Mapping[str, DataFrame], columns: Sequence[str] | None = None) -> DataFrame:
+def integrate(
+    tables: Mapping[str, DataFrame],
+    columns: Sequence[str] | None = None,
+    *,
+    stored_by_order: bool = False,
+) -> DataFrame:
     """One row per order: its first surviving item, customer, geolocation, review and payment.
 
     An order survives if it has a customer and at least one item whose product and
@@ -83,7 +88,9 @@ def integrate(tables: Mapping[str, DataFrame], columns: Sequence[str] | None = N
     Products and sellers are asked whether an item's key exists before the choice of
     one item per order, and add their attributes after it, so that choice shuffles
     item columns only. Items, orders, reviews and payments are shuffled once each by
-    order, which the choices and joins between them share.
+    order, which the choices and joins between them share. ``stored_by_order`` states that these
+    four lie in buckets of the order already (``writers.save_by_order``): then, while the other
+    tables are small enough for Spark to broadcast, none of them is shuffled.
     """
     wanted = None if columns is None else set(columns)
 
@@ -111,7 +118,9 @@ def integrate(tables: Mapping[str, DataFrame], columns: Sequence[str] | None = N
     for side, key in attributes:
         rows = lookup_join(rows, side, [key])
 
-    placed = lookup_join(orders, customers, ["customer_id"]).repartition("order_id")
+    placed = lookup_join(orders, customers, ["customer_id"])
+    if not stored_by_order:
+        placed = placed.repartition("order_id")
     placed = one_row_per_key(placed, ORDER_GRAIN)
     if needs(geolocation):
         placed = with_geolocation(placed, geolocation)

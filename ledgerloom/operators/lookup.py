@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from functools import reduce
-from operator import or_
+from operator import and_, or_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 _SALT, _COPIES = "_salt", "_copies"
@@ -106,3 +106,30 @@ def one_row_per_key(
         return df.select(*keys).distinct()
     first = F.min(F.struct(*order)).alias("_first")
     return df.groupBy(*keys).agg(first).select(*keys, "_first.*").select(*columns)
+
+
+def first_by_sequence(
+    df: DataFrame, keys: Sequence[str], sequence: str, order_by: Sequence[str] = ()
+) -> DataFrame:
+    """The same row as ``one_row_per_key(df, keys, [sequence, *order_by])``, in two steps.
+
+    A hash aggregate finds the least value of the sequence per key (fixed-width buffers: no sort and
+    no struct of all columns), a join by key keeps its rows, and only rows that tie are
+    ordered by the other columns, where the join has put them. Rows are moved once, by key, and
+    never sorted before they are: better than the aggregate where rows are wide and the rows of a
+    key lie in many files, worse where they lie together and the aggregate shrinks them first.
+    """
+    keys, columns = list(keys), df.columns
+    rest = [c for c in columns if c not in keys and c != sequence and c not in order_by]
+    least = df.groupBy(*keys).agg(
+        F.min(sequence).alias("_least"), F.max(F.col(sequence).isNull()).alias("_missing"))
+    # nulls come first
+    wanted = F.when(~F.col("_missing"), F.col("_least"))
+    on = reduce(and_, [df[k].eqNullSafe(least[k]) for k in keys])
+    kept = df.join(least, on).where(df[sequence].eqNullSafe(wanted))
+    number = F.row_number().over(
+        Window.partitionBy(*[df[k] for k in keys]).orderBy(*order_by, *rest))
+    numbered = kept.select(*[df[c] for c in columns], number.alias("_number")) \
+        if [*order_by, *rest] else kept.select(*[df[c] for c in columns]).distinct() \
+        .withColumn("_number", F.lit(1))
+    return numbered.where("_number = 1").select(*columns)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -54,13 +54,42 @@ def null_profile(df: DataFrame) -> DataFrame:
     )
 
 
+_FINGERPRINT = ("_fingerprint1", "_fingerprint2")
+
+
+def _fingerprinted(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows with 128-bit fingerprints, and the fingerprints that occur more than once.
+
+    Counting fingerprints shuffles two longs and a count per row (copies are combined before),
+    however wide the rows are.
+    """
+    rows = df.select("*", *[F.xxhash64(F.lit(seed), *df.columns).alias(name)
+                            for seed, name in enumerate(_FINGERPRINT)])
+    counts = rows.groupBy(*_FINGERPRINT).agg(F.count(F.lit(1)).alias("n"))
+    return rows, counts.where("n > 1").select(*_FINGERPRINT)
+
+
 def duplicate_rows(df: DataFrame) -> DataFrame:
     """Every row that occurs more than once, with its number of copies as ``count``.
 
-    Copies are counted on the map side first, so a row copied very often does not
-    load one task.
+    Only rows whose fingerprint repeats are compared in full, so a wide table is not shuffled to
+    find few copies. Copies are counted on the map side first, so a row copied very often does
+    not load one task.
     """
-    return df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("count")).where("count > 1")
+    rows, repeated = _fingerprinted(df)
+    found = rows.join(repeated, list(_FINGERPRINT), "left_semi").drop(*_FINGERPRINT)
+    return found.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("count")).where("count > 1")
+
+
+def distinct_rows(df: DataFrame) -> DataFrame:
+    """Rows distinct over all columns; for wide tables with few copies.
+
+    Rows whose fingerprint is alone pass without a shuffle; the others are compared in full.
+    """
+    rows, repeated = _fingerprinted(df)
+    alone = rows.join(repeated, list(_FINGERPRINT), "left_anti").drop(*_FINGERPRINT)
+    copies = rows.join(repeated, list(_FINGERPRINT), "left_semi").drop(*_FINGERPRINT)
+    return alone.unionByName(copies.dropDuplicates())
 
 
 def duplicate_groups(df: DataFrame) -> DataFrame:
@@ -128,3 +157,32 @@ def type_conformance(df: DataFrame, targets: Mapping[str, str]) -> DataFrame:
 
 def _lookup(mapping: Mapping[str, str], column: str) -> Column:
     return F.create_map(*[F.lit(x) for pair in mapping.items() for x in pair])[F.col(column)]
+
+
+class ObservedProfile:
+    """Row and null counts of frames, taken while they are written: no scan of their own.
+
+    ``watch`` a frame, write what it returns, and read the ``counts`` afterwards. Watch the very
+    frame that is written: a metric above the last shuffle is taken by the tasks that write,
+    which count once each, also if executors are lost and stages run again.
+    """
+
+    def __init__(self) -> None:
+        self._watched: dict[str, tuple[Observation, list[str]]] = {}
+
+    def watch(self, name: str, df: DataFrame) -> DataFrame:
+        observation = Observation()
+        self._watched[name] = observation, df.columns
+        nulls = [F.count_if(F.col(c).isNull()).alias(f"n{i}") for i, c in enumerate(df.columns)]
+        return df.observe(observation, F.count(F.lit(1)).alias("rows"), *nulls)
+
+    def counts(self, spark: SparkSession) -> DataFrame:
+        """``(table, column, rows, nulls, null_fraction)``; call it after the writes."""
+        found = []
+        for name, (observation, columns) in self._watched.items():
+            seen = observation.get
+            total = seen["rows"]
+            found += [(name, c, total, seen[f"n{i}"], seen[f"n{i}"] / total if total else None)
+                      for i, c in enumerate(columns)]
+        return spark.createDataFrame(
+            found, "table string, column string, rows long, nulls long, null_fraction double")

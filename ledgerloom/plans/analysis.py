@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerloom.operators import aggregate, enrich, rank, report
 from ledgerloom.operators.integrate import grain_check, integrate, lost_orders
-from ledgerloom.sinks.writers import save_tables, side_by_side, write_parquet
+from ledgerloom.sinks.writers import publish, register_tables, side_by_side, write_parquet
 from ledgerloom.sources import contracts
 from ledgerloom.sources.readers import load_parquet_tables
 
 # Working table of the integrated orders; readers skip names with an underscore.
 INTEGRATED_FOLDER = "_integrated"
+# Folder of a run's outputs until all are there.
+STAGED_FOLDER = "_run"
 
 
 def base_outputs(integrated: DataFrame) -> dict[str, DataFrame]:
@@ -82,8 +85,9 @@ def run_analysis(
     The integrated orders are written once and read back, so the joins run once,
     later steps prune columns, and a lost executor costs a re-read instead of a
     re-join. Outputs that feed others are written first and read back likewise.
-    With ``database`` every output is also saved as a catalogue table, copied from
-    the file just written. ``partition_orders_by`` lays the complete orders out in
+    Everything is written to a folder of its own first and takes the place of the last run's
+    outputs when all of it is there, so a job that fails leaves those. With ``database`` every
+    output is also a catalogue table over the same files. ``partition_orders_by`` lays the complete orders out in
     folders, say by ``purchase_year``, so that readers of one year skip the rest, in the
     files and in the catalogue.
 
@@ -91,10 +95,14 @@ def run_analysis(
     orders have. The grain of the integrated orders, the orders lost, and statuses without a
     flag are written as quality outputs first; a broken grain ends the job there.
     """
-    base_path = analysed_path.rstrip("/")
+    target = analysed_path.rstrip("/")
+    staged = f"{target}/{STAGED_FOLDER}-{uuid.uuid4().hex}"
+
+    def folder(name: str) -> str:
+        return contracts.OUTPUT_NAMES.get(name, name)
 
     def path(name: str) -> str:
-        return f"{base_path}/{contracts.OUTPUT_NAMES.get(name, name)}"
+        return f"{staged}/{folder(name)}"
 
     def write(frames: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
         def write_one(name: str) -> None:
@@ -115,8 +123,9 @@ def run_analysis(
     written = write(base_outputs(integrated))
     rest = outputs(integrated, written, statuses)
     written.update(write({name: df for name, df in rest.items() if name not in written}))
+    publish(spark, staged, target,
+            [folder(name) for name in (INTEGRATED_FOLDER, *quality, *written)])
     if database is not None:
-        names = contracts.OUTPUT_NAMES
-        complete = {"complete_orders": written.pop("complete_orders")}
-        save_tables(complete, names, database=database, partition_by=partition_orders_by)
-        save_tables(written, names, database=database)
+        paths = {folder(name): f"{target}/{folder(name)}" for name in written}
+        partitioned = [folder("complete_orders")] if partition_orders_by else []
+        register_tables(spark, paths, database=database, partitioned=partitioned)

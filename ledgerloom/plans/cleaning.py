@@ -7,6 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerloom.operators import clean, features
+from ledgerloom.operators.profile import ObservedProfile
 from ledgerloom.sinks.writers import write_parquet, write_parquet_tables
 from ledgerloom.sources import contracts, typed
 
@@ -21,6 +22,8 @@ REPAIRED_FOLDER = "_repaired"
 # records. Readers skip names with an underscore, so folders of tables can be listed.
 CONFORMANCE_FOLDER = "_type_conformance"
 QUARANTINE_FOLDER = "_quarantine"
+# Rows and nulls of the cleaned tables.
+PROFILE_FOLDER = "_profile"
 
 
 def repair_table(name: str, df: DataFrame) -> DataFrame:
@@ -65,8 +68,10 @@ def write_cleaned(
     *,
     quantile_accuracy: int | None = None,
     **write_options,
-) -> None:
-    """Clean raw tables and overwrite one Parquet folder per table.
+) -> DataFrame:
+    """Clean raw tables, overwrite one Parquet folder per table, return their profile.
+
+    The profile (rows and nulls per column) is counted by the tasks that write.
 
     Quantiles need all rows of a table before its first row can be written. The
     tables concerned are written repaired and read back: the raw input is parsed
@@ -80,7 +85,10 @@ def write_cleaned(
     for name, df in staged.items():
         repaired[name] = df.sparkSession.read.parquet(f"{staged_path}/{name}")
     finished = {name: finish_table(name, df, quantile_accuracy) for name, df in repaired.items()}
-    write_parquet_tables(finished, cleaned_path, contracts.CLEANED_FOLDERS, **write_options)
+    profile = ObservedProfile()
+    watched = {name: profile.watch(name, df) for name, df in finished.items()}
+    write_parquet_tables(watched, cleaned_path, contracts.CLEANED_FOLDERS, **write_options)
+    return profile.counts(next(iter(tables.values())).sparkSession)
 
 
 def run_cleaning(
@@ -109,4 +117,6 @@ def run_cleaning(
     counts = spark.read.parquet(f"{base}/{CONFORMANCE_FOLDER}")
     if on_malformed == "fail" and not counts.where("bad_rows > 0").isEmpty():
         raise ValueError(f"malformed fields in the raw tables: see {base}/{QUARANTINE_FOLDER}")
-    write_cleaned({name: x.rows() for name, x in checked.items()}, cleaned_path, **options)
+    profile = write_cleaned({name: x.rows() for name, x in checked.items()}, cleaned_path,
+                            **options)
+    write_parquet(profile, f"{base}/{PROFILE_FOLDER}", single_file=True)

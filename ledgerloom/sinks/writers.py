@@ -7,7 +7,7 @@ from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, DataFrameWriter
+from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 
 # Spark jobs that the multi-table sinks submit at the same time.
 CONCURRENT_WRITES = 4
@@ -83,13 +83,77 @@ def save_tables(
     side_by_side(save, tables)
 
 
+def save_by_order(
+    tables: Mapping[str, DataFrame], *, database: str, buckets: int, prefix: str = ""
+) -> dict[str, DataFrame]:
+    """Overwrite catalogue tables, those with an ``order_id`` in buckets of it; return them read.
+
+    Tables in as many buckets join by order without a shuffle, on every later run.
+    """
+    spark = next(iter(tables.values())).sparkSession
+
+    def save(name: str) -> None:
+        df = tables[name]
+        writer = df.write.mode("overwrite").format("parquet")
+        if "order_id" in df.columns:
+            # one file per bucket instead of one per bucket and task
+            writer = df.repartition(buckets, "order_id").write.mode("overwrite") \
+                .format("parquet").bucketBy(buckets, "order_id").sortBy("order_id")
+        writer.saveAsTable(f"{database}.{prefix}{name}")
+
+    side_by_side(save, tables)
+    return {name: spark.table(f"{database}.{prefix}{name}") for name in tables}
+
+
+def publish(spark: SparkSession, staged: str, target: str, names: Iterable[str]) -> None:
+    """Put folders written below ``staged`` in the place of those below ``target``.
+
+    All of them are written by then, so a job that fails on the way leaves the old ones. The old
+    ones step aside first and go last; on file systems without renames this copies.
+    """
+    path_class = spark._jvm.org.apache.hadoop.fs.Path
+    files = path_class(target).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def path(base: str, name: str):
+        return path_class(f"{base.rstrip('/')}/{name}")
+
+    def move(source, destination) -> None:
+        if not files.rename(source, destination):
+            raise OSError(f"could not move {source} to {destination}")
+
+    aside = path(staged, "_replaced")
+    files.mkdirs(aside)
+    for name in names:
+        old = path(target, name)
+        if files.exists(old):
+            move(old, path(aside.toString(), name))
+        move(path(staged, name), old)
+    files.delete(path_class(staged), True)
+
+
+def register_tables(
+    spark: SparkSession,
+    paths: Mapping[str, str],
+    *,
+    database: str,
+    partitioned: Iterable[str] = (),
+) -> None:
+    """Lay catalogue tables over Parquet folders: the files are not copied."""
+    for table, path in paths.items():
+        name = f"{database}.{table}"
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        spark.catalog.createTable(name, path, source="parquet")
+        if table in partitioned:
+            spark.catalog.recoverPartitions(name)
+
+
 @contextmanager
 def reused(df: DataFrame) -> Iterator[DataFrame]:
     """Keep a frame for several uses and release that same frame afterwards.
 
-    For results that fit the executors' memory and disks. Blocks lost with an
-    executor are computed again. The batch jobs write large intermediates to the
-    shared folder instead, which also keeps column pruning.
+    For results that fit the executors' memory and disks, such as the exploration's. Blocks lost
+    with an executor are computed again. The batch jobs write large intermediates to
+    the shared folder instead, which also keeps column pruning.
     """
     kept = df.persist(StorageLevel.MEMORY_AND_DISK)
     try:
