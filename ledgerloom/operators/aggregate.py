@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.columns import money_spread, money_sum, per, round2
-from ledgerloom.operators.lookup import lookup_join
 
 
 def orders_per_customer(
@@ -99,17 +98,18 @@ def product_metrics(orders: DataFrame, most_sellers: int | None = None) -> DataF
             F.count_distinct("seller_id").alias("unique_seller_count"))
     pairs = product_sellers(orders)
     counts = pairs.groupBy("product_id").agg(F.count("seller_id").alias("unique_seller_count"))
-    # arrays are gathered of products within the limit only
-    few = counts.where(F.col("unique_seller_count") <= most_sellers).select("product_id")
-    arrays = (lookup_join(pairs, few, ["product_id"], "left_semi").groupBy("product_id")
+    # arrays are gathered of products within the limit only; null is a product, too
+    few = counts.where(F.col("unique_seller_count") <= most_sellers).select(
+        F.col("product_id").alias("_few"))
+    arrays = (pairs.join(few, F.col("product_id").eqNullSafe(F.col("_few")), "left_semi")
+              .groupBy(F.col("product_id").alias("_of"))
               .agg(F.sort_array(F.collect_list("seller_id")).alias("unique_sellers")))
-    # null is a product, too
-    sellers = counts.join(arrays, "product_id", "left").select(
+    sellers = counts.join(arrays, F.col("product_id").eqNullSafe(F.col("_of")), "left").select(
         F.col("product_id").alias("_product"), "unique_sellers", "unique_seller_count")
     totals = orders.groupBy("product_id").agg(*measures)
     empty = F.array().cast(f"array<{dict(orders.dtypes)['seller_id']}>")
     count = F.coalesce("unique_seller_count", F.lit(0)).alias("unique_seller_count")
-    return totals.join(sellers, F.col("product_id") == F.col("_product"), "left").select(
+    return totals.join(sellers, F.col("product_id").eqNullSafe(F.col("_product")), "left").select(
         *totals.columns, F.when(F.coalesce("unique_seller_count", F.lit(0)) <= most_sellers,
                                 F.coalesce("unique_sellers", empty)).alias("unique_sellers"),
         count)

@@ -121,15 +121,14 @@ def first_by_sequence(
     """
     keys, columns = list(keys), df.columns
     rest = [c for c in columns if c not in keys and c != sequence and c not in order_by]
-    least = df.groupBy(*keys).agg(
+    own = [f"_key{i}" for i in range(len(keys))]
+    least = df.groupBy(*[F.col(k).alias(x) for k, x in zip(keys, own)]).agg(
         F.min(sequence).alias("_least"), F.max(F.col(sequence).isNull()).alias("_missing"))
+    on = reduce(and_, [F.col(k).eqNullSafe(F.col(x)) for k, x in zip(keys, own)])
     # nulls come first
     wanted = F.when(~F.col("_missing"), F.col("_least"))
-    on = reduce(and_, [df[k].eqNullSafe(least[k]) for k in keys])
-    kept = df.join(least, on).where(df[sequence].eqNullSafe(wanted))
+    kept = df.join(least, on).where(F.col(sequence).eqNullSafe(wanted))
+    # rows that tie in every column are one
     number = F.row_number().over(
-        Window.partitionBy(*[df[k] for k in keys]).orderBy(*order_by, *rest))
-    numbered = kept.select(*[df[c] for c in columns], number.alias("_number")) \
-        if [*order_by, *rest] else kept.select(*[df[c] for c in columns]).distinct() \
-        .withColumn("_number", F.lit(1))
-    return numbered.where("_number = 1").select(*columns)
+        Window.partitionBy(*keys).orderBy(*(order_by or ()), *rest, sequence))
+    return kept.withColumn("_number", number).where("_number = 1").select(*columns)
