@@ -2,13 +2,12 @@
 
 The candidates are dealt into blocks, the queries into blocks, and every pair of blocks is
 one task's group, whose lists are the block's vectors sorted by each component. For a query
-the lists are read sequentially, from the end that its component's sign favours, to a depth
-that grows by rounds. A candidate's upper bound takes what was read of it, and the last read
-value of every list in which it has not been seen. Its lower bound takes the lists' least
-values instead; as these are weak for dense vectors, the leaders of a round (k times a factor)
-have their scores resolved, which are lower bounds too. Candidates whose upper bound is below
-the k-th lower bound leave, those seen nowhere included. Reading stops when few are left, and
-their final scores are resolved.
+the lists are read sequentially, a stretch of each at a time, from the end that its component's
+sign favours. What was read of a candidate is its partial score; its upper bound adds the last
+read value of every list in which it has not been seen, its lower bound those lists' least
+values. Candidates whose upper bound is below the k-th lower bound leave, those seen nowhere
+included, and reading stops when no outsider can qualify any more (or at the lists' ends, if
+scores tie). Then the scores of those that are left are resolved.
 
 Defined cases: vectors that are null, or hold null or non-finite components, take no part;
 a query without other candidates gives no rows; ties go to the smaller id; a vector whose
@@ -30,11 +29,10 @@ from ledgerloom.llm.common import ship
 K = 5
 CANDIDATES = 8192
 QUERIES = 512
-#: Shares of a list that have been read after each round.
-DEPTHS = (0.5, 0.65, 0.8, 1.0)
-#: Candidates that are left when their scores are resolved, and leaders per result.
-RESOLVED = 2048
-LEADERS = 4
+#: Stretches in which a list is read.
+STRETCHES = 16
+#: Sums of products below this are exact as doubles.
+EXACT = 1 << 53
 
 _ROWS = "query_id long, vec_id long, score long"
 
@@ -56,37 +54,58 @@ class Lists:
         # as rows of components, ascending and, for negative weights, read from the front
         self.order = np.argsort(self.vectors.T, axis=1, kind="stable")
         self.values = np.take_along_axis(self.vectors.T, self.order, axis=1)
+        self.most = int(np.abs(self.vectors).max(initial=0))
 
     def best(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Places and scores of the k best, ties to smaller ids, without the query's own."""
-        alive = np.flatnonzero(self.ids != own)
-        bar = None
-        for depth in DEPTHS:
-            if len(alive) <= max(RESOLVED, LEADERS * k):
+        bounds, alive = _Bounds(self, query), np.flatnonzero(self.ids != own)
+        step = max(1, -(-len(self.ids) // STRETCHES))
+        for at in range(0, len(self.ids), step):
+            if len(alive) <= k:
                 break
-            upper = self._upper(query, depth)[alive]
-            leaders = alive[np.argpartition(upper, -LEADERS * k)[-LEADERS * k:]]
-            scores = self.vectors[leaders] @ query
-            low = np.partition(scores, -k)[-k]
-            bar = low if bar is None else max(bar, low)
+            bounds.read(at, min(at + step, len(self.ids)))
+            lower, upper = bounds.of(alive)
+            bar = np.partition(lower, -k)[-k]
             alive = alive[upper >= bar]
         scores = self.vectors[alive] @ query
         first = np.lexsort((alive, -scores))[:k]
         return alive[first], scores[first]
 
-    def _upper(self, query: np.ndarray, depth: float) -> np.ndarray:
-        """Upper bounds after that share of every list has been read."""
-        n = len(self.ids)
-        read = min(n, int(np.ceil(depth * n)))
-        above, rest = np.zeros(n, np.int64), 0
-        for j in np.flatnonzero(query):
-            part = slice(0, read) if query[j] < 0 else slice(n - read, n)
-            products = self.values[j, part] * query[j]
-            last = products[-1] if query[j] < 0 else products[0]
-            products -= last
-            above[self.order[j, part]] += products
-            rest += last
-        return above + rest
+
+class _Bounds:
+    """What a query has read of the lists."""
+
+    def __init__(self, lists: Lists, query: np.ndarray):
+        used = np.flatnonzero(query)
+        self.down = used[query[used] > 0]  # read from the greatest value
+        self.up = used[query[used] < 0]
+        self.order, self.values, n = lists.order, lists.values, len(lists.ids)
+        self.weights = np.r_[query[self.down], query[self.up]]
+        kind = float if lists.most * int(np.abs(query).sum()) < EXACT else np.int64
+        self.partial = np.zeros(n, kind)
+        self.unseen = np.ones((n, len(self.weights)), kind)
+        self.last = np.zeros(len(self.weights), kind)
+        ends = np.r_[self.values[self.down, :1].ravel(), self.values[self.up, -1:].ravel()]
+        self.least = (ends * self.weights).astype(kind)
+
+    def read(self, start: int, end: int) -> None:
+        """Go on reading all lists, from one place to another."""
+        n = len(self.partial)
+        rows, values = (np.concatenate([
+            x[self.down, n - end:n - start][:, ::-1], x[self.up, start:end]])
+            for x in (self.order, self.values))
+        products = (values * self.weights[:, None]).astype(self.partial.dtype)
+        self.last = products[:, -1]
+        if self.partial.dtype == float:
+            self.partial += np.bincount(rows.ravel(), products.ravel(), n)
+        else:
+            np.add.at(self.partial, rows.ravel(), products.ravel())
+        self.unseen[rows, np.arange(len(rows))[:, None]] = 0
+
+    def of(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Lower and upper bounds of the candidates there."""
+        rest = self.unseen[places] @ np.stack([self.least, self.last], axis=1)
+        return self.partial[places] + rest[:, 0], self.partial[places] + rest[:, 1]
 
 
 def _search(table: pa.Table, k: int) -> pa.Table:

@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pytest
 
 import __spark_entry__ as entry
 from checks.compare import difference, duckdb_over
@@ -51,7 +52,6 @@ def test_awkward_rows(spark):
 
 
 def test_pruning_and_blocks(spark, monkeypatch):
-    monkeypatch.setattr(topk, "RESOLVED", 16)
     monkeypatch.setattr(topk, "CANDIDATES", 700)
     monkeypatch.setattr(topk, "QUERIES", 30)
     drawn = np.random.default_rng(1)
@@ -60,6 +60,54 @@ def test_pruning_and_blocks(spark, monkeypatch):
     assert got(df, 20, k=7) == plain(rows, 20, 7)
 
 
+@pytest.mark.parametrize("size", [8, 60, 500, 3000])
+def test_bounds_decide_at_every_size(size, monkeypatch):
+    drawn = np.random.default_rng(size)
+    vectors = (drawn.normal(size=(size, 64)) * 30).astype(np.int64)
+    lists, reads = topk.Lists(np.arange(size), vectors), []
+    read = topk._Bounds.read
+    monkeypatch.setattr(topk._Bounds, "read",
+                        lambda self, a, b: reads.append((a, b)) or read(self, a, b))
+    for own in range(0, size, max(1, size // 8)):
+        reads.clear()
+        at, scores = lists.best(vectors[own], own, 5)
+        every = vectors @ vectors[own]
+        expected = [i for i in np.lexsort((np.arange(size), -every)) if i != own][:5]
+        assert at.tolist() == expected and scores.tolist() == every[expected].tolist()
+        assert reads and reads[0][0] == 0
+        assert all(a[1] == b[0] for a, b in zip(reads, reads[1:]))  # sequentially
+
+
+def test_bounds_hold_while_reading():
+    drawn = np.random.default_rng(6)
+    vectors = drawn.integers(-40, 40, (200, 9))
+    lists, query = topk.Lists(np.arange(200), vectors), drawn.integers(-40, 40, 9)
+    bounds, exact = topk._Bounds(lists, query), vectors @ query
+    for at in range(0, 200, 13):
+        bounds.read(at, min(at + 13, 200))
+        lower, upper = bounds.of(np.arange(200))
+        assert (lower <= exact).all() and (exact <= upper).all()
+    assert (lower == exact).all() and (upper == exact).all()
+
+
+def test_reading_stops_early_where_scores_are_far_apart(monkeypatch):
+    vectors = np.zeros((4000, 6), np.int64)
+    vectors[:, 0] = np.arange(4000)
+    lists, reads = topk.Lists(np.arange(4000), vectors), []
+    read = topk._Bounds.read
+    monkeypatch.setattr(topk._Bounds, "read",
+                        lambda self, a, b: reads.append(b) or read(self, a, b))
+    at, _ = lists.best(np.array([3, 0, 0, 0, 0, 0]), 3999, 5)
+    assert at.tolist() == [3998, 3997, 3996, 3995, 3994] and reads[-1] < 4000
+
+
+def test_great_numbers_are_exact():
+    vectors = np.array([[1 << 28, 1], [(1 << 28) - 1, 1 << 28], [1 << 28, 2]])
+    lists = topk.Lists(np.arange(3), vectors)
+    at, scores = lists.best(np.array([1 << 28, 1]), -1, 2)
+    assert at.tolist() == [2, 0] and scores.tolist() == [(1 << 56) + 2, (1 << 56) + 1]
+
+
 def test_more_leaders_than_candidates():
     drawn = np.random.default_rng(2)
     lists = topk.Lists(np.arange(3000), drawn.integers(-50, 50, (3000, 6)))
