@@ -5,16 +5,20 @@ a document's fingerprint is the sum of its paragraphs' vectors, each lane modulo
 two. So the order of paragraphs does not matter, and paragraphs are inserted or deleted by
 adding or subtracting their vectors (``combined``). The vector has two parts:
 
-* identity: eight hashes of the whole paragraph, modulo 2^48 each;
-* likeness: the paragraph's pieces (words of a short paragraph, else clauses) hash to 128
-  bits each, and every bit is a lane modulo 2^14; four lanes share a long, with spare bits
-  between, so that no lane carries over. A further lane counts the pieces, modulo 2^48.
+* identity: six 64-bit hashes of the whole paragraph, cut into twelve lanes modulo 2^32;
+* likeness: each word of the paragraph (what stands between spaces) hashes to 128 bits, and every
+  bit is a lane modulo 2^30; two lanes share a long, with spare bits above each, so that no
+  lane carries over. A further lane counts the words, modulo 2^48.
+
+The sums are plain aggregates over the words of all texts, which shrink to one row per text
+in the task that reads it, so nothing but fingerprints is shuffled.
 
 The likeness of two fingerprints is the cosine of their centred lanes (each lane minus half
-the count), within 0 to 1, as estimated for the multisets of pieces.
+the count), within 0 to 1, as estimated for the multisets of words; a text may have fewer than
+2^30 words.
 
 Only built-in functions are used. Defined cases: a null text counts as empty; the empty text
-has one empty paragraph and no pieces; two fingerprints without pieces are alike (1) if they
+has one empty paragraph and no words; two fingerprints without words are alike (1) if they
 are equal, else 0. For ``edited``: a row without an id has no next document; of rows that
 repeat an id, the one with the least hash of its text is the next document of others, and all
 are kept; a single document follows itself; an empty table gives no rows.
@@ -22,68 +26,65 @@ are kept; a single document follows itself; an empty table gives no rows.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import stored, whole_text
 
-IDENTITY_LANES = 8
+#: 64-bit hashes of a paragraph, and of a word.
+IDENTITY_HASHES = 6
 HASHES = 2
-WORDS = 16  # longs of four lanes each, per hash of 64 bits
-#: Characters below which a paragraph's pieces are its words.
-SHORT = 300
-
-_IDENTITY_MASK = (1 << 48) - 1
-_ONES = 0x0001_0001_0001_0001
-_LANES = 0x3FFF_3FFF_3FFF_3FFF
-
-
-def _shifted(value: Column, bits: Column) -> Column:
-    return F.call_function("shiftright", value, bits)
 
+_HALF = (1 << 32) - 1
+_COUNT = (1 << 48) - 1
+#: One bit, and all bits but the spare ones, of both lanes of a long.
+_ONES = 0x0000_0001_0000_0001
+_LANES = 0x3FFF_FFFF_3FFF_FFFF
 
-def _pieces(paragraph: Column) -> Column:
-    words = F.split(paragraph, " ")
-    clauses = F.split(paragraph, "[.!?,;:]+ *")
-    return F.filter(F.when(F.length(paragraph) < SHORT, words).otherwise(clauses),
-                    lambda x: x != "")
 
+def _parts(text: Column, number: int) -> Column:
+    """The paragraphs and words of the text with that number."""
+    def tagged(parts: Column, whole: bool) -> Column:
+        return F.transform(parts, lambda x: F.struct(
+            F.lit(number).alias("number"), F.lit(whole).alias("whole"), x.alias("part")))
 
-def _summed(hashes: Column, lanes: int, step) -> Column:
-    """Lane by lane sums over an array of hashes."""
-    zero = F.array_repeat(F.lit(0).cast("long"), lanes)
-    return F.aggregate(hashes, zero, lambda sums, h: F.transform(
-        sums, lambda s, lane: step(s, h, lane)))
+    words = F.filter(F.split(F.translate(text, "\n", " "), " "), lambda x: x != "")
+    return F.concat(tagged(F.split(text, "\n"), True), tagged(words, False))
 
 
-def fingerprint(text: Column) -> Column:
-    """Struct of identity (array of longs), pieces (long) and lanes (array of longs)."""
-    paragraphs = F.split(text, "\n")
-    pieces = F.flatten(F.transform(paragraphs, _pieces))
-    identity = _summed(
-        paragraphs, IDENTITY_LANES,
-        lambda s, p, lane: (s + F.shiftrightunsigned(F.xxhash64(lane, p), 16))
-        .bitwiseAND(F.lit(_IDENTITY_MASK)))
+def fingerprints(rows: DataFrame, texts: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    """``keys``, the ``number`` of the text among ``texts``, and its fingerprint ``fp``: a struct of
+    identity (array of longs), pieces (long) and lanes (array of longs).
 
-    def hashed(number: int) -> Column:
-        return F.transform(pieces, lambda x: F.xxhash64(F.lit(number), x))
-
-    lanes = [
-        _summed(hashed(number), WORDS,
-                lambda s, h, lane: (s + _shifted(h, lane).bitwiseAND(F.lit(_ONES)))
-                .bitwiseAND(F.lit(_LANES)))
-        for number in range(HASHES)
-    ]
-    return F.struct(identity.alias("identity"), F.size(pieces).cast("long").alias("pieces"),
-                    F.concat(*lanes).alias("lanes"))
-
-
-def _lane_sum(x: Column, y: Column) -> Column:
-    return (x + y).bitwiseAND(F.lit(_LANES))
+    ``keys`` tell the rows apart.
+    """
+    parts = F.concat(*[_parts(F.coalesce(F.col(t), F.lit("")), n) for n, t in enumerate(texts)])
+    words = rows.select(*keys, F.explode(parts).alias("x")).select(
+        *keys, "x.number", "x.whole", *[
+            F.xxhash64(F.lit(n), "x.part").alias(f"hash{n}") for n in range(IDENTITY_HASHES)])
+    whole = [F.when(F.col("whole"), F.col(f"hash{n}")) for n in range(IDENTITY_HASHES)]
+    word = [F.when(~F.col("whole"), F.col(f"hash{n}")) for n in range(HASHES)]
+    sums = {f"identity{2 * n + high}": F.sum(
+        F.shiftrightunsigned(h, 32) if high else h.bitwiseAND(F.lit(_HALF)))
+        for n, h in enumerate(whole) for high in (0, 1)}
+    sums |= {f"lanes{32 * n + bit}": F.sum(F.shiftright(h, bit).bitwiseAND(F.lit(_ONES)))
+             for n, h in enumerate(word) for bit in range(32)}
+    summed = words.groupBy(*keys, "number").agg(
+        F.count_if(~F.col("whole")).alias("pieces"), *[v.alias(k) for k, v in sums.items()])
+
+    def lanes(kind: str, mask: int) -> Column:
+        return F.array(*[F.coalesce(k, F.lit(0)).bitwiseAND(F.lit(mask))
+                         for k in sums if k.startswith(kind)])
+
+    return summed.select(*keys, "number", F.struct(
+        lanes("identity", _HALF).alias("identity"), F.col("pieces"),
+        lanes("lanes", _LANES).alias("lanes")).alias("fp"))
 
 
 def _negative(lanes: Column) -> Column:
-    """Lane by lane, modulo: the complement plus one."""
+    """Both lanes, modulo: the complement plus one."""
     return (F.bitwise_not(lanes).bitwiseAND(F.lit(_LANES)) + F.lit(_ONES)) \
         .bitwiseAND(F.lit(_LANES))
 
@@ -93,11 +94,11 @@ def combined(a: Column, b: Column, remove: bool = False) -> Column:
     sign = -1 if remove else 1
     return F.struct(
         F.zip_with(a["identity"], b["identity"],
-                   lambda x, y: (x + sign * y).bitwiseAND(F.lit(_IDENTITY_MASK)))
-        .alias("identity"),
-        (a["pieces"] + sign * b["pieces"]).bitwiseAND(F.lit(_IDENTITY_MASK)).alias("pieces"),
+                   lambda x, y: (x + sign * y).bitwiseAND(F.lit(_HALF))).alias("identity"),
+        (a["pieces"] + sign * b["pieces"]).bitwiseAND(F.lit(_COUNT)).alias("pieces"),
         F.zip_with(a["lanes"], b["lanes"],
-                   lambda x, y: _lane_sum(x, _negative(y) if remove else y)).alias("lanes"))
+                   lambda x, y: (x + (_negative(y) if remove else y)).bitwiseAND(F.lit(_LANES)))
+        .alias("lanes"))
 
 
 def as_string(fp: Column) -> Column:
@@ -106,16 +107,16 @@ def as_string(fp: Column) -> Column:
         return F.lpad(F.lower(F.hex(x)), n, "0")
 
     return F.concat(
-        F.array_join(F.transform(fp["identity"], lambda x: digits(x, 12)), ""),
+        F.array_join(F.transform(fp["identity"], lambda x: digits(x, 8)), ""),
         digits(fp["pieces"], 12),
         F.array_join(F.transform(fp["lanes"], lambda x: digits(x, 16)), ""))
 
 
 def _centred(fp: Column) -> Column:
-    """Twice each lane minus the count of pieces."""
-    lanes = F.flatten(F.transform(fp["lanes"], lambda x: F.transform(
-        F.array(*(F.lit(16 * i) for i in range(4))),
-        lambda at: _shifted(x, at).bitwiseAND(F.lit(0x3FFF)))))
+    """Twice each lane minus the count of words."""
+    lanes = F.concat(
+        F.transform(fp["lanes"], lambda x: x.bitwiseAND(F.lit(_HALF))),
+        F.transform(fp["lanes"], lambda x: F.shiftright(x, 32)))
     return F.transform(lanes, lambda x: (2 * x - fp["pieces"]).cast("double"))
 
 
@@ -170,23 +171,32 @@ def with_edited(docs: DataFrame) -> DataFrame:
                 F.expr("left(body, take)").alias("start"), F.xxhash64("body").alias("order"))
         .groupBy("id", "next_id").agg(F.min_by("start", "order").alias("start"))
     )
-    alone = every.where("id IS NULL").select(
+    def whole(rows: DataFrame) -> DataFrame:
+        """Both texts of every row, told apart by ``keys``."""
+        cut = F.expr("left(body, length(body) - cast(floor(length(body) / 4) as int))")
+        start = F.substring(F.coalesce("start", F.lit("")), F.lit(1), take)
+        return rows.select(
+            F.col("id").alias("doc_id"), F.monotonically_increasing_id().alias("row"), "next_id",
+            F.length("body").cast("long").alias("n_chars"), F.xxhash64("body").alias("order"),
+            F.col("body").alias("text"), F.concat(cut, start).alias("edited")) \
+            .withColumn("digest", F.unhex(F.sha2("edited", 256)))
+
+    # the texts lie by id, and so do the sums over their words
+    keys = ["doc_id", "row", "next_id", "n_chars", "order", "digest"]
+    none = every.where("id IS NULL").select(
         "id", "body", F.lit(None).cast("long").alias("next_id"),
         F.lit(None).cast("string").alias("start"))
-    edited = (
-        texts.join(given, "id").unionByName(alone)
-        .select(F.col("id").alias("doc_id"), "next_id", F.col("body").alias("text"),
-                F.length("body").cast("long").alias("n_chars"),
-                F.concat(F.expr("left(body, length(body) - cast(floor(length(body) / 4) as int))"),
-                         F.substring(F.coalesce("start", F.lit("")), F.lit(1), take))
-                .alias("edited"))
-    )
-    made = stored(edited.select(
-        "doc_id", "next_id", "n_chars", F.xxhash64("text").alias("order"),
-        F.sha2("edited", 256).alias("edited_sha256"),
-        fingerprint(F.col("text")).alias("fp"), fingerprint(F.col("edited")).alias("edited_fp")),
-        "fingerprints")
-    following = (made.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("next_id"))
+    summed = [fingerprints(whole(x), ["text", "edited"], keys)
+              for x in (texts.join(given, "id"), none)]
+    both = summed[0].unionByName(summed[1])
+    # both fingerprints of a row into one: each is the only one of its number
+    made = stored(both, "fingerprints")
+    own = made.where("number = 0").withColumn("edited_sha256", F.lower(F.hex("digest")))
+    again = made.where("number = 1").select(
+        F.col("doc_id").alias("_doc"), F.col("row").alias("_row"), F.col("fp").alias("edited_fp"))
+    pairs = own.join(again, own["doc_id"].eqNullSafe(again["_doc"]) & (own["row"] == again["_row"]))
+    following = (made.where("number = 0 AND doc_id IS NOT NULL")
+                 .groupBy(F.col("doc_id").alias("next_id"))
                  .agg(F.min_by("fp", "order").alias("next_fp")))
-    return made.join(following, "next_id", "left").select(
+    return pairs.join(following, "next_id", "left").select(
         "doc_id", "n_chars", "edited_sha256", "fp", "edited_fp", "next_fp")

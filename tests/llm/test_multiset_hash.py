@@ -1,4 +1,7 @@
 import hashlib
+import math
+import random
+from collections import Counter
 
 from ledgerloom.llm import multiset_hash
 from pyspark.sql import functions as F
@@ -8,8 +11,22 @@ from tests.llm.helpers import PASSAGE, awkward, clashing, documents, sample
 
 def of(spark, *texts):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
-    made = df.select("i", multiset_hash.fingerprint(F.col("text")).alias("fp"))
-    return {r.i: r.fp for r in made.collect()}
+    return {r.i: r.fp for r in multiset_hash.fingerprints(df, ["text"], ["i"]).collect()}
+
+
+def near(spark, *pairs):
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, a string, b string")
+    made = multiset_hash.fingerprints(df, ["a", "b"], ["i"])
+    a = made.where("number = 0").select("i", F.col("fp").alias("x"))
+    b = made.where("number = 1").select("i", F.col("fp").alias("y"))
+    both = a.join(b, "i").select("i", multiset_hash.likeness(F.col("x"), F.col("y")).alias("near"))
+    return [r.near for r in sorted(both.collect())]
+
+
+def cosine(a, b):
+    x, y = Counter(a.split()), Counter(b.split())
+    norms = sum(v * v for v in x.values()) * sum(v * v for v in y.values())
+    return sum(x[w] * y[w] for w in x) / math.sqrt(norms)
 
 
 def edited(rows):
@@ -44,26 +61,49 @@ def test_order_does_not_matter_and_paragraphs_add(spark):
     fps = of(spark, "first one\nsecond one\nthird", "third\nfirst one\nsecond one",
              "first one\nsecond one", "third", "first one\nsecond one\nthird\nthird")
     assert fps[0] == fps[1] != fps[4]
-    df = spark.createDataFrame([(1,)], "one int")
-
-    def fp(text):
-        return multiset_hash.fingerprint(F.lit(text))
-
-    added = multiset_hash.combined(fp("first one\nsecond one"), fp("third"))
-    less = multiset_hash.combined(fp("first one\nsecond one\nthird"), fp("third"), remove=True)
-    r = df.select(added.alias("added"), less.alias("less")).first()
+    df = spark.createDataFrame(
+        [(0, "first one\nsecond one"), (1, "third"), (2, "first one\nsecond one\nthird")],
+        "i int, text string")
+    made = multiset_hash.fingerprints(df, ["text"], ["i"])
+    x, y, z = (made.where(f"i = {n}").select(F.col("fp").alias(f"fp{n}")) for n in range(3))
+    r = x.join(y).join(z).select(
+        multiset_hash.combined(F.col("fp0"), F.col("fp1")).alias("added"),
+        multiset_hash.combined(F.col("fp2"), F.col("fp1"), remove=True).alias("less")).first()
     assert r.added == fps[0]
     assert r.less == fps[2]
 
 
 def test_likeness_bounds(spark):
-    df = spark.createDataFrame([(PASSAGE, PASSAGE), (PASSAGE, "other words entirely here"),
-                                ("", ""), ("", "a"), (PASSAGE, PASSAGE + "More of it.")],
-                               "a string, b string")
-    near = [r[0] for r in df.select(multiset_hash.likeness(
-        multiset_hash.fingerprint(F.col("a")), multiset_hash.fingerprint(F.col("b")))).collect()]
-    assert near[0] == near[2] == 1.0 and near[3] == 0.0
-    assert near[1] < 0.4 < near[4] < 1
+    found = near(spark, (PASSAGE, PASSAGE), (PASSAGE, "other words entirely here"), ("", ""),
+                 ("", "a"), (PASSAGE, PASSAGE + "More of it."))
+    assert found[0] == found[2] == 1.0 and found[3] == 0.0
+    assert found[1] < 0.4 < 0.9 < found[4] < 1
+
+
+def test_likeness_is_the_cosine_of_word_counts(spark):
+    drawn = random.Random(8)
+    pairs = []
+    for share in (0.0, 0.2, 0.4, 0.6, 0.8, 0.9, 0.97) * 6:
+        words = [f"w{drawn.randrange(10**6)}" for _ in range(400)]
+        other = [w if drawn.random() < share else f"v{drawn.randrange(10**6)}" for w in words]
+        drawn.shuffle(other)
+        pairs.append((" ".join(words), "\n".join(other)))
+    found = near(spark, *pairs)
+    # 128 lanes: a standard error of (1 - cosine ** 2) / sqrt(128)
+    for (a, b), estimate in zip(pairs, found):
+        exact = cosine(a, b)
+        assert abs(estimate - exact) < 4.5 * (1 - exact**2) / math.sqrt(128) + 0.02
+
+
+def test_long_texts_and_any_paragraph_length(spark):
+    one = " ".join(f"a{i}" for i in range(40_000))
+    two = " ".join(f"b{i}" for i in range(40_000))
+    for n in (290, 298, 299, 300, 5000):
+        line = ("word%d " * n % tuple(range(n)))[:n]
+        found = near(spark, (line, line + "x"), (line, line + "xyz"))
+        assert min(found) > 0.9
+    unlike, like = near(spark, (one, two), (one, one + " end"))
+    assert unlike < 0.3 and like > 0.99
 
 
 def test_awkward_rows(spark):
