@@ -188,15 +188,13 @@ def with_edited(docs: DataFrame) -> DataFrame:
         F.lit(None).cast("string").alias("start"))
     summed = [fingerprints(whole(x), ["text", "edited"], keys)
               for x in (texts.join(given, "id"), none)]
-    both = summed[0].unionByName(summed[1])
-    # both fingerprints of a row into one: each is the only one of its number
-    made = stored(both, "fingerprints")
-    own = made.where("number = 0").withColumn("edited_sha256", F.lower(F.hex("digest")))
-    again = made.where("number = 1").select(
-        F.col("doc_id").alias("_doc"), F.col("row").alias("_row"), F.col("fp").alias("edited_fp"))
-    pairs = own.join(again, own["doc_id"].eqNullSafe(again["_doc"]) & (own["row"] == again["_row"]))
-    following = (made.where("number = 0 AND doc_id IS NOT NULL")
-                 .groupBy(F.col("doc_id").alias("next_id"))
+    # both fingerprints of a row into one, where the sums are: nothing is shuffled for it
+    paired = [x.groupBy(*keys).agg(
+        F.max(F.when(F.col("number") == 0, F.col("fp"))).alias("fp"),
+        F.max(F.when(F.col("number") == 1, F.col("fp"))).alias("edited_fp")) for x in summed]
+    made = stored(paired[0].unionByName(paired[1]).drop("row"), "fingerprints")
+    following = (made.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("next_id"))
                  .agg(F.min_by("fp", "order").alias("next_fp")))
-    return pairs.join(following, "next_id", "left").select(
-        "doc_id", "n_chars", "edited_sha256", "fp", "edited_fp", "next_fp")
+    return made.drop("order").join(following, "next_id", "left").select(
+        "doc_id", "n_chars", F.lower(F.hex("digest")).alias("edited_sha256"), "fp", "edited_fp",
+        "next_fp")
