@@ -20,6 +20,7 @@ from unicodedata import normalize
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +35,8 @@ END_ID = 0
 #: Entries of a task's word cache, in each of two generations.
 CACHED_WORDS = 500_000
 LONGEST_CACHED = 64
+#: Bytes of texts that are looked up at once (a longer text alone).
+PART_BYTES = 8 << 20
 
 PIECES = ("doc_id long, piece int, start long, length long, ids_crc32 long, ids binary, "
           "sequence_id long, offset long, loose boolean")
@@ -179,8 +182,13 @@ def _pieces(batches, tokenizer: str, capacity: int, with_ids: bool) -> Iterator[
     words = word_ids(tokenizer)
     try:
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                yield _cut(words, batch.slice(at, 512), capacity, with_ids)
+            sizes = pa.compute.binary_length(batch.column(1)).fill_null(0)
+            sums, at = np.cumsum(np.array(sizes, np.int64)), 0
+            while at < batch.num_rows:
+                spent = int(sums[at - 1]) if at else 0
+                end = max(at + 1, int(np.searchsorted(sums, spent + PART_BYTES, "right")))
+                yield _cut(words, batch.slice(at, end - at), capacity, with_ids)
+                at = end
     finally:  # workers live on between tasks and stages
         words.forget()
         released()
