@@ -33,10 +33,10 @@ MERGED_BINS = 65536
 MERGED_TASKS = 32
 END_ID = 0
 #: Entries of a task's word cache, in each of two generations.
-CACHED_WORDS = 500_000
+CACHED_WORDS = 300_000
 LONGEST_CACHED = 64
 #: Bytes of texts that are looked up at once (a longer text alone).
-PART_BYTES = 8 << 20
+PART_BYTES = 4 << 20
 
 PIECES = ("doc_id long, piece int, start long, length long, ids_crc32 long, ids binary, "
           "sequence_id long, offset long, loose boolean")
