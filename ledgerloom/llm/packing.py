@@ -33,10 +33,10 @@ MERGED_BINS = 65536
 MERGED_TASKS = 32
 END_ID = 0
 #: Entries of a task's word cache, in each of two generations.
-CACHED_WORDS = 300_000
+CACHED_WORDS = 500_000
 LONGEST_CACHED = 64
 #: Bytes of texts that are looked up at once (a longer text alone).
-PART_BYTES = 4 << 20
+PART_BYTES = 8 << 20
 
 PIECES = ("doc_id long, piece int, start long, length long, ids_crc32 long, ids binary, "
           "sequence_id long, offset long, loose boolean")
@@ -61,6 +61,7 @@ class WordIds:
         self._tokenizer = Tokenizer.from_file(path)
         self._merges = self._tokenizer.model
         self._four = [x.to_bytes(4, "little") for x in range(self._tokenizer.get_vocab_size())]
+        self.most = CACHED_WORDS
         self.forget()
 
     def forget(self) -> None:
@@ -102,7 +103,7 @@ class WordIds:
 
     def of(self, texts: list[str]) -> list[bytes]:
         split = [x.replace("\n", " ").split(" ") for x in texts]
-        if len(self._young) > CACHED_WORDS:
+        if len(self._young) > self.most:
             self._young, self._old = {"": b""}, self._young
         young, old = self._young, self._old
         missing = set().union(*split).difference(young)
@@ -178,15 +179,17 @@ def _numbered(task: int, number: int) -> int:
     return task << 32 | number
 
 
-def _pieces(batches, tokenizer: str, capacity: int, with_ids: bool) -> Iterator[dict[str, list]]:
+def _pieces(batches, tokenizer: str, capacity: int, with_ids: bool, part_bytes: int,
+            cached_words: int) -> Iterator[dict[str, list]]:
     words = word_ids(tokenizer)
+    words.most = cached_words
     try:
         for batch in batches:
             sizes = pa.compute.binary_length(batch.column(1)).fill_null(0)
             sums, at = np.cumsum(np.array(sizes, np.int64)), 0
             while at < batch.num_rows:
                 spent = int(sums[at - 1]) if at else 0
-                end = max(at + 1, int(np.searchsorted(sums, spent + PART_BYTES, "right")))
+                end = max(at + 1, int(np.searchsorted(sums, spent + part_bytes, "right")))
                 yield _cut(words, batch.slice(at, end - at), capacity, with_ids)
                 at = end
     finally:  # workers live on between tasks and stages
@@ -243,16 +246,19 @@ def _pack(tables: Iterator[dict[str, list]], capacity: int, most: int, loosen: b
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, open_bins: int = OPEN_BINS,
-         with_ids: bool = False) -> DataFrame:
+         with_ids: bool = False, part_bytes: int = PART_BYTES,
+         cached_words: int = CACHED_WORDS) -> DataFrame:
     """Pieces of every document with their sequence and place; ``ids`` only on request.
 
+    ``part_bytes`` and ``cached_words`` bound a task's memory; results do not depend on them.
     ``tokenizer`` is a tokenizer file that every executor can read at that path.
     """
     spark = docs.sparkSession
     ship(spark)
 
     def first(batches):
-        yield from _pack(_pieces(batches, tokenizer, capacity, with_ids), capacity, open_bins, True)
+        parts = _pieces(batches, tokenizer, capacity, with_ids, part_bytes, cached_words)
+        yield from _pack(parts, capacity, open_bins, True)
 
     def again(batches):
         names = ("doc_id", "piece", "start", "length", "ids_crc32", "ids")
