@@ -44,7 +44,9 @@ def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents' tokens, with their sequences and places."""
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    # the workers still hold what the stages before left in them
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"),
+                        part_bytes=2 << 20, cached_words=300_000)
 
 
 STAGES = [
