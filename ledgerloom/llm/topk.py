@@ -1,9 +1,11 @@
 """Exact top-k inner products by no-random-access aggregation.
 
 The candidates are dealt into blocks, the queries into blocks, and every pair of blocks is
-one task's group, whose lists are the block's vectors sorted by each component. For a query
-the lists are read sequentially, a stretch of each at a time, from the end that its component's
-sign favours. What was read of a candidate is its partial score; its upper bound adds the last
+one task's group, whose lists are the block's vectors sorted by each component. The lists are
+read sequentially, a stretch of each at a time, for all queries of the group side by side, from
+both ends: a query takes the end that its component's sign favours. What was read of a candidate
+is its partial score (for all candidates and queries one matrix product of what was read and
+the queries, while many candidates are left); its upper bound adds the last
 read value of every list in which it has not been seen, its lower bound those lists' least
 values. Candidates whose upper bound is below the k-th lower bound leave, those seen nowhere
 included, and reading stops when no outsider can qualify any more (or at the lists' ends, if
@@ -31,8 +33,10 @@ CANDIDATES = 8192
 QUERIES = 512
 #: Stretches in which a list is read.
 STRETCHES = 16
-#: Sums of products below this are exact as doubles.
-EXACT = 1 << 53
+#: Whole numbers below these are exact as floats and as doubles.
+SINGLE, DOUBLE = 1 << 24, 1 << 53
+#: Queries with at most this share of the candidates left are followed one by one.
+FEW = 8
 
 _ROWS = "query_id long, vec_id long, score long"
 
@@ -58,54 +62,80 @@ class Lists:
 
     def best(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Places and scores of the k best, ties to smaller ids, without the query's own."""
-        bounds, alive = _Bounds(self, query), np.flatnonzero(self.ids != own)
-        step = max(1, -(-len(self.ids) // STRETCHES))
-        for at in range(0, len(self.ids), step):
-            if len(alive) <= k:
+        return self.best_of(query[None, :], np.array([own]), k)[0]
+
+    def best_of(self, queries: np.ndarray, owns: np.ndarray,
+                k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The same for each of several queries."""
+        n = len(self.ids)
+        bounds, alive = _Bounds(self, queries), self.ids[None, :] != owns[:, None]
+        many = np.flatnonzero(alive.sum(axis=1) > k)
+        few: dict[int, np.ndarray] = {}
+        step = max(1, -(-n // STRETCHES))
+        for at in range(0, n, step):
+            if not len(many) and all(len(places) <= k for places in few.values()):
                 break
-            bounds.read(at, min(at + step, len(self.ids)))
-            lower, upper = bounds.of(alive)
-            bar = np.partition(lower, -k)[-k]
-            alive = alive[upper >= bar]
-        scores = self.vectors[alive] @ query
-        first = np.lexsort((alive, -scores))[:k]
-        return alive[first], scores[first]
+            bounds.read(at, min(at + step, n))
+            for query, places in few.items():
+                if len(places) > k:
+                    lower, upper = bounds.of(places, query)
+                    few[query] = places[upper >= np.partition(lower, -k)[-k]]
+            if len(many):
+                lower, upper = bounds.of(slice(None), many)
+                lower[~alive[many]] = lower.min() - 1  # less than that of any outsider
+                bar = np.partition(lower, n - k, axis=1)[:, n - k]
+                alive[many] &= upper >= bar[:, None]
+                left = alive[many].sum(axis=1) <= max(k, n // FEW)
+                few |= {query: np.flatnonzero(alive[query]) for query in many[left]}
+                many = many[~left]
+        return [self._resolved(few.get(i, np.flatnonzero(alive[i])), query, k)
+                for i, query in enumerate(queries)]
+
+    def _resolved(self, places: np.ndarray, query: np.ndarray,
+                  k: int) -> tuple[np.ndarray, np.ndarray]:
+        scores = self.vectors[places] @ query
+        first = np.lexsort((places, -scores))[:k]
+        return places[first], scores[first]
 
 
 class _Bounds:
-    """What a query has read of the lists."""
-
-    def __init__(self, lists: Lists, query: np.ndarray):
-        used = np.flatnonzero(query)
-        self.down = used[query[used] > 0]  # read from the greatest value
-        self.up = used[query[used] < 0]
-        self.order, self.values, n = lists.order, lists.values, len(lists.ids)
-        self.weights = np.r_[query[self.down], query[self.up]]
-        kind = float if lists.most * int(np.abs(query).sum()) < EXACT else np.int64
-        self.partial = np.zeros(n, kind)
-        self.unseen = np.ones((n, len(self.weights)), kind)
-        self.last = np.zeros(len(self.weights), kind)
-        ends = np.r_[self.values[self.down, :1].ravel(), self.values[self.up, -1:].ravel()]
-        self.least = (ends * self.weights).astype(kind)
+    """What queries have read of the lists.
+
+    Rows are candidates. Columns come twice, for lists read from their greatest values (weights
+    above zero) and from their least: the values read so far, and ones for what is unread.
+    """
+
+    def __init__(self, lists: Lists, queries: np.ndarray):
+        queries = np.atleast_2d(queries)
+        sums = lists.most * int(np.abs(queries).sum(axis=1).max(initial=0))
+        kind = (np.float32 if 2 * sums < SINGLE else float if 2 * sums < DOUBLE else np.int64)
+        self.order, self.values = lists.order, lists.values
+        n, d = len(lists.ids), queries.shape[1]
+        self.weights = np.hstack([np.maximum(queries, 0), np.minimum(queries, 0)]).astype(kind)
+        self.read_values, self.unread = np.zeros((n, 2 * d), kind), np.ones((n, 2 * d), kind)
+        self.least = self._ends(0, n - 1)
+        self.gap = np.zeros_like(self.least)
+
+    def _ends(self, down: int, up: int) -> np.ndarray:
+        """The queries' products with what stands at these places of the lists."""
+        return np.r_[self.values[:, down], self.values[:, up]].astype(
+            self.weights.dtype) * self.weights
 
     def read(self, start: int, end: int) -> None:
         """Go on reading all lists, from one place to another."""
-        n = len(self.partial)
-        rows, values = (np.concatenate([
-            x[self.down, n - end:n - start][:, ::-1], x[self.up, start:end]])
-            for x in (self.order, self.values))
-        products = (values * self.weights[:, None]).astype(self.partial.dtype)
-        self.last = products[:, -1]
-        if self.partial.dtype == float:
-            self.partial += np.bincount(rows.ravel(), products.ravel(), n)
-        else:
-            np.add.at(self.partial, rows.ravel(), products.ravel())
-        self.unseen[rows, np.arange(len(rows))[:, None]] = 0
-
-    def of(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Lower and upper bounds of the candidates there."""
-        rest = self.unseen[places] @ np.stack([self.least, self.last], axis=1)
-        return self.partial[places] + rest[:, 0], self.partial[places] + rest[:, 1]
+        d, n = self.order.shape
+        lists = np.arange(d)[:, None]
+        for part, column in ((slice(n - end, n - start), lists), (slice(start, end), lists + d)):
+            rows = self.order[:, part]
+            self.read_values[rows, column] = self.values[:, part]
+            self.unread[rows, column] = 0
+        self.gap = self._ends(n - end, end - 1) - self.least
+
+    def of(self, places, queries=0) -> tuple[np.ndarray, np.ndarray]:
+        """Lower and upper bounds of the candidates there, for one or several queries."""
+        unread = self.unread[places].T
+        lower = self.weights[queries] @ self.read_values[places].T + self.least[queries] @ unread
+        return lower, lower + self.gap[queries] @ unread
 
 
 def _search(table: pa.Table, k: int) -> pa.Table:
@@ -122,8 +152,8 @@ def _search(table: pa.Table, k: int) -> pa.Table:
         if asked.all():
             continue
         lists = Lists(ids[rows][~asked], vectors[~asked])
-        for own, query in zip(ids[rows][asked], vectors[asked]):
-            at, scores = lists.best(query, own, k)
+        owns, queries = ids[rows][asked], vectors[asked]
+        for own, (at, scores) in zip(owns, lists.best_of(queries, owns, k)):
             for column, values in zip(found, (np.full(len(at), own), lists.ids[at], scores)):
                 column.append(values)
     names = ("query_id", "vec_id", "score")
