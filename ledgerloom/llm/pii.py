@@ -1,19 +1,25 @@
 """Personal data: exact patterns, and identifiers that their contexts reveal.
 
 Emails, addresses, card and phone numbers that match fixed patterns are the seeds. The word
-before a seed is a lexical pattern of the seed's kind. Other tokens with a digit or an at
-sign are candidates. Patterns and the instances (strings) that they extract form a graph,
-scored in rounds: an instance that is a seed counts one; a pattern's confidence is the sum of
-its instances' scores over all tokens that follow its word anywhere in the corpus; a
-candidate's score is the chance that not all of its patterns are wrong. Candidates with a
-high score after a pattern of high confidence and support are added as spans of its kind.
+before an instance is a lexical pattern of the instance's kind. Tokens with a digit or an at
+sign, with the groups of digits that follow them, are candidates. Patterns and the instances
+(strings) that they extract form a graph, scored in rounds: seeds count one, accepted candidates
+their score; a word's confidence for a kind is the sum of its instances' scores over all tokens
+that follow it anywhere in the corpus; it is a pattern if it has enough distinct instances and
+confidence; a candidate's score is the chance that not all patterns before it are wrong, and
+those with a high score are accepted. So the candidates that one round accepts induce the
+next one's patterns at all their other places, and those find further candidates. At the end
+accepted strings are added as spans of their kind wherever they stand; short ones, which may
+mean something else elsewhere, only behind a pattern.
 
 Only built-in functions are used: matches are wrapped in marks, the text is split at them,
 and the pieces' lengths give the places (code points, end exclusive).
 
 Defined cases: a null or empty text has no spans; a very long text is searched whole (the
 patterns are written so that none backtracks over a run); rows with a null or repeated doc_id
-are searched each; an empty table gives no rows; no column name of the input is special but
+are searched each; an empty table gives no rows; candidates have five code points at least; the word
+before is the one of at most 40 code points that ends, with white space, the 60 before an instance,
+and without one there is no pattern; no column name of the input is special but
 ``doc_id``, ``text`` and those of the results, which replace it.
 """
 
@@ -35,13 +41,18 @@ PATTERNS = {
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
 NEEDED = {"email": "@", "phone": "+"}
-CANDIDATE = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
+CANDIDATE = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+(?:(?<=[0-9)]) \(?[0-9]\S*+)*+"
 MARK, OTHER, HIDDEN = "\u0001", "\u0002", "\u0003"
 #: Pieces whose lengths are summed at once.
 BLOCK = 256
 LEFT = 60
 LONGEST_WORD = 40
-#: Distinct seeds that a pattern needs, its least confidence, an instance's least score.
+LEAST_LENGTH = 5
+#: Longer strings are compared by their hash.
+PLAIN_LENGTH = 120
+#: Letters and digits of a string that is marked away from patterns, too.
+TELLING = 7
+#: Distinct instances that a pattern needs, its least confidence, an instance's least score.
 SUPPORT, CONFIDENCE, SCORE = 3, 0.6, 0.6
 ROUNDS = 3
 BUCKETS = 1 << 16
@@ -159,7 +170,8 @@ def _hidden(text: Column) -> Column:
 
 
 def _candidates(text: Column, spans: Column) -> Column:
-    """Tokens with a digit or an at sign, without outer punctuation, beside the spans."""
+    """Tokens with a digit or an at sign, and groups of digits behind them, without outer
+    punctuation, beside the spans."""
     shown = F.when(F.size(spans) > 0, _hidden(_clear(text))).otherwise(_clear(text))
 
     def trimmed(x: Column) -> Column:
@@ -171,7 +183,12 @@ def _candidates(text: Column, spans: Column) -> Column:
 
     return F.filter(F.transform(_matches(shown, CANDIDATE), trimmed),
                     lambda x: ~F.contains(x["value"], F.lit(HIDDEN))
-                    & (F.length(x["value"]) >= 5) & (F.length(x["value"]) <= 2 * LEFT))
+                    & (F.length(x["value"]) >= LEAST_LENGTH))
+
+
+def _key(value: Column) -> Column:
+    return F.when(F.length(value) > PLAIN_LENGTH, F.concat(F.lit(MARK), F.sha2(value, 256))) \
+        .otherwise(value)
 
 
 def _word_before(left: Column) -> Column:
@@ -184,55 +201,74 @@ def _bucket(word: Column) -> Column:
     return F.pmod(F.xxhash64(word), F.lit(BUCKETS)).cast("int")
 
 
-def _followers(docs: DataFrame, patterns: DataFrame) -> DataFrame:
-    """How many tokens follow each pattern's word in the corpus.
+def _followers(docs: DataFrame, words: DataFrame) -> DataFrame:
+    """How many tokens follow each of the words in the corpus.
 
-    Words whose hash falls in no pattern's bucket leave before the count; the buckets are a
-    bitmap of fixed size.
+    Words whose hash falls in no wanted word's bucket leave before the count; the buckets are
+    a bitmap of fixed size.
     """
-    used = {r[0] for r in patterns.select(_bucket(F.col("word"))).distinct().collect()}
+    used = {r[0] for r in words.select(_bucket(F.col("word"))).distinct().collect()}
     bitmap = F.lit(bytearray(1 if i in used else 0 for i in range(BUCKETS)))
-    words = docs.select(F.explode(F.split(F.lower(whole_text()), r"\s+")).alias("word"))
-    return (words.where(F.length("word").between(1, LONGEST_WORD))
+    counted = docs.select(F.explode(F.split(F.lower(whole_text()), r"\s+")).alias("word"))
+    return (counted.where(F.length("word").between(1, LONGEST_WORD))
             .where(F.substring(bitmap, _bucket(F.col("word")) + 1, F.lit(1))
                    == F.lit(bytearray([1])))
-            .groupBy("word").agg(F.count("*").alias("followers")))
+            .groupBy("word").agg(F.count("*").alias("followers"))
+            .join(words, "word", "left_semi"))
+
+
+def _patterns(instances: DataFrame, followers: DataFrame) -> DataFrame:
+    """kind, word, confidence of the words with enough instances: kind, word, key, times, score."""
+    return (instances.groupBy("kind", "word")
+            .agg(F.count("*").alias("support"), F.sum(F.col("times") * F.col("score")).alias("n"))
+            .where(F.col("support") >= SUPPORT).join(followers, "word")
+            .select("kind", "word", F.least(F.lit(1.0), F.col("n") / F.col("followers"))
+                    .alias("confidence"))
+            .where(F.col("confidence") >= CONFIDENCE))
+
+
+def _accepted(edges: DataFrame, patterns: DataFrame) -> DataFrame:
+    """key, kind and score of the candidates that the patterns before them make likely."""
+    wrong = F.sum(F.log(F.greatest(F.lit(1e-12), 1 - F.col("confidence"))))
+    return (edges.join(patterns, "word").groupBy("key", "kind")
+            .agg((1 - F.exp(wrong)).alias("score")).where(F.col("score") >= SCORE)
+            .groupBy("key").agg(F.max(F.struct("score", "kind")).alias("best"))
+            .select("key", "best.kind", "best.score"))
 
 
 def _discovered(docs: DataFrame, found: DataFrame) -> DataFrame:
     """Spans that the contexts reveal: row, kind, start, end."""
-    seeds = found.select("_row", F.explode("_spans").alias("x")) \
-        .select(F.col("x.kind").alias("kind"), F.col("x.value").alias("value"),
-                _word_before(F.col("x.left")).alias("word")).where("word <> ''")
-    others = found.select("_row", F.explode("_candidates").alias("x")) \
-        .select("_row", "x.start", "x.end", F.col("x.value").alias("value"),
-                _word_before(F.col("x.left")).alias("word")).where("word <> ''")
-    by_seed = seeds.groupBy("kind", "word", "value").agg(F.count("*").alias("n"))
-    patterns = stored(
-        by_seed.groupBy("kind", "word").agg(F.count("*").alias("support"), F.sum("n").alias("n"))
-        .where(F.col("support") >= SUPPORT), "patterns")
-    patterns = stored(patterns.join(_followers(docs, patterns), "word"), "patterns")
-    # edges between patterns and candidates, once per pair
-    edges = stored(
-        others.groupBy("word", "value").agg(F.count("*").alias("times"))
-        .join(patterns.select("kind", "word", "n", "support", "followers"), "word"), "graph")
-    scored = edges.withColumn("score", F.lit(0.0))
+    def before(x: str) -> Column:
+        return _word_before(F.col(f"{x}.left")).alias("word")
+
+    seeds = (
+        found.select(F.explode("_spans").alias("x"))
+        .select("x.kind", _key(F.col("x.value")).alias("key"), before("x")).where("word <> ''")
+        .groupBy("kind", "word", "key").agg(F.count("*").alias("times"))
+        .withColumn("score", F.lit(1.0))
+    )
+    places = found.select("_row", F.explode("_candidates").alias("x")).select(
+        "_row", "x.start", "x.end", _key(F.col("x.value")).alias("key"), before("x"),
+        (F.length(F.regexp_replace("x.value", r"[^\p{L}\p{N}]", "")) >= TELLING).alias("telling"))
+    seeds = stored(seeds, "seeds")
+    edges = stored(places.where("word <> ''").groupBy("word", "key")
+                   .agg(F.count("*").alias("times")), "edges")
+    # words that any round could take as patterns
+    words = stored(
+        seeds.select("word", "key").unionByName(edges.select("word", "key")).distinct()
+        .groupBy("word").agg(F.count("*").alias("instances"))
+        .where(F.col("instances") >= SUPPORT).select("word"), "words")
+    followers = stored(_followers(docs, words), "followers")
+    edges = edges.join(words, "word", "left_semi")
+    accepted, patterns = None, None
     for _ in range(ROUNDS):
-        confidence = (
-            scored.groupBy("kind", "word", "n", "followers")
-            .agg(F.sum(F.col("times") * F.col("score")).alias("more"))
-            .select("kind", "word", F.least(F.lit(1.0), (F.col("n") + F.col("more"))
-                                            / F.col("followers")).alias("confidence"))
-        )
-        with_confidence = edges.join(confidence, ["kind", "word"])
-        scores = with_confidence.groupBy("kind", "value").agg(
-            (1 - F.exp(F.sum(F.log(F.greatest(F.lit(1e-12), 1 - F.col("confidence"))))))
-            .alias("score"))
-        scored = stored(with_confidence.join(scores, ["kind", "value"]), "scores")
-    chosen = (scored.where((F.col("confidence") >= CONFIDENCE) & (F.col("score") >= SCORE))
-              .groupBy("word", "value")
-              .agg(F.max_by("kind", F.struct("confidence", "kind")).alias("kind")))
-    return others.join(chosen, ["word", "value"]).select("_row", "kind", "start", "end")
+        instances = seeds if accepted is None else seeds.unionByName(
+            edges.join(accepted, "key").select(*seeds.columns))
+        patterns = stored(_patterns(instances, followers), "patterns")
+        accepted = stored(_accepted(edges, patterns), "accepted")
+    behind = patterns.select("word", "kind", F.lit(True).alias("behind"))
+    return (places.join(accepted, "key").join(behind, ["word", "kind"], "left")
+            .where(F.col("telling") | F.col("behind")).select("_row", "kind", "start", "end"))
 
 
 def detect(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
