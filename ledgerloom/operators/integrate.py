@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import partial
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.operators.lookup import hot_keys, lookup_join, one_row_per_key
+from ledgerloom.operators.lookup import (
+    hot_among, hot_keys, key_counts, lookup_join, one_row_per_key,
+)
 from ledgerloom.sources.contracts import ORDER_GRAIN
 
 # Natural order of the rows that compete for one order or one zip prefix. All
@@ -38,16 +40,19 @@ def with_customers(rows: DataFrame, customers: DataFrame) -> DataFrame:
     return lookup_join(rows, customers, ["customer_id"])
 
 
-def with_geolocation(rows: DataFrame, geolocation: DataFrame) -> DataFrame:
+def with_geolocation(
+    rows: DataFrame, geolocation: DataFrame, hot: Callable[[], DataFrame] | None = None
+) -> DataFrame:
     """Add the first geolocation row of the customer's zip prefix, if there is one.
 
     A zip prefix has many points. Reducing them before the join gives what a join
     followed by one row per order would keep, without multiplying the rows first.
+    ``hot`` as for ``lookup_join``.
     """
     zip_code = "customer_zip_code_prefix"
     points = one_row_per_key(geolocation, ["geolocation_zip_code_prefix"])
     keyed = points.withColumn(zip_code, F.col("geolocation_zip_code_prefix"))
-    return lookup_join(rows, keyed, [zip_code], "left")
+    return lookup_join(rows, keyed, [zip_code], "left", hot=hot)
 
 
 def with_categories(rows: DataFrame, categories: DataFrame) -> DataFrame:
@@ -91,6 +96,8 @@ def integrate(
     order, which the choices and joins between them share. ``stored_by_order`` states that these
     four lie in buckets of the order already (``writers.save_by_order``): then, while the other
     tables are small enough for Spark to broadcast, none of them is shuffled.
+
+    Hot keys of salted joins are counted in the base tables, so no join runs once more for them.
     """
     wanted = None if columns is None else set(columns)
 
@@ -113,17 +120,17 @@ def integrate(
         hot = partial(hot_keys, items, [key])
         rows = lookup_join(rows, side.select(key), [key], "left_semi", hot=hot)
         if needs(side, key):
-            attributes.append((one_row_per_key(side, [key]), key))
+            attributes.append((one_row_per_key(side, [key]), key, hot))
     rows = one_row_per_key(rows, ["order_id"], item_order)
-    for side, key in attributes:
-        rows = lookup_join(rows, side, [key])
+    for side, key, hot in attributes:
+        rows = lookup_join(rows, side, [key], hot=hot)
 
     placed = lookup_join(orders, customers, ["customer_id"])
     if not stored_by_order:
         placed = placed.repartition("order_id")
     placed = one_row_per_key(placed, ORDER_GRAIN)
     if needs(geolocation):
-        placed = with_geolocation(placed, geolocation)
+        placed = with_geolocation(placed, geolocation, partial(hot_zips, orders, customers))
 
     result = placed.join(rows, "order_id")
     if needs(reviews, "order_id"):
@@ -154,6 +161,15 @@ def lost_orders(orders: DataFrame, integrated: DataFrame) -> DataFrame:
     )
 
 
+def hot_zips(orders: DataFrame, customers: DataFrame) -> DataFrame:
+    """Hot zip prefixes of the orders, from the orders of each customer."""
+    zip_code = "customer_zip_code_prefix"
+    per_customer = key_counts(orders, ["customer_id"])
+    placed = per_customer.join(customers.select("customer_id", zip_code), "customer_id")
+    counts = placed.dropna(subset=[zip_code]).groupBy(zip_code).agg(F.sum("n").alias("n"))
+    return hot_among(counts, [zip_code])
+
+
 def _with_first(orders: DataFrame, side: DataFrame, natural_order: Sequence[str]) -> DataFrame:
     order_by = [c for c in natural_order if c in side.columns]
     return orders.join(one_row_per_key(side, ["order_id"], order_by), "order_id", "left")

@@ -22,8 +22,12 @@ def hot_keys(df: DataFrame, on: Sequence[str]) -> DataFrame:
     key fills, and sums to less than 2 P. The counts are exact, so every
     evaluation of the plan, also after a lost executor, agrees on them.
     """
-    counts = df.dropna(subset=list(on)).groupBy(*on).agg(F.count(F.lit(1)).alias("n"))
-    return hot_among(counts, on)
+    return hot_among(key_counts(df, on), on)
+
+
+def key_counts(df: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Rows per key, ``(*on, n)``; rows without a key are left out."""
+    return df.dropna(subset=list(on)).groupBy(*on).agg(F.count(F.lit(1)).alias("n"))
 
 
 def hot_among(counts: DataFrame, on: Sequence[str]) -> DataFrame:

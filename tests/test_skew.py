@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from checks import fixtures as fx
 from ledgerloom.operators import rank
-from ledgerloom.operators.integrate import integrate
+from ledgerloom.operators.integrate import hot_zips, integrate
 from ledgerloom.operators.lookup import hot_keys, lookup_join
 from ledgerloom.operators.quantiles import quantiles
 from tests.conftest import SMALL
@@ -102,6 +102,21 @@ def test_integration_is_the_same_when_salted(spark, conf):
     assert bag(salted) == plain
 
 
+@pytest.mark.parametrize("replaced", [
+    {}, {"orders": "f_orders_repeated", "customers": "f_customers_repeated"}])
+def test_hot_keys_of_the_integration_run_none_of_its_joins_again(spark, always_salt, replaced):
+    plan = integrate(fx.tables(spark, SMALL, **replaced))._jdf.queryExecution().optimizedPlan()
+    assert plan.toString().count("Join LeftSemi") == 2
+
+
+def test_hot_zips_of_the_orders(spark):
+    tables = skewed_tables(spark)
+    placed = lookup_join(tables["orders"], tables["customers"], ["customer_id"])
+    found = rows(hot_zips(tables["orders"], tables["customers"]))
+    assert 1001 in [zip_code for zip_code, _ in found]
+    assert sorted(found) == sorted(rows(hot_keys(placed, ["customer_zip_code_prefix"])))
+
+
 @pytest.mark.parametrize("salted", [False, True])
 def test_ranks_equal_window_ranks_for_a_hot_seller(spark, request, salted):
     if salted:
