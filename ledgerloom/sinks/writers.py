@@ -8,9 +8,14 @@ from contextlib import contextmanager
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
+from pyspark.sql import functions as F
+
+from ledgerloom.operators.profile import row_counts
 
 # Spark jobs that the multi-table sinks submit at the same time.
 CONCURRENT_WRITES = 4
+# Rows of the longest table in one bucket of the order, about.
+BUCKET_ROWS = 1_000_000
 
 
 def write_parquet(
@@ -88,14 +93,21 @@ def save_by_order(
 ) -> dict[str, DataFrame]:
     """Overwrite catalogue tables, those with an ``order_id`` in buckets of it; return them read.
 
-    Tables in as many buckets join by order without a shuffle, on every later run.
+    Tables in as many buckets join by order without a shuffle, on every later run. One task reads
+    a bucket, so there are at least ``buckets`` of them, and one per ``BUCKET_ROWS`` rows of the
+    longest of these tables where that is more: its rows are counted first.
     """
     spark = next(iter(tables.values())).sparkSession
+    by_order = {name: df for name, df in tables.items() if "order_id" in df.columns}
+    if by_order:
+        longest = row_counts(by_order).agg(F.max("rows")).first()[0]
+        most = int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets"))
+        buckets = max(buckets, min(most, -(-longest // BUCKET_ROWS)))
 
     def save(name: str) -> None:
         df = tables[name]
         writer = df.write.mode("overwrite").format("parquet")
-        if "order_id" in df.columns:
+        if name in by_order:
             # one file per bucket instead of one per bucket and task
             writer = df.repartition(buckets, "order_id").write.mode("overwrite") \
                 .format("parquet").bucketBy(buckets, "order_id").sortBy("order_id")

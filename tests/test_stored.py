@@ -165,6 +165,22 @@ def test_bucketed_tables_join_without_exchanges_by_order(spark):
     assert bag(integrate(tables, stored_by_order=True)) == bag(registry.integrated(spark, SMALL))
 
 
+def test_buckets_grow_with_the_longest_table(spark, monkeypatch):
+    database = "b" + uuid.uuid4().hex[:8]
+    spark.sql(f"CREATE DATABASE {database}")
+    monkeypatch.setattr(writers, "BUCKET_ROWS", 500)
+    tables = writers.save_by_order(registry.prepared(spark, SMALL), database=database, buckets=8)
+
+    def buckets(name):
+        found = spark.sql(f"DESCRIBE EXTENDED {database}.{name}").where("col_name = 'Num Buckets'")
+        return [int(n) for n, in found.select("data_type").collect()]
+
+    expected = [-(-tables["order_items"].count() // 500)]
+    assert expected[0] > 8
+    assert [buckets(n) for n in ("orders", "order_items", "reviews", "payments")] == [expected] * 4
+    assert bag(integrate(tables, stored_by_order=True)) == bag(registry.integrated(spark, SMALL))
+
+
 # --- reuse -------------------------------------------------------------------
 
 
