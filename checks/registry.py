@@ -823,14 +823,22 @@ def job_outputs(spark, sf):
     analysed = fresh_folder(spark, "analysed")
     analysis.run_analysis(spark, cleaned_files(spark, sf), analysed, statuses=STATUSES)
 
+    def added(df, column):
+        if dict(df.dtypes)[column] in ("int", "bigint"):
+            return F.sum(column)
+        return F.sum(F.round(F.col(column).cast("decimal(38,6)"), 2))
+
     def lines(name, key, *measures):
         df = spark.read.parquet(f"{analysed}/{contracts.OUTPUT_NAMES[name]}")
-        sums = {c: F.sum(F.round(F.col(c).cast("decimal(38,6)"), 2)) for c in measures}
-        found = {"rows": F.count(F.lit(1)), "keys": F.count_distinct(key), **sums}
+        found = {"rows": F.count(F.lit(1)), **{c: added(df, c) for c in measures}}
         entries = [F.struct(F.lit(m).alias("measure"), v.cast("double").alias("value"))
                    for m, v in found.items()]
-        return df.agg(F.array(*entries).alias("entries")).select(
+        sums = df.agg(F.array(*entries).alias("entries")).select(
             F.lit(name).alias("output"), F.inline("entries"))
+        # apart from the sums, which would otherwise be kept and shuffled per key
+        keys = df.agg(F.count_distinct(key).cast("double").alias("value"))
+        return sums.unionByName(
+            keys.select(F.lit(name).alias("output"), F.lit("keys").alias("measure"), "value"))
 
     return reduce(DataFrame.unionByName, [lines(n, *m) for n, m in OUTPUT_MEASURES.items()])
 

@@ -128,16 +128,22 @@ def integrate(
     placed = lookup_join(orders, customers, ["customer_id"])
     if not stored_by_order:
         placed = placed.repartition("order_id")
-    placed = one_row_per_key(placed, ORDER_GRAIN)
+    # by order first: what is sorted for the choice is sorted for the joins by order
+    placed = one_row_per_key(placed, sorted(ORDER_GRAIN, key=lambda c: c != "order_id"))
     if needs(geolocation):
         placed = with_geolocation(placed, geolocation, partial(hot_zips, orders, customers))
 
-    result = placed.join(rows, "order_id")
+    own = [c for c in placed.columns if c != "order_id"]
     if needs(reviews, "order_id"):
-        result = with_reviews(result, reviews)
+        placed = with_reviews(placed, reviews)
     if needs(payments, "order_id"):
-        result = with_payments(result, payments)
-    return result if columns is None else result.select(*columns)
+        placed = with_payments(placed, payments)
+    # narrow sides first: rows are copied at full width by the last join only
+    result = placed.join(rows, "order_id")
+    if columns is None:
+        added = [c for c in placed.columns if c not in ("order_id", *own)]
+        columns = ["order_id", *own, *[c for c in rows.columns if c != "order_id"], *added]
+    return result.select(*columns)
 
 
 def grain_check(df: DataFrame, keys: Sequence[str] = ORDER_GRAIN) -> DataFrame:

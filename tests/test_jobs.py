@@ -10,7 +10,7 @@ from checks import fixtures as fx
 from ledgerloom.__main__ import main
 from ledgerloom.operators.enrich import observed_statuses
 from ledgerloom.operators.integrate import grain_check
-from ledgerloom.plans import analysis
+from ledgerloom.plans import analysis, cleaning
 from ledgerloom.plans.workspace import fresh_folder
 from ledgerloom.sinks import writers
 from ledgerloom.sources import contracts, readers
@@ -206,3 +206,20 @@ def test_working_folder_must_be_named():
 
     with pytest.raises(RuntimeError):
         fresh_folder(Unset(), "x")
+
+
+def test_an_order_with_two_times_counts_once(spark, tmp_path):
+    tables = cleaning.clean_tables(fx.tables(spark, SMALL))
+    later = tables["orders"].where("order_id % 7 = 0").withColumn(
+        "order_purchase_timestamp", F.expr("order_purchase_timestamp + INTERVAL '1' DAY"))
+    tables["orders"] = tables["orders"].unionByName(later)
+    cleaned, analysed = str(tmp_path / "cleaned"), str(tmp_path / "analysed")
+    writers.write_parquet_tables(tables, cleaned, contracts.CLEANED_FOLDERS)
+    analysis.run_analysis(spark, cleaned, analysed)
+    integrated = spark.read.parquet(f"{analysed}/{analysis.INTEGRATED_FOLDER}")
+    distinct = integrated.select("order_id").distinct().count()
+    assert distinct < integrated.count()
+    for name, column in (("customer_orders", "total_order"), ("customer_retention", "total_orders")):
+        counted = output(spark, (cleaned, analysed), name).agg(F.sum(column)).first()[0]
+        assert counted == distinct
+    assert not os.path.exists(f"{analysed}/{analysis.CUSTOMER_ORDERS}")

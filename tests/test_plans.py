@@ -12,6 +12,7 @@ from ledgerloom.operators.integrate import integrate
 from ledgerloom.operators.lookup import one_row_per_key
 from ledgerloom.operators.profile import orders_of_status
 from ledgerloom.plans import analysis, cleaning, exploration
+from ledgerloom.plans.workspace import HASH_JOINS, hash_joins
 from tests.conftest import SMALL
 from tests.helpers import bag, final_plan, jobs_started, physical_plan
 
@@ -127,3 +128,55 @@ def test_integration_does_not_depend_on_partitioning(spark, conf, partitions):
         for name, df in registry.prepared(spark, SMALL).items()
     }
     assert bag(integrate(shuffled)) == expected
+
+
+def test_orders_are_sorted_by_order_first_for_the_choice_of_one_row(spark):
+    plan = physical_plan(integrate(registry.prepared(spark, SMALL)))
+    assert "Sort [customer_unique_id" not in plan
+    assert "Sort [order_id" in plan
+
+
+def test_the_last_join_of_the_integration_adds_the_items(spark):
+    tables = registry.prepared(spark, SMALL)
+    plan = physical_plan(integrate(tables))
+    joins = [line for line in plan.splitlines() if "Join" in line and "order_id" in line]
+    assert "Inner" in joins[0] and all("LeftOuter" in line for line in joins[1:3])
+    assert integrate(tables).columns[:1] == ["order_id"]
+    assert integrate(tables).columns[-1] == "payment_value"
+
+
+def test_hash_joins_neither_sort_nor_stay_set(spark, conf):
+    conf(spark__sql__autoBroadcastJoinThreshold="-1",
+         spark__sql__adaptive__autoBroadcastJoinThreshold="-1")
+    orders = fx.frame(spark, SMALL, "f_orders")
+    customers = fx.frame(spark, SMALL, "f_customers").select("customer_id", "customer_city")
+
+    def joined():
+        return orders.join(customers, "customer_id")
+
+    expected = bag(joined())
+    assert "ShuffledHashJoin" not in final_plan(joined())
+    before = spark.conf.get(HASH_JOINS)
+    with hash_joins(spark):
+        df = joined()
+        assert "ShuffledHashJoin" in final_plan(df)
+        assert bag(df) == expected
+    assert spark.conf.get(HASH_JOINS) == before
+    conf(**{HASH_JOINS.replace(".", "__"): "1m"})
+    with hash_joins(spark):
+        assert spark.conf.get(HASH_JOINS) == "1m"
+
+
+def test_orders_of_a_customer_are_counted_by_rows_where_each_has_one(spark):
+    integrated = registry.integrated(spark, SMALL)
+    by_rows = analysis.outputs(integrated, one_row_per_order=True)
+    by_ids = analysis.outputs(integrated)
+    for name in ("customer_orders", "customer_retention"):
+        assert bag(by_rows[name]) == bag(by_ids[name])
+        assert "count(distinct" not in physical_plan(by_rows[name])
+
+
+def test_checked_sums_of_the_outputs_are_not_kept_per_key(spark):
+    plan = physical_plan(registry.QUERIES["job_outputs"](spark, SMALL))
+    distinct = [line for line in plan.splitlines() if "count(distinct" in line]
+    assert distinct and not any("sum(" in line for line in distinct)
