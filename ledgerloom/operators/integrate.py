@@ -122,8 +122,13 @@ def integrate(
         if needs(side, key):
             attributes.append((one_row_per_key(side, [key]), key, hot))
     rows = one_row_per_key(rows, ["order_id"], item_order)
-    for side, key, hot in attributes:
+    own_items = rows.columns
+    for side, key, _ in attributes:
+        own_items = [key, *[c for c in own_items if c != key], *side.drop(key).columns]
+    # narrow sides first: what a side adds is shuffled by each later join
+    for side, key, hot in sorted(attributes, key=lambda a: len(a[0].columns)):
         rows = lookup_join(rows, side, [key], hot=hot)
+    rows = rows.select(*own_items)
 
     placed = lookup_join(orders, customers, ["customer_id"])
     if not stored_by_order:

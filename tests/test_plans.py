@@ -113,6 +113,31 @@ def test_product_metrics_take_one_scan(spark, tmp_path):
     assert "Expand" not in plan
 
 
+def test_product_metrics_are_shuffled_once_by_product(spark):
+    df = spark.createDataFrame(
+        [(p, s, f"o{i}", price) for p in ("p", "q", None) for i, (s, price) in enumerate(
+            [("b", 2.5), ("a", 1.0), ("b", None), (None, 7.25), ("a", 1.0)])]
+        + [("r", None, "o9", 3.0)],
+        "product_id string, seller_id string, order_id string, price double")
+    metrics = aggregate.product_metrics(df.repartition(4))
+    assert physical_plan(metrics).count("Exchange hashpartitioning") == 1
+    assert dict(metrics.dtypes)["unique_seller_count"] == "bigint"
+    assert bag(metrics) == bag(aggregate.product_metrics(df, 2))
+
+
+def test_narrow_attributes_of_items_join_first(spark, conf):
+    conf(spark__sql__autoBroadcastJoinThreshold="-1",
+         spark__sql__adaptive__autoBroadcastJoinThreshold="-1")
+    orders = integrate(registry.prepared(spark, SMALL))
+    shuffled = [line for line in physical_plan(orders).splitlines()
+                if "Exchange hashpartitioning(" in line]
+    # the tree is printed from the last join down
+    kinds = [k for line in shuffled for k in ("product_id", "seller_id") if f"({k}#" in line]
+    assert kinds[:1] == ["product_id"]
+    names = orders.columns
+    assert names.index("product_weight_g") < names.index("seller_zip_code_prefix")
+
+
 def test_quantiles_scan_twice_and_sort_brackets_only(spark):
     plan = final_plan(registry.QUERIES["cln_price_cutoffs"](spark, SMALL))
     assert plan.count("FileScan parquet") - plan.count("ReusedExchange") <= 2
